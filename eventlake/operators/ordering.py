@@ -87,25 +87,29 @@ def true_runs(df: DataFrame, keys: list[str], bucket: Column, ts: str, condition
 
 
 def ordered_list(order: list[Column | str], item: Column | str) -> Column:
-    """Aggregate: items as an array in the given order. For groups that are small by their keys."""
+    """Aggregate: items as an array in the given order. NULL items are left out.
+
+    For groups that are small by their keys.
+    """
     item = F.col(item) if isinstance(item, str) else item
     row = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], item.alias("item"))
-    return F.transform(F.array_sort(F.collect_list(row)), lambda entry: entry["item"])
+    return F.transform(F.array_sort(F.collect_list(F.when(item.isNotNull(), row))), lambda entry: entry["item"])
+
 
+def page_block(order: Column, page_size: int) -> Column:
+    return F.floor(order / F.lit(page_size))
 
-def paged_lists(df: DataFrame, keys: list[str], order: str, item: Column, page_size: int, out: str) -> DataFrame:
-    """Ordered arrays per key, cut into pages of bounded size: (keys, page, out).
 
-    ``order`` is a whole number, unique per key. A short list is one page 0; a long one goes on
-    in further pages, so no task ever holds more than two pages of a key.
+def page_numbers(rows: DataFrame, keys: list[str], order: str, page_size: int) -> DataFrame:
+    """Page of every block of order numbers: (keys, block, page).
+
+    ``order`` is a whole number, unique per key. Blocks fill pages in order, so a page holds
+    fewer than two page sizes of rows, and a key with few rows is page 0 however its numbers lie.
     """
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(page_size)))
-    sizes = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    pages = sizes.select(
-        *keys, "_block", F.floor(F.coalesce(F.sum("_size").over(earlier), F.lit(0)) / F.lit(page_size)).cast("long").alias("page")
-    )
-    return cut.join(pages, [*keys, "_block"]).groupBy(*keys, "page").agg(ordered_list([order], item).alias(out))
+    sizes = rows.groupBy(*keys, page_block(F.col(order), page_size).alias("block")).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    return sizes.select(*keys, "block", F.floor(before / F.lit(page_size)).alias("page"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -541,7 +541,7 @@ UNION ALL SELECT 'stg_third_party_records', count(*) FROM part_rec""")
 define("parse_payload", "SELECT * FROM parsed")
 define("parse_payload_event_type", parse("et"))
 define("normalize_events", """
-SELECT CASE WHEN n % 50 = 13 THEN md5(doc) ELSE event_id END AS event_id, event_name, CASE WHEN n % 4 <> 3 THEN campaign_id END AS campaign_id,
+SELECT CASE WHEN n % 50 = 13 THEN md5(doc) ELSE event_id END AS event_id, CASE WHEN n % 4 <> 0 THEN event_name END AS event_name, CASE WHEN n % 4 <> 3 THEN campaign_id END AS campaign_id,
        user_id, page_url, seen AS occurred_at, doc AS payload, CAST(CAST(seen AS DATE) AS VARCHAR) AS event_date FROM sorted_text""")
 define("raw_payload_landing", "SELECT payload FROM raw")
 define("trace_lookup_payload", "SELECT payload FROM raw WHERE contains(payload, '\"k\":42}')")

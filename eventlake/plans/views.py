@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from eventlake.functions.formats import (
     one_decimal,
     relative_time,
 )
-from eventlake.operators.ordering import ordered_list, paged_lists
+from eventlake.operators.ordering import ordered_list, page_block, page_numbers
 from eventlake.sources.generators import with_days
 
 TENANT = "environment"
@@ -277,6 +278,42 @@ def document_items(tables: Mapping[str, DataFrame], as_of: Column) -> dict[str,
     }
 
 
+# lists of three or seven entries per tenant
+SHORT_LISTS = ("metrics", "bars", "stats")
+
+
+def paged_items(tables: Mapping[str, DataFrame], as_of: Column, page_size: int) -> DataFrame:
+    """All lists of the document as arrays, one row per tenant and page.
+
+    The entries of all lists run through one union, one join with their page numbers and one
+    grouping. Page numbers are counted on the bare tables.
+    """
+    items = document_items(tables, as_of)
+
+    def entries(name: str) -> DataFrame:
+        return items[name].select(TENANT, F.lit(name).alias("list"), F.col("display_order").cast("long"), F.col("item").alias(name))
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+
+    sources = {
+        "activities": tables["platform_dashboard_activity"],
+        "segments": tables["platform_growth_segment"],
+        "campaigns": tables["platform_campaign"],
+        "filters": tables["platform_filter"],
+        "subscribers": tables["platform_subscriber"].where("is_featured"),
+        "pipelines": tables["platform_analytics_pipeline"],
+        "signals": tables["platform_analytics_signal"],
+    }
+    positions = union([rows.select(TENANT, F.lit(name).alias("list"), "display_order") for name, rows in sources.items()])
+    numbers = page_numbers(positions, [TENANT, "list"], "display_order", page_size)
+    long = union([entries(name) for name in sources]).withColumn("block", page_block(F.col("display_order"), page_size))
+    paged = long.join(numbers, [TENANT, "list", "block"]).drop("block")
+    short = union([entries(name) for name in SHORT_LISTS]).withColumn("page", F.lit(0).cast("long"))
+    rows = paged.unionByName(short, allowMissingColumns=True)
+    return rows.groupBy(TENANT, "page").agg(*[ordered_list(["display_order"], name).alias(name) for name in items])
+
+
 def platform_bootstrap(tables: Mapping[str, DataFrame], as_of: Column, environment: str | None = None, page_size: int = 1000) -> DataFrame:
     """The dashboard document, six nested sections per tenant; ``environment`` picks one tenant.
 
@@ -286,34 +323,22 @@ def platform_bootstrap(tables: Mapping[str, DataFrame], as_of: Column, environme
     if environment is not None:
         tables = {name: table.where(F.col(TENANT) == environment) for name, table in tables.items()}
     heads = tables["platform_environment"]
-    lists = {
-        name: paged_lists(rows, [TENANT], "display_order", F.col("item"), page_size, name)
-        for name, rows in document_items(tables, as_of).items()
-    }
     network = tables["platform_subscriber"].groupBy(TENANT).agg(F.count(F.lit(1)).alias("network_size"))
     synced = last_sync(
         heads, tables["platform_campaign_analytics"], tables["platform_engagement_analytics"], tables["platform_daily_performance"]
     )
-    first_page = heads.select(TENANT, F.lit(0).cast("long").alias("page"))
-    pages = first_page
-    for rows in lists.values():
-        pages = pages.unionByName(rows.select(TENANT, "page").where("page > 0"))
-    document = pages.distinct()
-    for rows in lists.values():
-        document = document.join(rows, [TENANT, "page"], "left")
-    document = document.join(heads, TENANT).join(synced, TENANT).join(network, TENANT, "left")
-
-    def listed(name: str) -> Column:
-        return F.coalesce(F.col(name), F.array().cast(lists[name].schema[name].dataType))
+    # the short lists give every tenant its page 0
+    lists = paged_items(tables, as_of, page_size)
+    document = lists.join(heads, TENANT).join(synced, TENANT).join(network, TENANT, "left")
 
     dashboard = _named(
-        metrics=listed("metrics"),
+        metrics="metrics",
         performance=_named(
             title=F.lit(fx.PERFORMANCE_TITLE), modes=F.array(*[F.lit(mode) for mode in fx.PERFORMANCE_MODES]),
-            activeMode=F.lit(fx.PERFORMANCE_MODES[0]), bars=listed("bars"),
+            activeMode=F.lit(fx.PERFORMANCE_MODES[0]), bars="bars",
         ),
-        activities=listed("activities"),
-        segments=listed("segments"),
+        activities="activities",
+        segments="segments",
         securityCard=_named(title="security_title", status="security_status", description="security_description"),
         billingCard=_named(eyebrow="billing_eyebrow", title="billing_title", date="billing_date", action="billing_action"),
     )
@@ -327,13 +352,13 @@ def platform_bootstrap(tables: Mapping[str, DataFrame], as_of: Column, environme
         brand.alias("brand"),
         _named(label="session_label", node="session_node", status="session_status").alias("session"),
         dashboard.alias("dashboard"),
-        _named(headline="campaigns_headline", description="campaigns_description", stats=listed("stats"), items=listed("campaigns")).alias("campaigns"),
+        _named(headline="campaigns_headline", description="campaigns_description", stats="stats", items="campaigns").alias("campaigns"),
         _named(
-            headline="subscribers_headline", description="subscribers_description", filters=listed("filters"),
-            networkSize=format_integer(F.col("network_size")), items=listed("subscribers"),
+            headline="subscribers_headline", description="subscribers_description", filters="filters",
+            networkSize=format_integer(F.col("network_size")), items="subscribers",
         ).alias("subscribers"),
         _named(
-            headline="analytics_headline", description="analytics_description", pipelines=listed("pipelines"), signals=listed("signals")
+            headline="analytics_headline", description="analytics_description", pipelines="pipelines", signals="signals"
         ).alias("analytics"),
     )
 

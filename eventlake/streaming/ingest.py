@@ -16,18 +16,19 @@ def _drain(writer, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def write_bronze(batch: DataFrame, batch_id: int, folder: str, topics: tuple[str, ...] = TOPICS) -> None:
+def write_bronze(batch: DataFrame, batch_id: int, folder: str, topics: tuple[str, ...] = TOPICS, capture: str = "day") -> None:
     """Messages as text below bronze/<topic>/captured_at=<epoch>; each batch owns its files.
 
-    The capture time is the message's own hour, so a replay writes the same folders again.
+    The capture time is the start of the message's own ``capture`` unit, so a replay writes the
+    same folders again, and a batch gives a few large files instead of one per message.
     """
-    captured = F.unix_seconds(F.date_trunc("hour", "timestamp"))
+    captured = F.unix_seconds(F.date_trunc(capture, "timestamp"))
     rows = batch.select("topic", "value", captured.alias("captured_at"), F.lit(batch_id).alias("batch"))
     for topic in topics:
         (
             rows.where(F.col("topic") == topic)
             .drop("topic")
-            .hint("rebalance", "captured_at")  # few files per hour, a busy hour over several tasks
+            .hint("rebalance", "captured_at")  # few files per unit, a busy unit over several tasks
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("captured_at", "batch")
