@@ -17,8 +17,8 @@ BUCKET_SECONDS = 600
 
 
 def series_of(labels: Column) -> Column:
-    """A map is no grouping key; its sorted entries are."""
-    return F.array_sort(F.map_entries(labels))
+    """Identity of a series. A map is no grouping key, the text of its sorted entries is."""
+    return F.to_json(F.array_sort(F.map_entries(labels)))
 
 
 def counter_steps(samples: DataFrame, metric: str, labels: list[str], range_seconds: int) -> DataFrame:

@@ -1,8 +1,7 @@
 """Order-sensitive operators that never hold a whole key in one task.
 
 A plain window over a key sorts all rows of that key in one task. Here a key is cut into
-buckets along its order; what a bucket needs from earlier ones is computed from one small
-aggregate row per bucket and joined back.
+buckets along its order; what a bucket needs from earlier ones comes from a few rows per bucket.
 """
 
 from __future__ import annotations
@@ -15,22 +14,23 @@ def time_bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str
-) -> DataFrame:
-    """``lag(value)`` within ``keys`` in ``order``; ``bucket`` must rise with the order."""
-    cut = df.withColumn("_bucket", bucket)
-    boxed = F.struct(F.col(value).alias("value"))
-    tails = cut.groupBy(*keys, "_bucket").agg(F.max_by(boxed, F.struct(*order)).alias("_tail"))
-    carried = tails.select(
-        *keys, "_bucket", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
-    )
+def previous_value(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """``lag(value)`` within ``keys`` in ``order``; ``bucket`` must rise with the order.
+
+    Only the first and last row of each bucket meet the neighbours of their key, in a second
+    window over those rows alone. Both branches read one shuffle of the data.
+    """
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        cut.join(carried, [*keys, "_bucket"], "left")
-        .withColumn(out, F.coalesce(F.lag(boxed).over(in_bucket), F.col("_carry"))["value"])
-        .drop("_bucket", "_carry")
-    )
+    across = Window.partitionBy(*keys).orderBy("_bucket", *order)
+    seen = df.withColumn("_bucket", bucket).withColumns({
+        "_first": F.row_number().over(in_bucket) == 1,
+        "_last": F.lead(F.lit(1)).over(in_bucket).isNull(),
+        out: F.lag(value).over(in_bucket),
+    })
+    edge = F.col("_first") | F.col("_last")
+    inner = seen.where(~edge)
+    edges = seen.where(edge).withColumn(out, F.when(F.col("_first"), F.lag(value).over(across)).otherwise(F.col(out)))
+    return inner.unionByName(edges).drop("_bucket", "_first", "_last")
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:

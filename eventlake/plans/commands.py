@@ -106,7 +106,8 @@ def published_channels() -> Column:
 
 def fan_out(normalized: DataFrame) -> DataFrame:
     """One row per event a command publishes, none to two."""
-    metadata = parsed(F.col("metadata"))
+    opened = normalized.withColumn("_meta", parsed(F.col("metadata")))
+    metadata = F.col("_meta")
     page = route_path(F.col("route"))
     nothing = F.lit(None).cast("string")
     campaign = first_non_blank(F.col("campaign_id"), F.col("subject_id"), F.lit(fx.EMAIL_CAMPAIGN_FALLBACK))
@@ -132,7 +133,7 @@ def fan_out(normalized: DataFrame) -> DataFrame:
         recipient_id=F.col("recipient_id"), event_type=F.concat(F.lit(fx.EMAIL_TYPE_PREFIX), slug(F.col("action"))), payload=email_payload,
     )
     both = F.array_compact(F.array(F.when(publishes_analytics(), analytics), F.when(publishes_email(), email)))
-    return normalized.select("command_id", TENANT, "occurred_at", F.inline(both))
+    return opened.select("command_id", TENANT, "occurred_at", F.inline(both))
 
 
 # table changes
@@ -162,11 +163,11 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
     """Briefs create or rewrite a campaign, launches schedule one that exists by then."""
     keys = [TENANT, "campaign_id"]
     targeted = normalized.withColumn("campaign_id", campaign_of_command())
-    asked = targeted.where(action_is(fx.CREATE_BRIEF))
+    asked = targeted.where(action_is(fx.CREATE_BRIEF)).withColumn("_meta", parsed(F.col("metadata")))
     creates, nameless = asked.where("campaign_id != ''"), asked.where("campaign_id = ''")
     launches = targeted.where(action_is(fx.LAUNCH_TEST_SEND))
 
-    meta = parsed(F.col("metadata"))
+    meta = F.col("_meta")
     brief = F.struct(
         text_field(meta, "title", default_campaign_title(F.col("action"))).alias("title"),
         text_field(meta, "summary", F.lit(fx.BRIEF_DEFAULTS["summary"])).alias("summary"),
@@ -176,13 +177,15 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
         text_field(meta, "actionLabel", F.lit(fx.BRIEF_DEFAULTS["actionLabel"])).alias("action_label"),
         text_field(meta, "tone", F.lit(fx.BRIEF_DEFAULTS["tone"])).alias("tone"),
     )
-    briefs = creates.groupBy(*keys).agg(
-        F.min(_moment()).alias("first_brief"), F.max(_moment()).alias("last_brief"), F.max_by(brief, _moment()).alias("brief")
+    briefs = (
+        creates.select(*keys, _moment().alias("moment"), brief.alias("brief"))
+        .groupBy(*keys)
+        .agg(F.min("moment").alias("first_brief"), F.max("moment").alias("last_brief"), F.max_by("brief", "moment").alias("brief"))
     )
     stored = campaigns.select(*keys).withColumn("stored", F.lit(True))
     judged = launches.join(briefs.select(*keys, "first_brief"), keys, "left").join(stored, keys, "left")
     known = F.coalesce(F.col("stored"), F.lit(False)) | F.coalesce(_moment() > F.col("first_brief"), F.lit(False))
-    rejected = judged.where(~known).select(*normalized.columns).unionByName(nameless).withColumn(
+    rejected = judged.where(~known).select(*normalized.columns).unionByName(nameless.drop("_meta")).withColumn(
         "reason", F.when(F.col("campaign_id") == "", "campaign ID is required").otherwise("campaign was not found")
     )
     scheduled = judged.where(known).groupBy(*keys).agg(F.max(_moment()).alias("last_launch"))
@@ -241,14 +244,14 @@ def subscriber_changes(normalized: DataFrame, subscribers: DataFrame, filters: D
     """The last add command of a subscriber wins; creation time and order number stay with the first."""
     keys = [TENANT, "subscriber_id"]
     defaults = fx.SUBSCRIBER_DEFAULTS
-    meta = parsed(F.col("metadata"))
+    meta = F.col("_meta")
+    opened = normalized.where(action_is(fx.ADD_SUBSCRIBER)).withColumn("_meta", parsed(F.col("metadata")))
     subscriber = subscriber_key(F.col("subject_id"), meta, F.col("occurred_at"))
-    adds = normalized.where(action_is(fx.ADD_SUBSCRIBER)).select(
-        TENANT,
-        subscriber.alias("subscriber_id"),
+    adds = opened.withColumn("subscriber_id", subscriber).select(
+        *keys,
         *COMMAND_ORDER,
         text_field(meta, "name", F.lit(defaults["name"])).alias("name"),
-        text_field(meta, "email", F.concat(subscriber, F.lit(fx.SUBSCRIBER_EMAIL_DOMAIN))).alias("email"),
+        text_field(meta, "email", F.concat(F.col("subscriber_id"), F.lit(fx.SUBSCRIBER_EMAIL_DOMAIN))).alias("email"),
         text_field(meta, "securityStatus", F.lit(defaults["securityStatus"])).alias("security_status"),
         text_field(meta, "tone", F.lit(defaults["tone"])).alias("tone"),
         strings_field(meta, "assignedSegments", defaults["assignedSegments"]).alias("segments"),

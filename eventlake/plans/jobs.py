@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions.times import at
 from eventlake.plans import audit, commands, models
+from eventlake.plans.parse import parse_payload
 from eventlake.plans.seed import seed_tables
 from eventlake.schemas import APP_TABLES, REQUIRED_COLUMNS, TABLES
 from eventlake.session import pinned
@@ -23,6 +24,11 @@ def bootstrap_tables(store: TableStore) -> None:
         store.ensure(name)
 
 
+def backfill_events(store: TableStore, include_event_type: bool = False) -> None:
+    """Parse all landed payloads into the events table, replacing it, so that a second run adds nothing."""
+    store.replace("raw_events", parse_payload(store.read("raw_payload"), include_event_type))
+
+
 def record_rows(store: TableStore, tables: dict[str, DataFrame], run_id: str, recorded_at: datetime) -> None:
     store.append("load_audit", audit.row_audit(tables, run_id, at(recorded_at)))
 

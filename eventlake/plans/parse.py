@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.json_values import canonical, parsed, string_or_empty, string_or_null
+from eventlake.functions.json_values import parsed, string_or_empty, string_or_null
 from eventlake.functions.text import null_if_blank
 from eventlake.functions.times import parse_or_epoch, parse_or_now
 
@@ -21,15 +21,16 @@ def parse_payload(raw_payload: DataFrame, include_event_type: bool = False) -> D
     Missing keys, JSON nulls and values that are no strings read as ''; times that do not parse
     read as 1970-01-01. ``event_type`` names an event only if asked for.
     """
-    opened = raw_payload.withColumn("_json", parsed(F.col("payload")))
-    document = F.col("_json")
     names = ["event", "event_name"] + (["event_type"] if include_event_type else [])
-    name = F.coalesce(*[null_if_blank(string_or_empty(document, key)) for key in names], F.lit(""))
-    return opened.select(
-        name.alias("event_name"),
-        string_or_empty(document, "campaign_id").alias("campaign_id"),
-        string_or_empty(document, "user_id").alias("user_id"),
-        parse_or_epoch(string_or_empty(document, "occurred_at")).alias("occurred_at"),
+    fields = [*names, "campaign_id", "user_id", "occurred_at"]
+    opened = raw_payload.select("payload", parsed(F.col("payload")).alias("_json"))
+    # one column per field, so that no later expression reads the document again
+    read = opened.select("payload", *[string_or_empty(F.col("_json"), field).alias(f"_{field}") for field in fields])
+    return read.select(
+        F.coalesce(*[null_if_blank(F.col(f"_{name}")) for name in names], F.lit("")).alias("event_name"),
+        F.col("_campaign_id").alias("campaign_id"),
+        F.col("_user_id").alias("user_id"),
+        parse_or_epoch(F.col("_occurred_at")).alias("occurred_at"),
         "payload",
     )
 
@@ -39,20 +40,20 @@ def normalize_events(raw_payload: DataFrame, as_of: Column) -> DataFrame:
 
     Text that is not JSON gives no row.
     """
-    opened = raw_payload.withColumn("_json", parsed(F.col("payload"))).where(F.col("_json").isNotNull())
-    document = F.col("_json")
-
-    def field(key: str) -> Column:
-        return null_if_blank(string_or_null(document, key))
-
-    text = canonical(F.col("payload"))
-    rows = opened.select(
-        F.coalesce(field("event_id"), F.md5(text)).alias("event_id"),
-        F.coalesce(field("event_name"), field("event_type")).alias("event_name"),
-        field("campaign_id").alias("campaign_id"),
-        field("user_id").alias("user_id"),
-        field("page_url").alias("page_url"),
-        F.date_trunc("millisecond", parse_or_now(string_or_null(document, "occurred_at"), as_of)).alias("occurred_at"),
-        text.alias("payload"),
+    fields = ["event_id", "event_name", "event_type", "campaign_id", "user_id", "page_url", "occurred_at"]
+    opened = raw_payload.select(parsed(F.col("payload")).alias("_json")).where(F.col("_json").isNotNull())
+    read = opened.select(
+        *[null_if_blank(string_or_null(F.col("_json"), field)).alias(f"_{field}") for field in fields],
+        F.to_json("_json").alias("payload"),
+    )
+    moment = F.date_trunc("millisecond", parse_or_now(F.col("_occurred_at"), as_of))
+    return read.select(
+        F.coalesce("_event_id", F.md5("payload")).alias("event_id"),
+        F.coalesce("_event_name", "_event_type").alias("event_name"),
+        F.col("_campaign_id").alias("campaign_id"),
+        F.col("_user_id").alias("user_id"),
+        F.col("_page_url").alias("page_url"),
+        moment.alias("occurred_at"),
+        "payload",
+        F.to_date(moment).alias("event_date"),
     )
-    return rows.withColumn("event_date", F.to_date("occurred_at"))

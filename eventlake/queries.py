@@ -279,7 +279,10 @@ def trace_lookup_payload(f: Frames) -> DataFrame:
 
 @query
 def trace_lookup_events(f: Frames) -> DataFrame:
-    return lookups.events_of_trace(parse.parse_payload(raw_payload(f)), "cmp-7")
+    store = new_store(f, "trace")
+    store.replace("raw_payload", raw_payload(f))
+    jobs.backfill_events(store)
+    return lookups.events_of_trace(store.read("raw_events"), "cmp-7")
 
 
 @query

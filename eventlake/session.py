@@ -28,8 +28,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         SparkSession.builder.master(f"local[{cores}]")
         .appName("eventlake")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # no call-site capture per column expression; it takes much of the time of building a wide plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
