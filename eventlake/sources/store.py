@@ -13,10 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventlake.operators import merge
 from eventlake.operators.ordering import last_per_key
 from eventlake.schemas import TABLES, TableSpec
+from eventlake.session import pinned
 
 BUCKET = "key_bucket"
 
@@ -93,7 +95,7 @@ class TableStore:
         spec = self.spec(name)
         schema = spec.schema
         if spec.buckets:
-            schema = type(schema)(list(schema.fields)).add(BUCKET, "int")
+            schema = T.StructType(list(schema.fields)).add(BUCKET, T.IntegerType())
         return self.spark.read.schema(schema).parquet(self.location(name))
 
     def columns(self, name: str) -> DataFrame:
@@ -185,7 +187,8 @@ class TableStore:
         """Set values on matching keys; returns the keys without a match."""
         self.ensure(name)
         key_names = list(self.spec(name).keys)
-        missed = keys.join(self.read(name).select(*key_names), key_names, "left_anti")
+        # pinned, because the write below replaces files it was read from
+        missed = pinned(keys.join(self.read(name).select(*key_names), key_names, "left_anti"))
         touched = self._touched(name, keys)
         changed, _ = merge.update_matching(touched.select(*self.spec(name).schema.names), keys, key_names, values)
         self._write_touched(name, touched, changed)
