@@ -20,8 +20,9 @@ def events_of_trace(raw_events: DataFrame, trace_id: str) -> DataFrame:
 
 
 def missing_downstream(upstream: DataFrame, downstream: DataFrame, key: str) -> DataFrame:
-    """Upstream rows whose id never arrived."""
-    return upstream.join(downstream.select(key), key, "left_anti")
+    """Upstream rows whose id never arrived. Repeated and missing ids downstream are reduced first."""
+    arrived = downstream.select(key).where(F.col(key).isNotNull()).distinct()
+    return upstream.join(arrived, key, "left_anti")
 
 
 def search_campaigns(campaigns: DataFrame, query: str) -> DataFrame:

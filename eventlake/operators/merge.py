@@ -31,9 +31,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update: Se
 
 
 def absent_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Source rows whose key the target lacks; of equal keys the first in order."""
-    fresh = source.join(target.select(*keys), list(keys), "left_anti")
-    return first_per_key(fresh, list(keys), list(order))
+    """Source rows whose key the target lacks; of equal keys the first in order.
+
+    Repeats are reduced first, so that a key with many copies never reaches the join as such.
+    """
+    firsts = first_per_key(source, list(keys), list(order))
+    return firsts.join(target.select(*keys), list(keys), "left_anti")
 
 
 def update_matching(

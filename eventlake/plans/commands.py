@@ -163,8 +163,9 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
     """Briefs create or rewrite a campaign, launches schedule one that exists by then."""
     keys = [TENANT, "campaign_id"]
     targeted = normalized.withColumn("campaign_id", campaign_of_command())
-    asked = targeted.where(action_is(fx.CREATE_BRIEF)).withColumn("_meta", parsed(F.col("metadata")))
-    creates, nameless = asked.where("campaign_id != ''"), asked.where("campaign_id = ''")
+    named = F.col("campaign_id") != ""
+    opened = targeted.where(action_is(fx.CREATE_BRIEF) & named).withColumn("_meta", parsed(F.col("metadata")))
+    nameless = targeted.where(action_is(fx.CREATE_BRIEF) & ~named)
     launches = targeted.where(action_is(fx.LAUNCH_TEST_SEND))
 
     meta = F.col("_meta")
@@ -177,30 +178,38 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
         text_field(meta, "actionLabel", F.lit(fx.BRIEF_DEFAULTS["actionLabel"])).alias("action_label"),
         text_field(meta, "tone", F.lit(fx.BRIEF_DEFAULTS["tone"])).alias("tone"),
     )
-    briefs = (
-        creates.select(*keys, _moment().alias("moment"), brief.alias("brief"))
-        .groupBy(*keys)
-        .agg(F.min("moment").alias("first_brief"), F.max("moment").alias("last_brief"), F.max_by("brief", "moment").alias("brief"))
+    moment = _moment().alias("moment")
+    asked = opened.select(*keys, moment, brief.alias("brief")).unionByName(launches.where(named).select(*keys, moment), allowMissingColumns=True)
+    written = F.when(F.col("brief").isNotNull(), F.col("moment"))
+    folded = asked.groupBy(*keys).agg(
+        F.min(written).alias("first_brief"),
+        F.max(written).alias("last_brief"),
+        F.max_by("brief", written).alias("brief"),
+        F.max(F.when(F.col("brief").isNull(), F.col("moment"))).alias("last_launch"),
     )
-    stored = campaigns.select(*keys).withColumn("stored", F.lit(True))
-    judged = launches.join(briefs.select(*keys, "first_brief"), keys, "left").join(stored, keys, "left")
-    known = F.coalesce(F.col("stored"), F.lit(False)) | F.coalesce(_moment() > F.col("first_brief"), F.lit(False))
-    rejected = judged.where(~known).select(*normalized.columns).unionByName(nameless.drop("_meta")).withColumn(
+    touched = folded.join(campaigns.withColumn("stored", F.lit(True)), keys, "left")
+
+    def known(launch: Column) -> Column:
+        """A launch finds its campaign stored or created before it."""
+        return F.col("stored").isNotNull() | F.coalesce(launch > F.col("first_brief"), F.lit(False))
+
+    judged = launches.join(touched.select(*keys, "stored", "first_brief"), keys, "left")
+    missed = judged.where(~known(_moment())).select(*normalized.columns)
+    rejected = missed.unionByName(nameless).withColumn(
         "reason", F.when(F.col("campaign_id") == "", "campaign ID is required").otherwise("campaign was not found")
     )
-    scheduled = judged.where(known).groupBy(*keys).agg(F.max(_moment()).alias("last_launch"))
-
-    touched = briefs.join(scheduled, keys, "full_outer")
-    current = touched.join(campaigns, keys, "left")
-    launched_last = F.col("last_launch").isNotNull() & (
+    # of a campaign's launches the last finds it if any does
+    launch_counts = F.col("last_launch").isNotNull() & known(F.col("last_launch"))
+    current = touched.where(F.col("last_brief").isNotNull() | launch_counts)
+    launched_last = launch_counts & (
         F.col("last_brief").isNull() | F.coalesce(F.col("last_launch") > F.col("last_brief"), F.lit(False))
     )
 
     def value(name: str) -> Column:
-        written = F.when(F.col("brief").isNotNull(), F.col("brief")[name]).otherwise(F.col(name))
+        briefed = F.when(F.col("brief").isNotNull(), F.col("brief")[name]).otherwise(F.col(name))
         if name in fx.SCHEDULED_VALUES:
-            return F.when(launched_last, fx.SCHEDULED_VALUES[name]).otherwise(written).alias(name)
-        return written.alias(name)
+            return F.when(launched_last, fx.SCHEDULED_VALUES[name]).otherwise(briefed).alias(name)
+        return briefed.alias(name)
 
     fields = ["title", "summary", "status", "audience_count", "audience_label", "action_label", "tone"]
     resolved = current.select(*keys, *[value(name) for name in fields], "display_order", F.col("first_brief.*"))
@@ -213,7 +222,7 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
     )
     zero = F.lit(0).cast("long")
     never = F.lit(None).cast("timestamp")
-    new_analytics = briefs.select(
+    new_analytics = folded.where(F.col("first_brief").isNotNull()).select(
         *keys,
         *[zero.alias(f"{name}_recipients") for name in ("delivered", "open", "click", "bounce")],
         never.alias("first_seen_at"),

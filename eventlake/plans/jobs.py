@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake import fixed_values as fx
 from eventlake.functions.times import at
 from eventlake.plans import audit, commands, models
 from eventlake.plans.parse import parse_payload
@@ -18,9 +20,9 @@ from eventlake.sources.partner import RECORD_ORDER, raw_record_rows, snapshot_re
 from eventlake.sources.store import TableStore
 
 
-def bootstrap_tables(store: TableStore) -> None:
+def bootstrap_tables(store: TableStore, names: Iterable[str] = TABLES) -> None:
     """Create every table that is missing."""
-    for name in TABLES:
+    for name in names:
         store.ensure(name)
 
 
@@ -81,9 +83,9 @@ def sync_object_metadata(store: TableStore, bronze_folder: str, processed_at: da
     record_rows(store, {"raw_object_index": store.read("raw_object_index")}, run_id, processed_at)
 
 
-def load_seed(store: TableStore, as_of: datetime) -> None:
+def load_seed(store: TableStore, as_of: datetime, members: int = fx.SEED_MEMBERS) -> None:
     """Delete the demo tenant and load it again."""
-    for name, rows in seed_tables(store.spark, as_of).items():
+    for name, rows in seed_tables(store.spark, as_of, members).items():
         store.reload_tenant(name, "local", rows)
 
 

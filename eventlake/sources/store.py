@@ -21,6 +21,7 @@ from eventlake.schemas import TABLES, TableSpec
 from eventlake.session import pinned
 
 BUCKET = "key_bucket"
+PRUNED_PARTITIONS = 1000
 
 
 def model_schema(custom: str | None, default: str) -> str:
@@ -134,14 +135,21 @@ class TableStore:
     # keyed changes
 
     def _touched(self, name: str, keys: DataFrame) -> DataFrame:
-        """Rows of the partitions that the given keys fall into."""
+        """Rows of the partitions that the given keys fall into.
+
+        Few partitions become a literal filter, which prunes the scan; more than that are joined.
+        """
         spec = self.spec(name)
         parts = list(spec.partitions) + ([BUCKET] if spec.buckets else [])
         keyed = keys.withColumn(BUCKET, bucket_of(spec)) if spec.buckets else keys
         files = self._files(name)
         if not parts:
             return files
-        return files.join(keyed.select(*parts).distinct(), parts, "left_semi")
+        wanted = keyed.select(*parts).distinct()
+        named = [row["name"] for row in wanted.select(partition_name(parts).alias("name")).limit(PRUNED_PARTITIONS + 1).collect()]
+        if len(named) <= PRUNED_PARTITIONS:
+            return files.where(partition_name(parts).isin(named))
+        return files.join(wanted, parts, "left_semi")
 
     def _rewrite(self, name: str, touched: DataFrame, changed: DataFrame) -> None:
         """Put the changed rows in place of the touched partitions."""
@@ -211,6 +219,10 @@ class TableStore:
         self._rewrite(name, touched, rows.where(F.col("environment") == tenant))
 
 
+def partition_name(parts: list[str]) -> Column:
+    return F.concat_ws("/", *parts)
+
+
 def bucket_of(spec: TableSpec) -> Column:
     """Key bucket: a hash of the first key below the tenant, so that children lie with their parent."""
     return F.pmod(F.xxhash64(F.col(spec.keys[1])), F.lit(spec.buckets)).cast("int")
