@@ -27,6 +27,7 @@ from eventlake.functions.text import (
 )
 from eventlake.operators.merge import next_order
 from eventlake.operators.ordering import last_per_key, numbered, time_bucket
+from eventlake.session import pinned
 
 TENANT = "environment"
 COMMAND_ORDER = ("occurred_at", "command_id")
@@ -334,7 +335,7 @@ def results_of(accepted: DataFrame) -> DataFrame:
 def process(commands: DataFrame, tables: Mapping[str, DataFrame]) -> Outcome:
     """Everything a batch of commands does. Refused commands change no table and emit no event."""
     valid, invalid = validate(commands)
-    normalized = normalize(valid)
+    normalized = pinned(normalize(valid))  # read by every step below
     campaigns = campaign_changes(normalized, tables["platform_campaign"])
     subscribers = subscriber_changes(normalized, tables["platform_subscriber"], tables["platform_filter"])
     accepted = normalized.join(campaigns.rejected.select("command_id"), "command_id", "left_anti")

@@ -92,12 +92,10 @@ def load_seed(store: TableStore, as_of: datetime, members: int = fx.SEED_MEMBERS
 def apply_commands(store: TableStore, batch: DataFrame) -> commands.Outcome:
     """Apply a batch to the app tables. The caller publishes the events of the outcome.
 
-    Changes are written to scratch tables first, because each table write changes what the
-    next one would read.
+    The outcome is pinned first, because each table write changes what the next step would read.
     """
     tables = {name: store.read(name) for name in ("platform_campaign", "platform_subscriber", "platform_filter")}
     outcome = commands.process(batch, tables)
-    # checkpoints hold the outcome fixed while the tables below it change
     for part, names in ((outcome.campaigns, ("campaigns", "new_analytics")), (outcome.subscribers, ("subscribers", "segments", "assignments", "filters"))):
         for name in names:
             setattr(part, name, pinned(getattr(part, name)))

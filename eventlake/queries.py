@@ -7,6 +7,7 @@ and dates as text, so that results compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from eventlake.functions.times import at, window_start
 from eventlake.operators import lookups, merge, metrics, ordering
 from eventlake.operators.requests import status_transitions
 from eventlake.plans import audit, commands, consolidate, jobs, models, parse, seed, views
-from eventlake.session import configure, scratch_dir
+from eventlake.session import configure, pinned, scratch_dir
 from eventlake.schemas import TABLES
 from eventlake.sources import bronze, partner, streams
 from eventlake.sources.adapters import (
@@ -88,6 +89,26 @@ def tables_of(f: Frames) -> dict[str, DataFrame]:
     }
 
 
+DERIVED = (
+    "platform_subscriber", "platform_subscriber_segment", "platform_filter_assignment", "platform_filter", "platform_campaign_analytics",
+    "platform_engagement_analytics", "platform_daily_performance",
+)
+
+
+def stored_tables(f: Frames) -> dict[str, DataFrame]:
+    """The app tables with the derived ones written once, for queries that read them several times."""
+    tables = tables_of(f)
+    folder = scratch_dir(f.spark, "tables")
+
+    def write(name: str) -> None:
+        tables[name].write.parquet(f"{folder}/{name}")
+
+    with ThreadPoolExecutor(len(DERIVED)) as pool:  # the jobs are independent and share the executors
+        list(pool.map(write, DERIVED))
+    stored = {name: f.spark.read.schema(tables[name].schema).parquet(f"{folder}/{name}") for name in DERIVED}
+    return {**tables, **stored}
+
+
 def new_store(f: Frames, purpose: str) -> TableStore:
     return TableStore(f.spark, scratch_dir(f.spark, purpose))
 
@@ -140,7 +161,7 @@ def item_text(item: T.DataType) -> Column:
 @query
 def bootstrap_sections(f: Frames) -> DataFrame:
     result = None
-    for section, rows in views.document_items(tables_of(f), at(LABELS_AS_OF)).items():
+    for section, rows in views.document_items(stored_tables(f), at(LABELS_AS_OF)).items():
         part = rows.select(
             "environment",
             F.lit(section).alias("section"),
@@ -159,8 +180,9 @@ def serving_totals(f: Frames) -> DataFrame:
 
 @query
 def bootstrap_overlay(f: Frames) -> DataFrame:
-    mart = models.mart_campaign_performance(f.campaign_analytics)
-    document = views.platform_bootstrap(tables_of(f), at(LABELS_AS_OF), page_size=100)
+    tables = stored_tables(f)
+    mart = models.mart_campaign_performance(tables["platform_campaign_analytics"])
+    document = views.platform_bootstrap(tables, at(LABELS_AS_OF), page_size=100)
     live = views.with_live_analytics(document, models.serving_campaign_performance(mart))
     return live.select(
         "environment",
@@ -450,6 +472,10 @@ def normalized_commands(f: Frames) -> DataFrame:
     return commands.normalize(commands.validate(f.commands)[0])
 
 
+def stored_commands(f: Frames) -> DataFrame:
+    return pinned(normalized_commands(f))
+
+
 def command_tables(f: Frames) -> dict[str, DataFrame]:
     return {"platform_campaign": f.campaign, "platform_subscriber": f.subscriber, "platform_filter": f.filter}
 
@@ -477,29 +503,29 @@ def command_fanout(f: Frames) -> DataFrame:
 
 @query
 def command_apply_campaign(f: Frames) -> DataFrame:
-    return plain(commands.campaign_changes(normalized_commands(f), f.campaign).campaigns)
+    return plain(commands.campaign_changes(stored_commands(f), f.campaign).campaigns)
 
 
 @query
 def command_apply_schedule(f: Frames) -> DataFrame:
-    return commands.campaign_changes(normalized_commands(f), f.campaign).rejected.select("command_id", "campaign_id", "reason")
+    return commands.campaign_changes(stored_commands(f), f.campaign).rejected.select("command_id", "campaign_id", "reason")
 
 
 @query
 def command_new_analytics(f: Frames) -> DataFrame:
-    fresh = commands.campaign_changes(normalized_commands(f), f.campaign).new_analytics
+    fresh = commands.campaign_changes(stored_commands(f), f.campaign).new_analytics
     return merge.absent_rows(f.campaign_analytics, fresh, ["environment", "campaign_id"], ["refreshed_at"])
 
 
 @query
 def command_apply_subscriber(f: Frames) -> DataFrame:
-    return plain(commands.subscriber_changes(normalized_commands(f), f.subscriber, f.filter).subscribers)
+    return plain(commands.subscriber_changes(stored_commands(f), f.subscriber, f.filter).subscribers)
 
 
 @query
 def command_apply_labels(f: Frames) -> DataFrame:
     """Segment, tag and filter rows that add commands write."""
-    changes = commands.subscriber_changes(normalized_commands(f), f.subscriber, f.filter)
+    changes = commands.subscriber_changes(stored_commands(f), f.subscriber, f.filter)
 
     def rows(kind: str, df: DataFrame, owner: Column, label: str, position: Column) -> DataFrame:
         return df.select(

@@ -56,8 +56,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    """The frame written to the shared folder and read back: computed once, lineage cut, size known."""
+    folder = scratch_dir(df.sparkSession, "pinned")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
