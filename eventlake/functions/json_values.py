@@ -48,13 +48,13 @@ def text_field(document: Column, key: str, fallback: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), fallback)
 
 
-def int_field(document: Column, key: str, fallback: int) -> Column:
-    """Numeric value cut to a whole number; any other type gives the fallback."""
-    kind = _type_of(document, key)
-    is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    number = F.try_variant_get(document, f"$.{key}", "double")
-    whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
-    return F.coalesce(F.when(is_number, whole), F.lit(fallback).cast("long"))
+def int_field(document: Column, key: str, fallback: int, kind: str = "long") -> Column:
+    """Numeric value cut to a whole number; other types and numbers too large give the fallback."""
+    found = _type_of(document, key)
+    is_number = found.isin("BIGINT", "DOUBLE", "FLOAT") | found.startswith("DECIMAL")
+    # a cast to a whole number cuts towards zero
+    whole = F.try_variant_get(document, f"$.{key}", "double").try_cast(kind)
+    return F.coalesce(F.when(is_number, whole), F.lit(fallback).cast(kind))
 
 
 def strings_field(document: Column, key: str, fallback: tuple[str, ...]) -> Column:

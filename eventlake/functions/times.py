@@ -30,10 +30,6 @@ def to_seconds(value: Column) -> Column:
     return F.date_trunc("second", value)
 
 
-def utc_date(value: Column) -> Column:
-    return F.to_date(value)
-
-
 def parse_or_epoch(text: Column) -> Column:
     """Date-prefixed text as a timestamp in whole seconds, anything else as 1970-01-01."""
     parsed = F.when(text.rlike(fx.DATE_PREFIX_PATTERN), F.try_to_timestamp(text))

@@ -160,7 +160,7 @@ CTE["livet"] = f"""
 CTE["metric_card"] = f"""
   SELECT environment, 'total-subscribers' AS id, 'Total Subscribers' AS label, {grouped('members')} AS value,
          '+' || {tenths(half_up('new_members*1000', 'greatest(members, 1)'))} || '% this month' AS delta, 'success' AS accent,
-         'group' AS icon, 'CRUD-synced subscriber registry' AS detail, 1 AS display_order FROM figures
+         'group' AS icon, 'CRUD-synced subscriber registry' AS detail, CAST(1 AS BIGINT) AS display_order FROM figures
   UNION ALL
   SELECT environment, 'avg-open-rate', 'Avg. Open Rate',
          {tenths("CASE WHEN d > 0 THEN " + half_up('o*1000', 'd') + " ELSE 0 END")} || '%',
@@ -186,7 +186,7 @@ def figures(as_of: str) -> str:
 
 CTE["summary_card"] = f"""
   SELECT environment, 'total-reach' AS id, 'Total Reach' AS label, {compact('reach')} AS value, sent || ' sent campaigns' AS detail,
-         'muted' AS tone, 0 AS progress, 1 AS display_order FROM totals
+         'muted' AS tone, 0 AS progress, CAST(1 AS BIGINT) AS display_order FROM totals
   UNION ALL
   SELECT environment, 'avg-engagement', 'Avg Engagement',
          CASE WHEN rated > 0 THEN {tenths(half_up('rate_sum', 'rated'))} || '%' ELSE '0.0%' END,
@@ -264,7 +264,7 @@ CTE["serving_text"] = """
 def paged(rows: str) -> str:
     return f"""
   SELECT environment, page, count(*) AS items, string_agg(id, ',' ORDER BY display_order) AS ids
-  FROM (SELECT r.environment, r.id, r.display_order, before // 100 AS page
+  FROM (SELECT r.environment, r.id, r.display_order, CAST(before // 100 AS BIGINT) AS page
         FROM {rows} r JOIN (
           SELECT environment, block, coalesce(sum(size) OVER (PARTITION BY environment ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
           FROM (SELECT environment, display_order // 100 AS block, count(*) AS size FROM {rows} GROUP BY ALL)) b
@@ -387,7 +387,7 @@ CTE["latest_add"] = """
 
 # logs and samples
 
-STATUS = "CASE event_name WHEN 'error' THEN 500 WHEN 'click' THEN 404 ELSE 200 END"
+STATUS = "CAST(CASE event_name WHEN 'error' THEN 500 WHEN 'click' THEN 404 ELSE 200 END AS BIGINT)"
 CTE["log"] = f"""
   SELECT 'svc' || (u % 3) AS service, 'GET' AS method, page_url AS route, {STATUS} AS status, occurred_at AS ts, n AS request_id FROM ev"""
 CTE["steps"] = f"""
@@ -467,7 +467,7 @@ def export_section(order: int, spec) -> str:
         ending = f") on conflict ({', '.join(spec.keys)}) do update set {changes};"
     body = " || ', ' || ".join(values)
     return (
-        f"SELECT {order} AS section_order, {text(f'insert into analytics.{spec.name} ({names}) values (')} || {body} || {text(ending)} "
+        f"SELECT CAST({order} AS BIGINT) AS section_order, {text(f'insert into analytics.{spec.name} ({names}) values (')} || {body} || {text(ending)} "
         f"AS sql_text FROM {EXPORT_SOURCES[spec.name]}"
     )
 
@@ -508,7 +508,7 @@ SELECT environment, page, brand_name, 'Last analytics sync: ' || lower({relative
        'Real-time Analytics' AS analytics_headline, (SELECT description FROM serving_text) AS analytics_description,
        {grouped('network')} AS network_size, coalesce(c.items, 0) AS campaign_items, coalesce(s.items, 0) AS subscriber_items,
        coalesce(c.ids, '') AS campaign_ids, CASE WHEN page = 0 THEN labels ELSE '' END AS bar_labels
-FROM (SELECT environment, 0 AS page FROM env UNION SELECT environment, page FROM camp_page UNION SELECT environment, page FROM sub_page
+FROM (SELECT environment, CAST(0 AS BIGINT) AS page FROM env UNION SELECT environment, page FROM camp_page UNION SELECT environment, page FROM sub_page
       UNION SELECT environment, page FROM grow_page)
 JOIN env USING (environment) JOIN synced USING (environment)
 JOIN (SELECT environment, string_agg(label, ',' ORDER BY display_order) AS labels FROM bar GROUP BY environment) USING (environment)
@@ -636,7 +636,7 @@ FROM touched t LEFT JOIN camp c ON c.environment = t.environment AND c.campaign_
 LEFT JOIN (SELECT environment, max(display_order) AS top FROM camp GROUP BY environment) m ON m.environment = t.environment""")
 define("command_apply_schedule", "SELECT command_id, cid AS campaign_id, 'campaign was not found' AS reason FROM judged WHERE NOT known")
 define("command_new_analytics", """
-SELECT environment, cid AS campaign_id, 0 AS delivered_recipients, 0 AS open_recipients, 0 AS click_recipients, 0 AS bounce_recipients,
+SELECT environment, cid AS campaign_id, 0::BIGINT AS delivered_recipients, 0::BIGINT AS open_recipients, 0::BIGINT AS click_recipients, 0::BIGINT AS bounce_recipients,
        CAST(NULL AS TIMESTAMP) AS first_seen_at, CAST(NULL AS TIMESTAMP) AS last_seen_at, first_at AS refreshed_at
 FROM briefs WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.environment = briefs.environment AND ca.campaign_id = briefs.cid)""")
 define("command_apply_subscriber", """

@@ -174,7 +174,7 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
         text_field(meta, "title", default_campaign_title(F.col("action"))).alias("title"),
         text_field(meta, "summary", F.lit(fx.BRIEF_DEFAULTS["summary"])).alias("summary"),
         text_field(meta, "status", F.lit(fx.BRIEF_DEFAULTS["status"])).alias("status"),
-        int_field(meta, "audienceCount", fx.BRIEF_DEFAULTS["audienceCount"]).cast("int").alias("audience_count"),
+        int_field(meta, "audienceCount", fx.BRIEF_DEFAULTS["audienceCount"], "int").alias("audience_count"),
         text_field(meta, "audienceLabel", F.lit(fx.BRIEF_DEFAULTS["audienceLabel"])).alias("audience_label"),
         text_field(meta, "actionLabel", F.lit(fx.BRIEF_DEFAULTS["actionLabel"])).alias("action_label"),
         text_field(meta, "tone", F.lit(fx.BRIEF_DEFAULTS["tone"])).alias("tone"),

@@ -331,7 +331,7 @@ def event_publish_frame(f: Frames) -> DataFrame:
 
 @query
 def object_index_new(f: Frames) -> DataFrame:
-    fresh = bronze.new_objects(f.object_listing, f.indexed_keys)
+    fresh = bronze.sorted_listing(bronze.new_objects(f.object_listing, f.indexed_keys))
     return plain(bronze.index_rows(fresh, at(EVENTS_AS_OF)))
 
 

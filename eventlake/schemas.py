@@ -151,6 +151,7 @@ LAKE_TABLES = (
         ),
         keys=("object_key",),
         partitions=("processed_date", "source_topic"),
+        order=("object_key",),
     ),
     TableSpec(
         "third_party_snapshots",

@@ -50,6 +50,11 @@ def new_objects(listing: DataFrame, indexed: DataFrame) -> DataFrame:
     return objects.join(indexed.select("object_key"), "object_key", "left_anti")
 
 
+def sorted_listing(objects: DataFrame) -> DataFrame:
+    """Objects in key order."""
+    return objects.orderBy("object_key")
+
+
 def index_rows(objects: DataFrame, processed_at: Column) -> DataFrame:
     processed = F.date_trunc("millisecond", processed_at)
     return objects.select(

@@ -114,6 +114,7 @@ def test_json_reads_keep_types(one):
     assert one(json_values.int_field(document, "n", 1)) == 5
     assert one(json_values.int_field(document, "m", 1)) == -3
     assert one(json_values.int_field(document, "s", 1)) == 1
+    assert one(json_values.int_field(json_values.parsed(F.lit('{"n":1e300}')), "n", 7, "int")) == 7
     assert one(json_values.strings_field(document, "l", ("D",))) == ["a", "b"]
     assert one(json_values.strings_field(document, "e", ("D",))) == ["D"]
     assert one(json_values.strings_field(document, "s", ("D",))) == ["D"]
