@@ -21,6 +21,7 @@ def write_bronze(batch: DataFrame, batch_id: int, folder: str, topics: tuple[str
 
     The capture time is the start of the message's own ``capture`` unit, so a replay writes the
     same folders again, and a batch gives a few large files instead of one per message.
+    ``topics`` names all topics of the subscription.
     """
     captured = F.unix_seconds(F.date_trunc(capture, "timestamp"))
     rows = batch.select("topic", "value", captured.alias("captured_at"), F.lit(batch_id).alias("batch"))
