@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,18 +43,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return configure(spark)
 
 
+_local_shared: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a plain local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_shared:
+        folder = tempfile.mkdtemp(prefix="eventlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_shared[context.applicationId] = folder
+    return _local_shared[context.applicationId]
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (plain local tests) a temporary folder is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="eventlake-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/eventlake/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_dir(spark)}/eventlake/{purpose}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame) -> DataFrame:

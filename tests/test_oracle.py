@@ -12,7 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 pytest.importorskip("duckdb")
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from eventlake.oracle import ORACLE
+from eventlake.queries import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test data")
@@ -23,14 +25,14 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, duck, name):
-    good, message = compare(spark, duck, name, queries()[name], oracle_sql().get(name), FOLDER)
+    good, message = compare(spark, duck, name, all_queries()[name], ORACLE.get(name), FOLDER)
     assert good, message
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(ORACLE)
 
 
 def test_entry(spark):
