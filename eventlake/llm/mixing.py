@@ -114,7 +114,7 @@ def permuted(number: Column, blocks: Column, source: Column, seed: int) -> Colum
 
 def mixed_blocks(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """Every filled slot of the mix: source, shard, slot, block."""
-    counts = drawn_slots(targets, block_words, shard_slots, seed).where("slots > 0")
+    counts = drawn_slots(targets, block_words, shard_slots, seed).where("slots > 0").repartition("source", "shard")
     slots = counts.select("source", "shard", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("slots") - 1)).alias("slot"))
     kept = slots.where(F.col("slot") < MOST_TIMES * F.col("blocks"))
     return kept.select(
@@ -142,7 +142,7 @@ def mix(
     )
     inside = F.least("last_word", (F.col("block") + 1) * block_words - 1) - F.greatest("first_word", F.col("block") * block_words) + 1
     taken = (
-        pieces.join(repeats, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+        pieces.join(repeats.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
         .groupBy("_row")
         .agg(F.sum(inside * F.col("times")).alias("taken"))
     )
