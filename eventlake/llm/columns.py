@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) drawn from the parts by MD5, the same on every run and engine."""
     digest = F.md5(F.concat_ws(":", *[part.cast("string") for part in parts]))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often and however deep ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import mixing, url_rules
+from eventlake.llm import decontaminate, mixing, url_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,11 +19,17 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
 QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op5_mixing": op5_mixing,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
     "op5_mixing": mixing.SQL,
+    "op8_decontaminate": decontaminate.SQL,
 }
