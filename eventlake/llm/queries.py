@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, mixing, url_rules
+from eventlake.llm import decontaminate, mixing, spotsigs, url_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edited_pairs(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op10_spotsigs": op10_spotsigs,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
