@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, mixing, spotsigs, url_rules
+from eventlake.llm import decontaminate, jaccard_join, mixing, spotsigs, url_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, folder, "pages"), url_rules.rule_frame(spark))
 
 
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, folder, "documents"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -29,12 +33,14 @@ def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_url_rules": op3_url_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op10_spotsigs": op10_spotsigs,
 }
 ORACLE = {
     "op3_url_rules": url_rules.SQL,
+    "op4_jaccard_join": jaccard_join.SQL,
     "op5_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
