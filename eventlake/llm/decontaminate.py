@@ -1,7 +1,7 @@
 """Benchmark decontamination by winnowing.
 
 Fingerprints of a text are the k-gram hashes that are the least of some run of ``WINDOW - K + 1``
-neighbouring k-grams (the rightmost on ties). Any ``WINDOW`` words that two texts share hold such a
+neighbouring k-grams (all of them on ties). Any ``WINDOW`` words that two texts share hold such a
 run, so both texts keep the same fingerprint there: no shared window is missed. Fingerprints of
 documents meet those of the items in a join; around each hit the two texts are compared word for
 word, up to the words a window can reach, and where hit and extension give a whole window, its
@@ -42,14 +42,26 @@ def item_words(text: Column) -> Column:
 
 
 def fingerprints(words: Column, k: int = K, run: int = RUN) -> Column:
-    """Winnowed k-grams as an array of (hash, turned), ``turned`` the negative place; none for texts shorter than a window."""
+    """Winnowed k-grams as an array of (hash, place from 0); none for texts shorter than a window.
+
+    A gram is kept if it is the least of some run it lies in; equal ones are all kept. Elements are
+    read one by one, as cutting an array copies it whole.
+    """
+
+    def kept(grams: Column) -> Column:
+        least = F.transform(
+            F.sequence(F.lit(0), F.size(grams) - run), lambda at: F.least(*[F.get(grams, at + i) for i in range(run)])
+        )
+        highest = lambda at, mins: F.greatest(*[F.get(mins, at - i) for i in range(run)])
+        return let(least, lambda mins: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda at: F.get(grams, at) == highest(at, mins)),
+            lambda at: F.struct(F.get(grams, at).alias("hash"), at.alias("place")),
+        ))
+
     grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (k - 1)),
-        lambda place: F.struct(F.xxhash64(F.slice(words, place, k)).alias("hash"), (-place).alias("turned")),
+        F.sequence(F.lit(0), F.size(words) - k), lambda at: F.xxhash64(*[F.get(words, at + i) for i in range(k)])
     )
-    places = F.sequence(F.lit(1), F.size(words) - (k + run - 2))
-    winnowed = let(grams, lambda hashes: F.array_distinct(F.transform(places, lambda place: F.array_min(F.slice(hashes, place, run)))))
-    return F.when(F.size(words) >= k + run - 1, winnowed)
+    return F.when(F.size(words) >= k + run - 1, let(grams, kept))
 
 
 def hit_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -59,19 +71,19 @@ def hit_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     with hits are looked up again for the comparison.
     """
     item_prints = items.select("item_id", F.explode(let(F.col("words"), lambda words: F.transform(
-        fingerprints(words), lambda p: F.struct(p["hash"].alias("hash"), around(words, -p["turned"]).alias("near"))
+        fingerprints(words), lambda p: F.struct(p["hash"].alias("hash"), around(words, p["place"]).alias("near"))
     ))).alias("print")).select(F.col("print.hash").alias("hash"), F.struct("item_id", "print.near").alias("item"))
     doc_prints = docs.select("key", F.explode(let(item_words(F.col("text")), fingerprints)).alias("print"))
-    hits = doc_prints.select("key", F.col("print.hash").alias("hash"), (-F.col("print.turned")).alias("place")).join(item_prints, "hash")
+    hits = doc_prints.select("key", F.col("print.hash").alias("hash"), F.col("print.place").alias("place")).join(item_prints, "hash")
     by_doc = hits.groupBy("key").agg(F.collect_list(F.struct("place", "item")).alias("hits"))
 
     def extended(words: Column) -> Column:
         def span(hit: Column) -> Column:
             there = hit["item"]["near"]
             return let(around(words, hit["place"]), lambda here: F.when(here["gram"] == there["gram"], let(
-                F.struct(shared_run(F.reverse(here["before"]), F.reverse(there["before"])).alias("left"), shared_run(here["after"], there["after"]).alias("right")),
+                F.struct(shared_run(here["before"], there["before"]).alias("left"), shared_run(here["after"], there["after"]).alias("right")),
                 lambda run: F.when(run["left"] + run["right"] + K >= WINDOW, F.struct(
-                    (hit["place"] - run["left"]).alias("first"), (hit["place"] + K - 1 + run["right"]).alias("last"), hit["item"]["item_id"].alias("item_id"),
+                    (hit["place"] + 1 - run["left"]).alias("first"), (hit["place"] + K + run["right"]).alias("last"), hit["item"]["item_id"].alias("item_id"),
                 )),
             )))
 
@@ -81,18 +93,20 @@ def hit_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def around(words: Column, place: Column) -> Column:
-    """The k-gram at ``place`` and up to ``REACH`` words on both sides."""
-    start = F.greatest(place - REACH, F.lit(1))
+    """The k-gram at ``place`` and the ``REACH`` words on both sides, going outward; null beyond the text."""
     return F.struct(
-        F.slice(words, start, place - start).alias("before"), F.slice(words, place, K).alias("gram"), F.slice(words, place + K, REACH).alias("after")
+        F.array(*[F.get(words, place - 1 - i) for i in range(REACH)]).alias("before"),
+        F.array(*[F.get(words, place + i) for i in range(K)]).alias("gram"),
+        F.array(*[F.get(words, place + K + i) for i in range(REACH)]).alias("after"),
     )
 
 
 def shared_run(one: Column, other: Column) -> Column:
-    """Number of leading words two arrays share."""
-    return let(F.struct(one.alias("a"), other.alias("b"), F.least(F.size(one), F.size(other)).alias("n")), lambda pair: F.get(
-        F.filter(F.sequence(F.lit(0), pair["n"]), lambda i: (i == pair["n"]) | (F.get(pair["a"], i) != F.get(pair["b"], i))), F.lit(0)
-    ))
+    """Number of leading words that two arrays of ``REACH`` words share."""
+    unlike = F.filter(
+        F.sequence(F.lit(0), F.lit(REACH)), lambda i: (i == REACH) | ~F.coalesce(F.get(one, i) == F.get(other, i), F.lit(False))
+    )
+    return F.get(unlike, F.lit(0))
 
 
 def short_spans(docs: DataFrame, items: DataFrame) -> DataFrame | None:
@@ -105,7 +119,7 @@ def short_spans(docs: DataFrame, items: DataFrame) -> DataFrame | None:
 
     def runs(n: int) -> DataFrame:
         rows = let(item_words(F.col("text")), lambda words: F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda place: F.struct(place.alias("first"), F.slice(words, place, n).alias("run"))
+            F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda place: F.struct(place.alias("first"), F.array(*[F.get(words, place - 1 + i) for i in range(n)]).alias("run"))
         )))
         return docs.select("key", F.explode(rows).alias("at")).select("key", "at.first", (F.col("at.first") + n - 1).alias("last"), "at.run")
 
