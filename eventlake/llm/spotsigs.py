@@ -50,11 +50,12 @@ def signatures(text: Column) -> Column:
     """Sorted distinct signature hashes (32 bits each) of a text that is not null."""
 
     def spots(words: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda place: F.get(words, place - 1).isin(*ANCHORS))
-        chain = lambda place: F.slice(
-            F.filter(F.slice(words, place + 1, REACH), lambda word: ~word.isin(*ANCHORS)), 1, CHAIN
-        )
-        found = F.transform(places, lambda place: F.hash(F.get(words, place - 1), chain(place)))
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda at: F.get(words, at).isin(*ANCHORS))
+        behind = lambda at: F.array(*[F.get(words, at + i) for i in range(1, REACH + 1)])
+        content = lambda at: F.filter(behind(at), lambda word: word.isNotNull() & ~word.isin(*ANCHORS))
+        found = F.transform(places, lambda at: let(
+            content(at), lambda chain: F.hash(F.get(words, at), *[F.get(chain, F.lit(i)) for i in range(CHAIN)])
+        ))
         return let(found, lambda hashes: F.when(F.size(hashes) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(F.array(F.hash(words))))
 
     empty = F.array().cast("array<int>")
