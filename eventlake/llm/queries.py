@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, jaccard_join, mixing, spotsigs, url_rules
+from eventlake.llm import decontaminate, jaccard_join, mixing, quality, spotsigs, toxicity, url_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.select(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_pairs(table(spark, folder, "documents"))
 
@@ -35,7 +43,9 @@ QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_spotsigs": op10_spotsigs,
 }
 ORACLE = {
