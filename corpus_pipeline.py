@@ -1,7 +1,68 @@
-"""The corpus pipeline: raw documents to a training mix."""
-STAGES = []
+"""The corpus pipeline: raw documents to a training mix.
+
+Stages run in order, each on all that its predecessor kept, written as Parquet in between. Toxic documents
+go, one document of each group of near copies stays, documents contaminated by the benchmark go,
+personal data is replaced by surrogates, and what is left is mixed to target weights. All stages but the
+last return the columns they were given.
+
+Rows without an id pass the copy stage, as links are between ids; a row that repeats another one's id shares its fate.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventlake.llm import decontaminate, jaccard_join, mixing, surrogates, toxicity
+from eventlake.session import pinned
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the limit; the labels of the held-out fold do not teach."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    judged = toxicity.score(docs, model, tuple(docs.columns), out="_toxicity")
+    return judged.where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every group that links of shingle sets connect."""
+    groups = jaccard_join.linked_components(docs)
+    return docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    key = decontaminate.row_key(F.col("doc_id"), F.col("text"))
+    rejected = judged.where("contaminated").select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(rejected, "_key", "left_anti").select(*docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates in place of personal data."""
+    return surrogates.replace(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken): how many words of every document the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", replace_personal_data),
+    ("mixing", mix_sources),
+]
+
+# Models, connected components and keyed surrogates are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = pinned(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -128,7 +128,7 @@ def short_spans(docs: DataFrame, items: DataFrame) -> DataFrame | None:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) of every document."""
+    """(doc_id, key, n_words, n_hit, n_items, item_ids, contaminated) of every document; ``key`` is its ``row_key``."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     items = pinned(benchmark.select(F.col(item_id).cast("string").alias("item_id"), item_words(F.col(item_text)).alias("words")))
     spans = hit_spans(keyed, items)
@@ -150,7 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     sizes = keyed.select("doc_id", "key", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return sizes.join(found, "key", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
