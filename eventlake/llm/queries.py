@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, jaccard_join, mixing, quality, spotsigs, surrogates, toxicity, url_rules
+from eventlake.llm import decontaminate, jaccard_join, mixing, quality, spotsigs, substring_dedup, surrogates, toxicity, url_rules
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, folder, "documents")).drop("removed_spans")
+
+
 def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, folder, "pages"), url_rules.rule_frame(spark))
 
@@ -44,6 +48,7 @@ def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
@@ -54,6 +59,7 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
 }
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op3_url_rules": url_rules.SQL,
     "op4_jaccard_join": jaccard_join.SQL,
     "op5_mixing": mixing.SQL,
