@@ -190,7 +190,7 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = T
     sets = families.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = sets.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
-    texts = pinned(given.join(members, "doc_id"))
+    texts = pinned(given.join(members.hint("merge"), "doc_id"))
 
     connected = components(_links_in_tiles(texts, k, threshold))
     outside = pinned(_outside_largest(texts, connected))
