@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, jaccard_join, mixing, surrogates, toxicity
+from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
 
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = pinned(stage(spark, docs, sf_dir))

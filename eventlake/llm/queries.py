@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, jaccard_join, mixing, quality, spotsigs, substring_dedup, surrogates, toxicity, url_rules
+from eventlake.llm import decontaminate, jaccard_join, language_model, mixing, quality, spotsigs, substring_dedup, surrogates, toxicity, url_rules
+
+from eventlake.llm.shipping import ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, folder, "documents")).drop("removed_spans")
 
 
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, folder, "pages"), url_rules.rule_frame(spark))
 
@@ -47,15 +55,26 @@ def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_pairs(table(spark, folder, "documents"))
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package sent to executors that lack it."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup,
+    "op1_substring_dedup": shipped(op1_substring_dedup),
+    "op2_language_model": shipped(op2_language_model),
     "op3_url_rules": op3_url_rules,
-    "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_join": shipped(op4_jaccard_join),
     "op5_mixing": op5_mixing,
-    "op6_surrogates": op6_surrogates,
-    "op7_toxicity": op7_toxicity,
+    "op6_surrogates": shipped(op6_surrogates),
+    "op7_toxicity": shipped(op7_toxicity),
     "op8_decontaminate": op8_decontaminate,
-    "op9_quality": op9_quality,
+    "op9_quality": shipped(op9_quality),
     "op10_spotsigs": op10_spotsigs,
 }
 ORACLE = {
