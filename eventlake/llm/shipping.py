@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped or any(Path(entry).resolve() == root for entry in seen if entry):
         return
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own; Spark copies the archive when it is added
-        kept = shutil.make_archive(str(Path(folder) / "eventlake"), "zip", root, "eventlake")
-        context.addPyFile(kept)
+    folder = tempfile.mkdtemp(prefix="eventlake-package-")  # on the driver, which serves it to executors while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(str(Path(folder) / "eventlake"), "zip", root, "eventlake"))
     _shipped.add(context.applicationId)
