@@ -14,7 +14,7 @@ import pyarrow as pa
 
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 # The two ways of cutting words: at ASCII white space, or at every ASCII character but digits and letters.
 WHITE = np.zeros(256, dtype=bool)
