@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from eventlake.llm import tokens
 from eventlake.llm.learning import in_fold, labelled_texts, scored
 
-MOST_TEXTS = 8000
-MOST_CHARS = 20_000
+MOST_TEXTS = 5000
+MOST_CHARS = 8000
 SPAN = 3
 FOLDS = 4
 REJECT = 0.3
