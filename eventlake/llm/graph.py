@@ -11,17 +11,21 @@ from eventlake.session import pinned
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that ``edges`` (a, b) names; ``component`` is the least node reachable.
 
-    Each round hooks every node to its least smaller neighbour, follows two hooks at once, and
-    replaces edges by edges of the hooked nodes; nodes with edges at least halve per round. A hub with
+    Each round hooks every node to its least smaller neighbour, follows hooks to their roots by doubling,
+    and replaces edges by edges of the roots; nodes with edges at least halve per round. A hub with
     many neighbours is one row after the aggregates, and the joins back are split by adaptive execution.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     open_edges = pinned(edges.dropna(subset=["a", "b"]).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
     hooks = []
     while not open_edges.isEmpty():
-        first = pinned(open_edges.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")))
-        second = first.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        hook = pinned(first.join(second, "up", "left").select("node", F.coalesce("upper", "up").alias("up")))
+        hook = pinned(open_edges.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")))
+        climbing = True
+        while climbing:  # doubles the height of a hook until all end at roots
+            upper = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            doubled = pinned(hook.join(upper, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")))
+            climbing = not doubled.where("moved").isEmpty()
+            hook = doubled.select("node", "up")
         hooks.append(hook)
         moved = open_edges.join(hook.select(F.col("node").alias("b"), F.col("up").alias("b_up")), "b")
         moved = moved.join(hook.select(F.col("node").alias("a"), F.col("up").alias("a_up")), "a", "left")
