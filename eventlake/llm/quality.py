@@ -27,8 +27,9 @@ from eventlake.llm import tokens
 from eventlake.llm.learning import in_fold, labelled_texts, scored
 
 BUCKETS = 1 << 16
-MOST_TEXTS = 8000
-MOST_CHARS = 20_000
+MOST_TEXTS = 5000
+MOST_CHARS = 8000
+LEAST_GAP = 0.5
 ROUNDS = 300
 RIDGE = 1e-5
 KEEP_FROM = 0.5
@@ -95,7 +96,7 @@ def fit(texts: list[str], grades: list[int]) -> Model:
     edge = np.concatenate([np.full((n, 1), -np.inf), np.zeros((n, cuts)), np.full((n, 1), np.inf)], axis=1)
     at = np.arange(n)
     for _ in range(ROUNDS):
-        thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+        thresholds = first + np.concatenate([[0.0], np.cumsum(LEAST_GAP + np.exp(gaps))])
         line = np.bincount(row, weights=value * weights[bucket], minlength=n)
         edge[:, 1:-1] = thresholds - line[:, None]
         below = 1 / (1 + np.exp(-np.clip(edge, -30, 30)))
@@ -114,8 +115,8 @@ def fit(texts: list[str], grades: list[int]) -> Model:
             np.array([cut[j + 1 :].sum() * np.exp(gaps[j]) for j in range(cuts - 1)]),
         ]
         momentum = [0.9 * m + s for m, s in zip(momentum, steps, strict=True)]
-        weights, first, gaps = weights + 20 * momentum[0], first + 2 * momentum[1], gaps + 0.5 * np.clip(momentum[2], -1, 1)
-    return Model(known, weights, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+        weights, first, gaps = weights + 5 * momentum[0], first + momentum[1], gaps + 0.1 * np.clip(momentum[2], -1, 1)
+    return Model(known, weights, first + np.concatenate([[0.0], np.cumsum(LEAST_GAP + np.exp(gaps))]))
 
 
 def grade_of(labels: DataFrame) -> DataFrame:
