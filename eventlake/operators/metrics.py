@@ -1,7 +1,8 @@
 """Analytics over metric samples ``(metric, labels, ts, value)`` and run logs.
 
 Ranges are tumbling windows over the whole time axis. A counter's increase in a range is the
-sum of its steps inside the range; after a reset the new value counts as the step.
+sum of the steps to its samples inside the range, also from the last sample of an earlier range;
+after a reset the new value counts as the step.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ def counter_steps(samples: DataFrame, metric: str, labels: list[str], range_seco
         "ts",
         "value",
     )
-    bucket = time_bucket(F.col("ts"), min(BUCKET_SECONDS, range_seconds))
-    stepped = previous_value(chosen, ["series", "window_start"], bucket, ["ts", "value"], "value", "previous")
+    stepped = previous_value(chosen, ["series"], time_bucket(F.col("ts"), BUCKET_SECONDS), ["ts", "value"], "value", "previous")
     value, previous = F.col("value"), F.col("previous")
     step = F.when(previous.isNull(), 0.0).when(value < previous, value).otherwise(value - previous)
     return stepped.select(*labels, "window_start", step.alias("step"))

@@ -48,11 +48,13 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], o
 
 
 def true_runs(df: DataFrame, keys: list[str], bucket: Column, ts: str, condition: str) -> DataFrame:
-    """Maximal runs of consecutive rows whose condition holds: start, end and row count.
+    """Maximal runs of consecutive times at which the condition holds: start, end and row count.
 
     A run that crosses buckets takes its start from the bucket table: a bucket passes the open
     run on when all its rows hold, else it opens the run that trails its last failing row.
     """
+    # rows of one time are one sample, which holds if all of them do
+    df = df.groupBy(*keys, ts).agg(F.bool_and(condition).alias(condition), F.count(F.lit(1)).alias("_n"))
     holds = F.col(condition)
     cut = df.withColumn("_bucket", bucket)
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +64,7 @@ def true_runs(df: DataFrame, keys: list[str], bucket: Column, ts: str, condition
         .agg(
             F.min(F.when(holds, F.col(ts))).alias("_first"),
             F.max(F.when(holds, F.col(ts))).alias("_last"),
-            F.count_if(holds).alias("_rows"),
+            F.sum(F.when(holds, F.col("_n")).otherwise(0)).alias("_rows"),
         )
     )
     buckets = pieces.groupBy(*keys, "_bucket").agg(

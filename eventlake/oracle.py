@@ -393,13 +393,13 @@ CTE["log"] = f"""
 CTE["steps"] = f"""
   SELECT service, route, status, window_start,
          CASE WHEN previous IS NULL THEN 0.0 WHEN value < previous THEN value ELSE value - previous END AS step
-  FROM (SELECT *, lag(value) OVER (PARTITION BY service, route, status, window_start ORDER BY ts, value) AS previous
+  FROM (SELECT *, lag(value) OVER (PARTITION BY service, route, status ORDER BY ts, value) AS previous
         FROM (SELECT service, route, CAST(status AS VARCHAR) AS status, ts, CAST(request_id % 1000 AS DOUBLE) AS value,
                      {window_of('ts')} AS window_start FROM log))"""
 CTE["le_bound"] = "SELECT * FROM (VALUES ('0.05', 0.05::DOUBLE, 10), ('0.1', 0.1::DOUBLE, 30), ('0.25', 0.25::DOUBLE, 60), ('0.5', 0.5::DOUBLE, 85), ('1', 1.0::DOUBLE, 95), ('+Inf', 'Infinity'::DOUBLE, 100)) AS b(le, bound, share)"
 CTE["bucket_rate"] = f"""
   SELECT service, bound, window_start, sum(CASE WHEN previous IS NULL THEN 0.0::DOUBLE WHEN value < previous THEN value ELSE value - previous END) / {RANGE} AS observed
-  FROM (SELECT *, lag(value) OVER (PARTITION BY service, le, window_start ORDER BY ts, value) AS previous
+  FROM (SELECT *, lag(value) OVER (PARTITION BY service, le ORDER BY ts, value) AS previous
         FROM (SELECT service, le, bound, ts, CAST((request_id % 1000) * share // 100 AS DOUBLE) AS value, {window_of('ts')} AS window_start
               FROM log, le_bound))
   GROUP BY service, bound, window_start"""
@@ -420,9 +420,10 @@ def quantile(source: str, keys: str) -> str:
 
 def runs(source: str, key: str, condition: str, hold: int) -> str:
     return f"""
-  SELECT {key}, min(ts) AS run_start, max(ts) AS run_end, count(*) AS samples
-  FROM (SELECT *, sum(CASE WHEN {condition} THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM {source})
-  WHERE {condition} GROUP BY {key}, island
+  SELECT {key}, min(ts) AS run_start, max(ts) AS run_end, CAST(sum(n) AS BIGINT) AS samples
+  FROM (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island
+        FROM (SELECT {key}, ts, bool_and({condition}) AS holds, count(*) AS n FROM {source} GROUP BY {key}, ts))
+  WHERE holds GROUP BY {key}, island
   HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= {hold * 1_000_000}"""
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,11 @@ def ingest_partner_snapshot(store: TableStore, records: DataFrame, captured_at:
     """
     rows = snapshot_rows(records, at(captured_at))
     logged = store.read("third_party_snapshots").where(F.col("captured_date") == at(captured_at).cast("date"))
+    # equal keys, NULL with NULL: a record without a readable time is found again, too
     keys = ["object_key", "record_id", "collected_at", "payload"]
-    store.append("third_party_snapshots", rows.join(logged.select(*keys), keys, "left_anti"))
+    known = logged.select(*[F.col(key).alias(f"_{key}") for key in keys])
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+    store.append("third_party_snapshots", rows.join(known, same, "left_anti"))
     store.insert_absent("raw_third_party_records", raw_record_rows(records), RECORD_ORDER)
 
 

@@ -282,8 +282,8 @@ def document_items(tables: Mapping[str, DataFrame], as_of: Column) -> dict[str,
 SHORT_LISTS = ("metrics", "bars", "stats")
 
 
-def paged_items(tables: Mapping[str, DataFrame], as_of: Column, page_size: int) -> DataFrame:
-    """All lists of the document as arrays, one row per tenant and page.
+def paged_items(tables: Mapping[str, DataFrame], as_of: Column, page_size: int | None) -> DataFrame:
+    """All lists of the document as arrays, one row per tenant, and per page if a size is given.
 
     The entries of all lists run through one union, one join with their page numbers and one
     grouping. Page numbers are counted on the bare tables.
@@ -306,19 +306,24 @@ def paged_items(tables: Mapping[str, DataFrame], as_of: Column, page_size: int)
         "signals": tables["platform_analytics_signal"],
     }
     positions = union([rows.select(TENANT, F.lit(name).alias("list"), "display_order") for name, rows in sources.items()])
-    numbers = page_numbers(positions, [TENANT, "list"], "display_order", page_size)
-    long = union([entries(name) for name in sources]).withColumn("block", page_block(F.col("display_order"), page_size))
-    paged = long.join(numbers, [TENANT, "list", "block"]).drop("block")
+    long = union([entries(name) for name in sources])
+    if page_size is None:
+        paged = long.withColumn("page", F.lit(0).cast("long"))
+    else:
+        numbers = page_numbers(positions, [TENANT, "list"], "display_order", page_size)
+        blocks = long.withColumn("block", page_block(F.col("display_order"), page_size))
+        paged = blocks.join(numbers, [TENANT, "list", "block"]).drop("block")
     short = union([entries(name) for name in SHORT_LISTS]).withColumn("page", F.lit(0).cast("long"))
     rows = paged.unionByName(short, allowMissingColumns=True)
     return rows.groupBy(TENANT, "page").agg(*[ordered_list(["display_order"], name).alias(name) for name in items])
 
 
-def platform_bootstrap(tables: Mapping[str, DataFrame], as_of: Column, environment: str | None = None, page_size: int = 1000) -> DataFrame:
+def platform_bootstrap(tables: Mapping[str, DataFrame], as_of: Column, environment: str | None = None, page_size: int | None = None) -> DataFrame:
     """The dashboard document, six nested sections per tenant; ``environment`` picks one tenant.
 
-    A tenant whose lists fit one page is one row (page 0), the whole document. Longer lists go
-    on in rows of further pages, so that no row or task has to hold an unbounded list.
+    One row per tenant, the whole document, for a named tenant or tenants known to be small; the
+    caller, never the data, may ask for pages of ``page_size`` entries instead. At scale and over all
+    tenants, ``document_items`` gives the lists as rows and holds nothing together.
     """
     if environment is not None:
         tables = {name: table.where(F.col(TENANT) == environment) for name, table in tables.items()}

@@ -164,10 +164,15 @@ class TableStore:
         location = self.location(name)
         self._write(spec, changed, location, "overwrite")
         for values in emptied:
-            path = "/".join([location] + [f"{part}={values[part]}" for part in parts])
+            path = "/".join([location] + [self._partition_folder(part, values[part]) for part in parts])
             files, target = self._file_system(path)
             files.delete(target, True)
 
+    def _partition_folder(self, part: str, value) -> str:
+        """Folder of a partition value, with the characters that Spark escapes in folder names."""
+        names = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return names.getPartitionPathString(part, None if value is None else str(value))
+
     def upsert(self, name: str, source: DataFrame, update: Sequence[str], order: Sequence[Column | str] | None = None) -> None:
         """Insert new keys, set the ``update`` columns of known ones; with ``order`` the last of equal keys wins."""
         self.ensure(name)

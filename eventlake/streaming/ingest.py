@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventlake.plans.parse import parse_payload
-from eventlake.sources.streams import TOPICS
-
+from eventlake.operators.ordering import first_per_key
 
 
 def _drain(writer, once: bool) -> StreamingQuery:
@@ -16,16 +16,20 @@ def _drain(writer, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def write_bronze(batch: DataFrame, batch_id: int, folder: str, topics: tuple[str, ...] = TOPICS, capture: str = "day") -> None:
+UNROUTED = "unrouted"
+
+
+def write_bronze(batch: DataFrame, batch_id: int, folder: str, capture: str = "day") -> None:
     """Messages as text below bronze/<topic>/captured_at=<epoch>; each batch owns its files.
 
     The capture time is the start of the message's own ``capture`` unit, so a replay writes the
     same folders again, and a batch gives a few large files instead of one per message.
-    ``topics`` names all topics of the subscription.
+    Every topic of the batch is written; messages without one go to ``unrouted``.
     """
     captured = F.unix_seconds(F.date_trunc(capture, "timestamp"))
-    rows = batch.select("topic", "value", captured.alias("captured_at"), F.lit(batch_id).alias("batch"))
-    for topic in topics:
+    topic_of = F.coalesce("topic", F.lit(UNROUTED))
+    rows = batch.select(topic_of.alias("topic"), "value", captured.alias("captured_at"), F.lit(batch_id).alias("batch"))
+    for topic in [row["topic"] for row in rows.select("topic").distinct().collect()]:  # as many as were subscribed to
         (
             rows.where(F.col("topic") == topic)
             .drop("topic")
@@ -65,9 +69,24 @@ def events_view(messages: DataFrame, events: str, checkpoint: str, once: bool =
     )
 
 
-def deduplicated(events: DataFrame, key: str = "event_id", event_time: str = "occurred_at", delay: str = "1 day") -> DataFrame:
-    """First arrival of every id; repeats within the delay are dropped, with bounded state."""
-    return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def first_arrivals(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", once: bool = True) -> StreamingQuery:
+    """First arrival of every id, however late it comes; repeats are dropped against all that earlier batches kept.
+
+    Each batch owns a partition, so a replay overwrites its own rows. Rows without an id are kept.
+    Within a batch the first of equal ids is the least by its other columns, picked before the shuffle.
+    """
+    spark, schema = events.sparkSession, StructType([*events.schema.fields, StructField("batch", LongType())])
+    order = [name for name in events.columns if name != key]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        named = first_per_key(batch.where(F.col(key).isNotNull()), [key], order)
+        if batch_id:
+            known = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+            named = named.join(known.select(key), key, "left_anti").select(*batch.columns)
+        fresh = named.unionByName(batch.where(F.col(key).isNull())).withColumn("batch", F.lit(batch_id).cast("long"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return _drain(events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

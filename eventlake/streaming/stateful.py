@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlake.operators.requests import ROUTE, last_statuses, status_transitions
+from eventlake.session import pinned
 from eventlake.sources.store import TableStore
 from eventlake.streaming.ingest import _drain
 
 
-def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Event-time counts per tenant and day, in update mode."""
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Event-time counts per tenant and day, in update mode. Every event counts, however late; the state is one number per tenant and day."""
     return (
-        events.withWatermark("occurred_at", delay)
+        events.where(F.col("occurred_at").isNotNull())
         .groupBy(F.window("occurred_at", "1 day"), "environment")
         .agg(F.count(F.lit(1)).alias("event_count"))
         .select("environment", F.to_date("window.start").alias("bucket_date"), "event_count")
@@ -26,8 +27,9 @@ def maintain_daily(events: DataFrame, store: TableStore, refreshed_at: Column, c
     store.ensure("platform_daily_performance")
 
     def write(batch: DataFrame, _: int) -> None:
+        # pinned, as the store reads a change more than once and a stateful batch must run once
         store.upsert(
-            "platform_daily_performance", batch.withColumn("refreshed_at", refreshed_at), ["event_count", "refreshed_at"]
+            "platform_daily_performance", pinned(batch).withColumn("refreshed_at", refreshed_at), ["event_count", "refreshed_at"]
         )
 
     writer = daily_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -23,9 +23,22 @@ def test_counter_reset_counts_the_new_value(spark):
     assert metrics.counter_rate(df, "c", ["service"], 3600).first()["rate"] == 7 / 3600
 
 
-def test_no_step_crosses_a_range(spark):
+def test_steps_across_a_range_edge_count_in_the_later_range(spark):
     df = counter(spark, [0, 10, 100, 110], step=1800, service="s")
-    assert sorted(r["increase"] for r in metrics.counter_increase(df, "c", ["service"], 3600).collect()) == [10, 10]
+    assert sorted(r["increase"] for r in metrics.counter_increase(df, "c", ["service"], 3600).collect()) == [10, 100]
+    hourly = counter(spark, range(6), step=3600, service="s")
+    assert sum(r["increase"] for r in metrics.counter_increase(hourly, "c", ["service"], 3600).collect()) == 5
+
+
+def test_rows_of_one_time_are_one_sample(spark):
+    times = [0, 5, 10, 10, 15, 20, 25]
+    values = [0, 0, 0, 1, 0, 0, 0]
+    for order in (1, -1):
+        data = [("j", START + timedelta(minutes=t), float(v)) for t, v in list(zip(times, values, strict=True))[::order]]
+        df = spark.createDataFrame(data, "job string, ts timestamp, value double")
+        runs = metrics.held_condition(df, ["job"], F.col("value") == 0, 0).collect()
+        spans = sorted(((r["run_start"] - START).seconds // 60, (r["run_end"] - START).seconds // 60, r["samples"]) for r in runs)
+        assert spans == [(0, 5, 2), (15, 25, 3)]
 
 
 def test_series_of_one_label_value_add_up(spark):

@@ -205,3 +205,14 @@ def test_export_files_keep_statement_order(spark, tmp_path):
 
 def test_row_audit_of_an_empty_table(spark):
     assert audit.row_audit({"none": spark.range(0)}, "r", at(NOW)).first()["rows"] == 0
+
+
+def test_emptied_partitions_of_odd_tenant_names(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "odd"))
+    tenants = ["a:b/ c", "x=y%z", "plain"]
+    frame = spark.createDataFrame([(t, f"s{n}", f"label{n}", n) for t in tenants for n in range(20)], "environment string, subscriber_id string, segment_label string, display_order int")
+    frame = frame.select(*[F.col(c).cast(store.spec("platform_subscriber_segment").schema[c].dataType) for c in store.spec("platform_subscriber_segment").schema.names])
+    store.append("platform_subscriber_segment", frame)
+    for tenant in tenants[:2]:
+        store.reload_tenant("platform_subscriber_segment", tenant, frame.limit(0))
+    assert {r["environment"] for r in store.read("platform_subscriber_segment").collect()} == {"plain"}

@@ -82,10 +82,41 @@ def test_repeats_are_dropped_across_batches(spark, out):
     data = [(f"e{n % 10}", "view", START + timedelta(minutes=n)) for n in range(40)]
     frame = spark.createDataFrame(data, "event_id string, event_name string, occurred_at timestamp")
     stream = in_files(spark, frame, f"{out}/in", "occurred_at", 4)
-    ingest.append_stream(ingest.deduplicated(stream), f"{out}/events", f"{out}/checkpoint").awaitTermination()
+    ingest.first_arrivals(stream, f"{out}/events", f"{out}/checkpoint").awaitTermination()
     assert rows(spark.read.parquet(f"{out}/events"), "event_id") == [(f"e{n}",) for n in range(10)]
 
 
+def late_first(spark, frame, folder, cut):
+    """Two files of a stream: the rows from ``cut`` on come first, those before it late."""
+    for n, part in enumerate((frame.where(F.col("occurred_at") >= cut), frame.where(F.col("occurred_at") < cut))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/{n}")
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_late_ids_are_kept(spark, out):
+    data = [(f"e{n % 30}", START + timedelta(days=n)) for n in range(60)]
+    frame = spark.createDataFrame([*data, (None, START), (None, START)], "event_id string, occurred_at timestamp")
+    stream = late_first(spark, frame, f"{out}/in", START + timedelta(days=45))
+    ingest.first_arrivals(stream, f"{out}/events", f"{out}/checkpoint").awaitTermination()
+    assert rows(spark.read.parquet(f"{out}/events"), "event_id") == sorted([(f"e{n}",) for n in range(30)] + [(None,), (None,)], key=lambda r: (r[0] is None, str(r[0])))
+
+
+def test_late_events_count(spark, out):
+    data = [("env", START + timedelta(days=n // 2)) for n in range(60)]
+    frame = spark.createDataFrame(data, "environment string, occurred_at timestamp")
+    store = TableStore(spark, f"{out}/store")
+    stream = late_first(spark, frame, f"{out}/in", START + timedelta(days=20))
+    stateful.maintain_daily(stream, store, at("2024-03-01"), f"{out}/checkpoint").awaitTermination()
+    want = frame.groupBy("environment", F.to_date("occurred_at").alias("d")).count()
+    assert rows(store.read("platform_daily_performance"), "environment", "bucket_date", "event_count") == rows(want)
+
+
+def test_bronze_keeps_every_topic(spark, out):
+    batch = spark.createDataFrame([("other", "a", START), (None, "b", START), ("email_events_raw", "c", START)], "topic string, value string, timestamp timestamp")
+    ingest.write_bronze(batch, 0, f"{out}/bronze")
+    assert rows(bronze.bronze_rows(spark, f"{out}/bronze"), "content") == [("a",), ("b",), ("c",)]
+
+
 def test_daily_counts_across_batches(spark, out):
     data = [("env" + str(n % 2), START + timedelta(hours=5 * n)) for n in range(40)]
     frame = spark.createDataFrame(data, "environment string, occurred_at timestamp")
