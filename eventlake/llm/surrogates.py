@@ -4,12 +4,14 @@ Detection is by pattern and checksum: mail addresses, phone and card numbers, ne
 secrets behind words like ``password=`` or ``token =``, card numbers only with a valid checksum, and person names behind a title or from a list of given names.
 A surrogate is drawn by a keyed hash (HMAC-SHA256) of the kind and the normalised entity, so the same entity has the same
 surrogate wherever it stands (coreference), whatever its writing: surrogates are drawn for the normalised form and then written in
-the format of the occurrence. Digits become digits, letters letters of the same case and script, separators stay; card numbers
+the format of the occurrence. Digits become digits, letters letters of the same case and script, separators stay (symbols of a secret
+of fewer than ``FEW`` letters and digits become symbols); card numbers
 keep their issuer digit and satisfy the checksum, addresses stay in their private or public range, names keep gender and script.
 
 Distinctness: surrogates are drawn for all distinct entities of the corpus (one shuffle of entities, combined before it, never of texts),
 and joined with themselves: entities that share a surrogate, or whose surrogate is itself an entity of the corpus, draw again with the
-next attempt number until none is left; of several that share one, the least entity keeps it. Texts then take the final surrogates; only
+next attempt number until none is left; of several that share one, the least entity keeps it. From attempt ``WIDER`` on, surrogates come
+from wider pools (longer secrets and mail names, all of 10.0.0.0/8, then of 240.0.0.0/4), and from ``PLAIN`` on they are the kind with a drawn number, so the rounds end. Texts then take the final surrogates; only
 those that needed another attempt are looked up, the others are drawn in place from the key.
 
 The redrawn entities travel with the tasks as a table: it is broadcast only up to ``MOST_REDRAWN`` rows (their number is counted first);
@@ -25,7 +27,9 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,9 @@ from eventlake.session import pinned
 
 KEY = b"surrogates of this corpus"  # a deployment passes its own
 MOST_REDRAWN = 100_000
+WIDER, WIDEST, PLAIN = 3, 8, 16  # attempts from which pools are wider, widest, and without the format of the entity
+FEW = 4
+SYMBOLS = "!#$%&*+-./:;<=>?@^_|~"
 
 # Given names by gender and script (fixed values); family names by script.
 GIVEN = {
@@ -118,8 +125,16 @@ class Stream:
         return drawn
 
 
-def like(value: str, draw: Stream) -> str:
-    """Digits for digits, letters for letters of the same case and script; all else stays."""
+@lru_cache(maxsize=4096)
+def alike(c: str) -> str:
+    """Characters near ``c`` of its category; ASCII ones where it has none."""
+    at, category = ord(c) & ~63, unicodedata.category(c)
+    near = "".join(chr(x) for x in range(at, at + 64) if unicodedata.category(chr(x)) == category)
+    return near if len(near) > 1 else "abcdefghijklmnopqrstuvwxyz" if c.isalnum() else SYMBOLS
+
+
+def like(value: str, draw: Stream, symbols: bool = False) -> str:
+    """Digits for digits, letters for letters of the same case and script, other characters only with ``symbols``."""
     out = []
     for c in value:
         if c.isascii() and c.isdigit():
@@ -132,25 +147,37 @@ def like(value: str, draw: Stream) -> str:
         elif "а" <= c.lower() <= "я":
             drawn = chr(ord("а") + draw.below(32))
             out.append(drawn.upper() if c.isupper() else drawn)
+        elif c.isalnum() or symbols:
+            near = SYMBOLS if c.isascii() else alike(c)
+            out.append(near[draw.below(len(near))])
         else:
             out.append(c)
     return "".join(out)
 
 
+def longer(draw: Stream, attempt: int) -> str:
+    """What later attempts add to surrogates of any length: more with every attempt."""
+    return like("a0" * (attempt - WIDER + 2), draw) if attempt >= WIDER else ""
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """Stand-in of a normalised entity."""
     draw = Stream(key, kind.split(":")[0], value, str(attempt))
+    if attempt >= PLAIN:
+        return f"{kind.split(':')[0]}-{draw.below(1 << 128):032x}"
     if kind == "mail":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        return f"{like(local, draw)}@" + ".".join([like(x, draw) if i < len(labels) - 2 or len(labels) == 2 and i == 0 else x for i, x in enumerate(labels)])
+        return f"{like(local, draw)}{longer(draw, attempt)}@" + ".".join([like(x, draw) if i < len(labels) - 2 or len(labels) == 2 and i == 0 else x for i, x in enumerate(labels)])
     if kind == "card":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         return next(body + str(d) for d in range(10) if checksum_ok(body + str(d)))
     if kind == "address":
         parts = value.split(".")
         private = ipaddress.ip_address(".".join(str(int(p)) for p in parts)).is_private
-        fixed = 2 if private else 0
+        if private and attempt >= WIDER:  # two octets may be too few for the entities of a network
+            parts = ["10", *parts[1:]] if attempt < WIDEST else [str(240 + draw.below(15)), *parts[1:]]
+        fixed = 0 if not private else 2 if attempt < WIDER else 1
         drawn = [str(1 + draw.below(254)) for _ in parts[fixed:]]
         if not private:
             drawn[0] = str((1, 2, 3, 5, 8, 9, 11, 20, 31, 44, 52, 61, 77, 84, 93, 109, 133, 151, 185, 201)[draw.below(20)])
@@ -168,12 +195,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         if attempt:  # lists are short: later attempts write their number as a second family name
             family += "-" + like(family, draw).capitalize()
         return f"{GIVEN[gender, script][draw.below(len(GIVEN[gender, script]))]} {family}" if len(words) > 1 else family
+    if kind == "secret":
+        return like(value, draw, symbols=sum(c.isalnum() for c in value) < FEW) + longer(draw, attempt)
     return like(value, draw)
 
 
 def written(kind: str, drawn: str, occurrence: str) -> str:
     """A surrogate in the format of the occurrence."""
-    if kind in ("phone", "card", "social"):
+    if kind in ("phone", "card", "social") and drawn.isdigit():
         digits = iter(drawn)
         return "".join(next(digits) if c.isdigit() else c for c in occurrence)
     if kind == "mail":

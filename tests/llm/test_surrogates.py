@@ -57,3 +57,29 @@ def test_odd_rows(documents):
     rows = surrogates.replace(docs).collect()
     assert {row.doc_id: row.text for row in rows if row.doc_id} == {1: None, 2: "", 3: long} and len(rows) == 5
     assert surrogates.replace(documents()).count() == 0
+
+
+def test_secrets_of_any_characters_change(documents):
+    """Symbols, other scripts and single letters: the rounds end, and no secret stays."""
+    secrets = ["********", "......", "密码密码密码", "סיסמהסודית", "ёёёёёё", "-----1", "😀😀😀😀😀😀", "ªªªªªª", "------a"]
+    out = [row.text for row in surrogates.replace(documents(*((i, f"password: {x} end") for i, x in enumerate(secrets)))).orderBy("doc_id").collect()]
+    got = [re.fullmatch(r"password: (\S+) end", x)[1] for x in out]
+    assert not set(got) & set(secrets) and len(set(got)) == len(secrets)
+    assert all("\u4e00" <= c <= "\u9fff" for c in got[2]) and all("\u0590" <= c <= "\u05ff" for c in got[3])
+
+
+def test_an_exhausted_network_is_widened(documents):
+    """All addresses that keep the first two octets are entities themselves."""
+    rows = [(i, " ".join(f"192.168.{i}.{j}" for j in range(1, 255))) for i in range(1, 255)]
+    out = surrogates.replace(documents(*rows)).collect()
+    got = [x for row in out for x in row.text.split()]
+    assert len(set(got)) == 254 * 254 and not {x for x in got if x.startswith("192.168.")} and all(x.startswith("10.") for x in got)
+
+
+def test_mails_without_letters_and_the_last_resort(documents):
+    docs = documents((1, "to _@-.com or +@-.com"))
+    assert not re.search(r"(?<!\w)[_+]@", surrogates.replace(docs).first().text)
+    kinds = {"mail": "a@b.co", "secret": "abcdef", "address": "10.0.0.1", "phone": "12025550100", "social": "123456789", "card": "4111111111111111", "name:f": "Anna Keller"}
+    for kind, value in kinds.items():
+        one, two = (surrogates.surrogate(b"k", kind, value, attempt) for attempt in (surrogates.PLAIN, surrogates.PLAIN + 1))
+        assert one != two and surrogates.written(kind, one, value) == one
