@@ -10,6 +10,8 @@ Rows without an id pass the copy stage, as links are between ids; a row that rep
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from eventlake.llm import decontaminate, jaccard_join, mixing, surrogates, toxic
 from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
+COPY_SHINGLE, COPY_THRESHOLD = 5, Fraction(4, 5)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the limit; the labels of the held-out fold do not teach."""
@@ -27,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group that links of shingle sets connect."""
-    groups = jaccard_join.linked_components(docs)
+    """The document with the least id of every group that links of five-word shingle sets connect, from a likeness of 0.8."""
+    groups = jaccard_join.linked_components(docs, k=COPY_SHINGLE, threshold=COPY_THRESHOLD)
     return docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -5,7 +5,9 @@ threshold lie in one band or in neighbouring ones; tile ``t`` compares sets whos
 band ``t``. Two such sets differ in at most ``D`` shingles, so if the hash space is cut into ``D + 1`` parts, at
 least one part holds the same shingles of both (pigeonhole). Each set therefore stands in its tiles
 under one key per part, the hash of what the part holds, and no link is missed; a part holds about
-ten shingles, so sets that are not near copies hardly ever meet, however common their shingles are.
+ten shingles at 9/10, so sets that are not near copies hardly ever meet, however common their shingles are. Below 9/10 parts hold
+fewer (about three at 4/5) and some none; then there are spare parts, and a set whose filled parts exceed ``D`` leaves its empty ones out:
+differing shingles touch at most ``D`` parts, so a filled one is still the same in both.
 
 Sets that meet, directly or through others, form families. Inside a family, sets are ordered by
 size, and a pair is compared only within the size bound and while it is not connected yet. A hashed
@@ -69,16 +71,25 @@ def tile_parts(edges: np.ndarray, threshold: Fraction, tile: int) -> int:
     return (small + large) * (threshold.denominator - threshold.numerator) // (threshold.denominator + threshold.numerator) + 1
 
 
+def spare_parts(parts: int, threshold: Fraction) -> int:
+    """Parts beyond those that are needed, so that enough are filled where they hold few shingles."""
+    return parts // 5 + 3 if threshold < Fraction(9, 10) else 0
+
+
 def part_keys(hashes: np.ndarray, edges: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Keys of a set in its own tile and the one below."""
     band = int(np.searchsorted(edges, len(hashes), "right")) - 1
     keys = []
     spread = tokens.mixed(hashes + np.uint64(tokens.STEP))
     for tile in (band, band - 1) if band else (band,):
-        parts = np.uint64(tile_parts(edges, threshold, tile))
+        needed = tile_parts(edges, threshold, tile)
+        parts = np.uint64(needed + spare_parts(needed, threshold))
         content = np.zeros(int(parts), dtype=np.uint64)
-        np.add.at(content, (spread % parts).astype(np.int64), hashes)
-        keys.append(tokens.mixed(content + tokens.mixed(np.arange(int(parts), dtype=np.uint64) + np.uint64((tile + 1) << 40))))
+        part = (spread % parts).astype(np.int64)
+        np.add.at(content, part, hashes)
+        of_tile = tokens.mixed(content + tokens.mixed(np.arange(int(parts), dtype=np.uint64) + np.uint64((tile + 1) << 40)))
+        filled = np.bincount(part, minlength=int(parts)) > 0
+        keys.append(of_tile[filled] if filled.sum() >= needed else of_tile)
     return np.concatenate(keys)
 
 
