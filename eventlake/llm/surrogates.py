@@ -7,12 +7,13 @@ surrogate wherever it stands (coreference), whatever its writing: surrogates are
 the format of the occurrence. Digits become digits, letters letters of the same case and script, separators stay (symbols of a secret
 of fewer than ``FEW`` letters and digits become symbols); card numbers
 keep their issuer digit and satisfy the checksum, addresses stay in their private or public range, names keep gender and script.
+The gender of a name is one for the corpus: that of a listed given name, else of a title (the first of f and m that occurs), else drawn.
 
 Distinctness: surrogates are drawn for all distinct entities of the corpus (one shuffle of entities, combined before it, never of texts),
 and joined with themselves: entities that share a surrogate, or whose surrogate is itself an entity of the corpus, draw again with the
 next attempt number until none is left; of several that share one, the least entity keeps it. From attempt ``WIDER`` on, surrogates come
 from wider pools (longer secrets and mail names, all of 10.0.0.0/8, then of 240.0.0.0/4), and from ``PLAIN`` on they are the kind with a drawn number, so the rounds end. Texts then take the final surrogates; only
-those that needed another attempt are looked up, the others are drawn in place from the key.
+those that needed another attempt, or whose occurrences differ in gender, are looked up, the others are drawn in place from the key.
 
 The redrawn entities travel with the tasks as a table: it is broadcast only up to ``MOST_REDRAWN`` rows (their number is counted first);
 beyond, they are joined to the documents that hold them.
@@ -92,7 +93,9 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             start, end = found.span("secret_value")
         elif kind == "name":
             start, end = found.span("titled" if found["titled"] else "listed")
-            kind = "name:" + (TITLES[found["title"]] if found["title"] else GENDER[found["listed"].split()[0]])
+            given, _, family = text[start:end].partition(" ")
+            # A family name alone has the same surrogates for all genders.
+            kind = "name:" + (GENDER.get(given) or TITLES[found["title"]] if family else "")
         elif kind == "address" and any(int(part) > 255 for part in found[kind].split(".")):
             continue
         elif kind == "card" and not checksum_ok(normal(kind, found[kind])):
@@ -188,7 +191,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "access_key":
         return value[:4] + "".join((chr(65 + n) if n < 26 else str(n - 24)) for n in (draw.below(32) for _ in value[4:]))
     if kind.startswith("name"):
-        gender = kind[5:] or ("f", "m")[draw.below(2)]
+        gender = kind[5:] or ("f", "m")[Stream(key, "gender", value).below(2)]
         script = "cyrillic" if "а" <= value[0].lower() <= "я" else "latin"
         words = value.split(" ")
         family = FAMILY[script][draw.below(len(FAMILY[script]))]
@@ -210,29 +213,39 @@ def written(kind: str, drawn: str, occurrence: str) -> str:
     return drawn
 
 
-ENTITY = pa.schema([("kind", pa.string()), ("value", pa.string()), ("drawn", pa.string())])
+ENTITY = pa.schema([("kind", pa.string()), ("value", pa.string()), ("full", pa.string())])
 
 
 def corpus_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """Distinct entities with their first surrogates: kind, value, drawn. Repeats within a batch leave the task once."""
+    """Distinct entities with their first surrogates: kind, value, full, mixed, drawn. Repeats within a batch leave the task once.
+
+    ``full`` is the kind with the settled gender, ``mixed`` says whether an occurrence has another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(kind.split(":")[0], normal(kind, value)): kind for x in batch.column(0).to_pylist() for _, _, kind, value in entities(x)}
-            rows = [(kind, value, surrogate(key, full, value)) for (kind, value), full in found.items()]
-            yield pa.RecordBatch.from_pylist([dict(zip(ENTITY.names, row, strict=True)) for row in rows], schema=ENTITY)
+            found = {(kind.split(":")[0], normal(kind, value), kind) for x in batch.column(0).to_pylist() for _, _, kind, value in entities(x)}
+            yield pa.RecordBatch.from_pylist([dict(zip(ENTITY.names, row, strict=True)) for row in found], schema=ENTITY)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [surrogate(key, full, value) for full, value in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], names=[*batch.schema.names, "drawn"])
 
-    return docs.select(text).mapInArrow(run, "kind string, value string, drawn string").groupBy("kind", "value").agg(F.min("drawn").alias("drawn"))
+    gendered = F.when(F.col("full") != "name:", F.col("full"))
+    settled = docs.select(text).mapInArrow(run, "kind string, value string, full string").groupBy("kind", "value").agg(
+        F.coalesce(F.min(gendered), F.min("full")).alias("full"), (F.min("full") != F.max("full")).alias("mixed")
+    )
+    return settled.mapInArrow(first, "kind string, value string, full string, mixed boolean, drawn string")
 
 
 def redrawn(known: DataFrame, key: bytes) -> DataFrame:
-    """Final surrogates of the entities whose first one collided: kind, value, attempt."""
+    """Final surrogates of the entities whose first one collided or whose gender is mixed: kind, value, full, attempt, drawn."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
-                row["drawn"] = surrogate(key, row["kind"], row["value"], row["attempt"])
+                row["drawn"] = surrogate(key, row["full"], row["value"], row["attempt"])
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     settled, tries = [], known.withColumn("attempt", F.lit(0))
@@ -245,15 +258,15 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame:
         judged = tries.join(owners, ["kind", "drawn"]).join(known.select("kind", F.col("value").alias("drawn"), F.lit(True).alias("real")), ["kind", "drawn"], "left")
         judged = pinned(judged.withColumn("good", F.col("real").isNull() & ~(~F.col("owner.free")) & (F.col("owner.value") == F.col("value"))).select(*tries.columns, "good"))
         settled.append(judged.where("good").select(*tries.columns))
-        left = judged.where("not good").select("kind", "value", "drawn", (F.col("attempt") + 1).alias("attempt"))
+        left = judged.where("not good").withColumn("attempt", F.col("attempt") + 1).select(*tries.columns)
         if left.isEmpty():
             break
         tries = pinned(left.mapInArrow(again, left.schema))
     later = settled[1:]
-    out = settled[0].where("attempt > 0")
+    out = settled[0].where("attempt > 0 or mixed")
     for frame in later:
         out = out.unionByName(frame)
-    return out.select("kind", "value", "attempt")
+    return out.select("kind", "value", "full", "attempt", "drawn")
 
 
 def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str | None = None) -> DataFrame:
@@ -264,7 +277,7 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str |
     attempts: dict = {}
     given = docs
     if 0 < n <= MOST_REDRAWN:
-        attempts = {(row.kind, row.value): row.attempt for row in changed.collect()}  # at most MOST_REDRAWN rows
+        attempts = {(row.kind, row.value): (row.full, row.attempt) for row in changed.drop("drawn").collect()}  # at most MOST_REDRAWN rows
     shared = docs.sparkSession.sparkContext.broadcast(attempts)
     if n > MOST_REDRAWN:
         given = _with_attempts(docs, changed, text)
@@ -279,11 +292,12 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str |
             texts, counts = [], []
             lookups = batch.column(own).to_pylist() if own is not None else None
             for i, x in enumerate(batch.column(at).to_pylist()):
-                again = shared.value if lookups is None else {(e["kind"], e["value"]): e["attempt"] for e in lookups[i] or ()}
+                again = shared.value if lookups is None else {(e["kind"], e["value"]): (e["full"], e["attempt"]) for e in lookups[i] or ()}
                 out, upto, found = [], 0, 0
                 for start, end, kind, value in entities(x):
                     plain = normal(kind, value)
-                    out += [x[upto:start], written(kind, surrogate(key, kind, plain, again.get((kind.split(":")[0], plain), 0)), value)]
+                    full, attempt = again.get((kind.split(":")[0], plain), (kind, 0))
+                    out += [x[upto:start], written(kind, surrogate(key, full, plain, attempt), value)]
                     upto, found = end, found + 1
                 texts.append("".join([*out, x[upto:]]) if found else x)
                 counts.append(found)
@@ -311,5 +325,5 @@ def _with_attempts(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("mark", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
     holds = docs.select(mark.alias("mark"), text).mapInArrow(run, "mark long, kind string, value string").distinct()
-    lists = holds.join(changed, ["kind", "value"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_attempts"))
+    lists = holds.join(changed, ["kind", "value"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "value", "full", "attempt")).alias("_attempts"))
     return docs.withColumn("mark", mark).join(lists, "mark", "left").drop("mark")

@@ -83,3 +83,19 @@ def test_mails_without_letters_and_the_last_resort(documents):
     for kind, value in kinds.items():
         one, two = (surrogates.surrogate(b"k", kind, value, attempt) for attempt in (surrogates.PLAIN, surrogates.PLAIN + 1))
         assert one != two and surrogates.written(kind, one, value) == one
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_names_have_one_surrogate_and_it_is_the_checked_one(documents, monkeypatch, most):
+    """Titles do not part a person, and what is written is what was compared with other surrogates."""
+    monkeypatch.setattr(surrogates, "MOST_REDRAWN", most)
+    persons = [f"{given} {family}" for given in ("Anna", "Jana", "Odin") for family in (f"Q{a}{b}er" for a in "aeiouy" for b in "bdfgklmnprst")]
+    forms = lambda p: [f"Dr. {p}", f"Ms. {p}", f"Mr. {p}"] if not p.startswith("Odin") else [f"Dr. {p}", f"Mr. {p}"]
+    docs = documents(*[(100 * n + i, f"{form} spoke") for n, p in enumerate(persons) for i, form in enumerate([*forms(p), *([p] if p.startswith("Anna") else [])])])
+    known = surrogates.corpus_entities(docs, surrogates.KEY)
+    checked = {row.value: row.drawn for row in known.collect()} | {row.value: row.drawn for row in surrogates.redrawn(known, surrogates.KEY).collect()}
+    got = {}
+    for row in surrogates.replace(docs).collect():
+        got.setdefault(persons[row.doc_id // 100], set()).add(re.fullmatch(r"(?:\w+\. )?(\S+ \S+) spoke", row.text)[1])
+    assert got == {value: {drawn} for value, drawn in checked.items()} and len(set(checked.values())) == len(persons)
+    assert all(next(iter(got[p])).split()[0] in surrogates.GIVEN["m" if p.startswith("Odin") else "f", "latin"] for p in persons)
