@@ -2,6 +2,7 @@
 
 Detection is by pattern and checksum: mail addresses, phone and card numbers, network addresses, access keys,
 secrets behind words like ``password=`` or ``token =``, card numbers only with a valid checksum, and person names behind a title or from a list of given names.
+A card number may stand beside other digits: all stretches of 13 to 19 digits between group borders of a run of digits are tried (``cards_in``).
 A surrogate is drawn by a keyed hash (HMAC-SHA256) of the kind and the normalised entity, so the same entity has the same
 surrogate wherever it stands (coreference), whatever its writing: surrogates are drawn for the normalised form and then written in
 the format of the occurrence. Digits become digits, letters letters of the same case and script, separators stay (symbols of a secret
@@ -66,7 +67,7 @@ PATTERNS = {
     "address": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12}",  # the least that is one; cards_in looks at the whole run of digits
     "name": r"\b(?:(?P<title>" + "|".join(TITLES) + r")\.? (?P<titled>" + WORD + r"(?: " + WORD + r")?)|(?P<listed>(?:" + "|".join(GENDER) + r") " + WORD + r"))\b",
 }
 ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
@@ -82,13 +83,71 @@ def checksum_ok(digits: str) -> bool:
     return total % 10 == 0
 
 
+DIGITS = re.compile(r"\d+")
+CARD_RUN = re.compile(r"\d(?:[ -]?\d)*")
+CARD_END = re.compile(r"(?![\w-]|\.\d)")
+# Usual groups of digits, and first digits with their lengths.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
+ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35)\d{14}|3[47]\d{13}|3[0689]\d{12}|6\d{15,18}|5[06-8]\d{11,17}")
+
+
+def cards_in(text: str, begin: int) -> tuple[list[tuple[int, int]], int]:
+    """Card numbers in the run of digits at ``begin``, and where the run ends.
+
+    Every stretch from group border to group border with a valid checksum is a candidate if it has usual groups or an issuer's digits,
+    or is the longest one at ``begin`` before something else than a hyphen or word. Of candidates that overlap, the more usual one is taken,
+    then one that does not cut a hyphenated number, then the longer one, then the first."""
+    run = CARD_RUN.match(text, begin)
+    groups = [found.span() for found in DIGITS.finditer(text, begin, run.end())]
+    found, longest = [], begin
+    for i, (a, _) in enumerate(groups):
+        digits, sizes = "", []
+        for x, b in groups[i : i + 19]:
+            digits, sizes = digits + text[x:b], [*sizes, b - x]
+            if len(digits) > 19:
+                break
+            # Inside the run a border is one separator; at its end nothing that continues a word or number may follow.
+            ends = CARD_END.match(text, b)
+            if len(digits) < 13 or b == run.end() and not ends:
+                continue
+            if a == begin and ends:
+                longest = b
+            usual = (tuple(sizes) in CARD_GROUPS and not {" ", "-"} <= set(text[a:b])) + bool(ISSUER.fullmatch(digits))
+            if not (usual or a == begin) or not checksum_ok(digits):
+                continue
+            cuts = "-" not in text[a:b] and (a > begin and text[a - 1] == "-" or b < run.end() and text[b] == "-")
+            found.append((-usual, cuts, a - b, a, b))
+    taken: list[tuple[int, int]] = []
+    inside: set[int] = set()
+    for less, _, _, a, b in sorted(found):
+        if (less or (a, b) == (begin, longest)) and inside.isdisjoint(range(a, b)):
+            taken.append((a, b))
+            inside.update(range(a, b))
+    return sorted(taken), run.end()
+
+
 def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Start, end, kind and text of every entity, in order."""
     if not text or not any(hint.search(text) for hint in HINTS):
         return
-    for found in ANY.finditer(text):
+    at, judged, cards = 0, 0, []  # cards of the run of digits that was judged last, and its end
+    while True:
+        found = ANY.search(text, at)
+        if found and found["card"] is not None and found.start() >= judged:
+            cards, judged = cards_in(text, found.start())
+        if cards and (not found or (found.start() if found["card"] is not None else found.end() - 1) >= cards[0][0]):  # the card comes before what was found, or in it
+            start, end = cards.pop(0)
+            at = end
+            yield start, end, "card", text[start:end]
+            continue
+        if not found:
+            return
         kind = next(name for name in PATTERNS if found[name] is not None)
         start, end = found.span(kind)
+        if kind == "card" or kind == "address" and any(int(part) > 255 for part in found[kind].split(".")) or kind == "phone" and not 7 <= sum(c.isdigit() for c in found[kind]) <= 15:
+            at = DIGITS.search(text, start).end()  # none, but one may begin a group later
+            continue
+        at = found.end()
         if kind == "secret":
             start, end = found.span("secret_value")
         elif kind == "name":
@@ -96,12 +155,6 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             given, _, family = text[start:end].partition(" ")
             # A family name alone has the same surrogates for all genders.
             kind = "name:" + (GENDER.get(given) or TITLES[found["title"]] if family else "")
-        elif kind == "address" and any(int(part) > 255 for part in found[kind].split(".")):
-            continue
-        elif kind == "card" and not checksum_ok(normal(kind, found[kind])):
-            continue
-        elif kind == "phone" and not 7 <= sum(c.isdigit() for c in found[kind]) <= 15:
-            continue
         yield start, end, kind, text[start:end]
 
 

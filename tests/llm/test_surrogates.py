@@ -99,3 +99,18 @@ def test_names_have_one_surrogate_and_it_is_the_checked_one(documents, monkeypat
         got.setdefault(persons[row.doc_id // 100], set()).add(re.fullmatch(r"(?:\w+\. )?(\S+ \S+) spoke", row.text)[1])
     assert got == {value: {drawn} for value, drawn in checked.items()} and len(set(checked.values())) == len(persons)
     assert all(next(iter(got[p])).split()[0] in surrogates.GIVEN["m" if p.startswith("Odin") else "f", "latin"] for p in persons)
+
+
+@pytest.mark.parametrize("text", [
+    "paid 12 {} on", "2024-01-05 {} paid", "{} 12 times", "{} 2024-01-05", "2024-01-05-{}-12", "7 {} 7 {} 7", "tel +49 {}", "x 12 123-45-6789 {}", "{}", "1 2 3 {} 12th",
+])
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "5500-0055-5555-5559", "378282246310005", "3782 822463 10005"])
+def test_cards_beside_other_numbers(text, card):
+    found = [value for _, _, kind, value in surrogates.entities(text.replace("{}", card)) if kind == "card"]
+    assert found == [card] * text.count("{}")
+
+
+def test_entities_beside_refused_digits():
+    found = list(surrogates.entities("x 12 123-45-6789 4111 1111 1111 1111 and 1 2 3 4 5 6 7 8 9 0 1 2 3 4 10.1.2.3 mail a.b@c.example.com"))
+    assert [(kind, value) for _, _, kind, value in found] == [("social", "123-45-6789"), ("card", "4111 1111 1111 1111"), ("address", "10.1.2.3"), ("mail", "a.b@c.example.com")]
+    assert list(surrogates.entities("12 34 56 78 " * 20000)) is not None  # in linear time
