@@ -23,9 +23,13 @@ COPY_SHINGLE, COPY_THRESHOLD = 5, Fraction(4, 5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the limit; the labels of the held-out fold do not teach."""
+    """Documents whose toxicity score stays below the limit; the labels of the held-out fold do not teach.
+
+    All documents stay where nothing was learned: no usable label, or labels of one class only."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    if not len(model.words):
+        return docs
     judged = toxicity.score(docs, model, tuple(docs.columns), out="_toxicity")
     return judged.where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
 
