@@ -25,9 +25,3 @@ def one(spark):
         return spark.range(1).select(column.alias("v")).first()["v"]
 
     return value
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(row) for row in chosen.collect()), key=lambda row: tuple((v is None, str(v)) for v in row))

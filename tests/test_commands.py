@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from eventlake.plans import commands
 from eventlake.plans.seed import seed_tables

@@ -6,7 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -6,7 +6,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from eventlake.functions.times import at
