@@ -70,4 +70,14 @@ def pinned(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back: computed once, lineage cut, size known."""
     folder = scratch_dir(df.sparkSession, "pinned")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.pinned_folder = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of pinned frames that nothing reads any more."""
+    for frame in frames:
+        jvm = frame.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(frame.pinned_folder)
+        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
