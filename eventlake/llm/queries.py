@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import decontaminate, jaccard_join, language_model, mixing, quality, spotsigs, substring_dedup, surrogates, toxicity, url_rules
-
+from eventlake.llm import (
+    centroids, chat_format, collocations, decontaminate, jaccard_join, language_model, mixing, quality, spotsigs, substring_dedup, surrogates,
+    toxicity, url_rules,
+)
 from eventlake.llm.shipping import ship
 
 
@@ -55,6 +57,18 @@ def op10_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_pairs(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.read_back(chat_format.format_chats(chat_format.with_hostile(table(spark, folder, "conversations"))))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with the package sent to executors that lack it."""
 
@@ -76,6 +90,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": shipped(op9_quality),
     "op10_spotsigs": op10_spotsigs,
+    "op11_collocations": shipped(op11_collocations),
+    "op12_centroids": shipped(op12_centroids),
+    "op13_chat_format": shipped(op13_chat_format),
 }
 ORACLE = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -83,4 +100,7 @@ ORACLE = {
     "op4_jaccard_join": jaccard_join.SQL,
     "op5_mixing": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_chat_format": chat_format.SQL,
 }
