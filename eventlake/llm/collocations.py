@@ -39,7 +39,7 @@ SCALE = 2_000_000
 COVERED = (100, 80)  # a candidate goes if 100 * f(longer) >= 80 * f(candidate)
 TOP = 2000
 UNKNOWN = "und"
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 SAMPLE_ROWS = 20_000
 BUCKET_ROWS = 400_000
 MOST_COMMON = 50_000  # leading words that are routed deeper, at most
@@ -74,28 +74,33 @@ class Chunk:
 
 
 def chunk_of(texts: pa.Array, langs: np.ndarray) -> Chunk | None:
-    data, offsets = tokens.bytes_of(texts)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    piece = tokens.cut(data, offsets, np.arange(len(texts)), BREAKS, True)
-    n = len(piece.starts)
-    if not n:
+    """Cut a piece at a time, so that arrays over bytes stay small."""
+    letters, lengths, hashes, last, of = [], [], [], [], []
+    for piece in tokens.pieces(texts, BREAKS, True):
+        n = len(piece.starts)
+        if not n:
+            continue
+        document = piece.document_of_word()
+        ended = np.cumsum(ENDS[piece.data], dtype=np.int32)[piece.starts]
+        ends = np.ones(n, dtype=bool)
+        ends[:-1] = (document[1:] != document[:-1]) | (ended[1:] != ended[:-1])
+        letters.append(LOWER[piece.data[~BREAKS[piece.data]]])
+        lengths.append(piece.ends - piece.starts)
+        hashes.append(piece.hashes)
+        last.append(ends)
+        of.append(langs[piece.rows[document]])
+    if not lengths:
         return None
-    lengths = piece.ends - piece.starts
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    inside = ~BREAKS[data]
-    letters = LOWER[data[inside]]
-    text = np.full(starts[-1], 0x20, dtype=np.uint8)
-    text[np.arange(len(letters)) + np.repeat(np.arange(n), lengths)] = letters
+    letters, lengths, last = np.concatenate(letters), np.concatenate(lengths), np.concatenate(last)
+    n = len(lengths)
+    text = np.full(len(letters) + n, 0x20, dtype=np.uint8)
+    text[np.arange(len(letters), dtype=np.int32) + np.repeat(np.arange(n, dtype=np.int32), lengths)] = letters
     solid = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(solid), pa.py_buffer(letters))
     number = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    of = piece.document_of_word()
-    ended = np.cumsum(ENDS[data])[piece.starts]
-    last = np.ones(n, dtype=bool)
-    last[:-1] = (of[1:] != of[:-1]) | (ended[1:] != ended[:-1])
     ends = np.flatnonzero(last)
-    left = np.minimum(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, MOST_WORDS)
-    return Chunk(text, starts, number, piece.hashes, langs[of], left)
+    left = np.minimum(np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n) + 1, MOST_WORDS)
+    return Chunk(text, solid + np.arange(n + 1), number, np.concatenate(hashes), np.concatenate(of), left)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterator[Chunk]:
@@ -166,10 +171,19 @@ class Entries:
         return cls(*[np.concatenate([getattr(part, name) for part in parts]) for name in ("place", "words", "least", "count", "route")])
 
 
-def distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A place and the count of every distinct key, and for each place the number of its key."""
-    _, first, number, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return places[first], count, number
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of every group of equal rows, and how many there are.
+
+    Rows are sorted by the first column; the others tell rows apart that are equal in it by chance. A group that such
+    a row cuts in two comes twice, which adds up later."""
+    order = np.argsort(columns[0])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for column in columns:
+        value = column[order]
+        new[1:] |= value[1:] != value[:-1]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
 
 
 def combined(chunk: Chunk, roots: np.ndarray, common: dict[int, np.ndarray]) -> Entries:
@@ -177,40 +191,47 @@ def combined(chunk: Chunk, roots: np.ndarray, common: dict[int, np.ndarray]) ->
     every = np.arange(len(chunk.word))
     parts = []
 
-    def add(place: np.ndarray, words, least, count: np.ndarray, depth: int) -> None:
+    def add(place: np.ndarray, words, least: int, count: np.ndarray, route: np.ndarray) -> None:
         full = lambda x: np.broadcast_to(np.asarray(x, dtype=np.int64), place.shape)
-        parts.append(Entries(place, full(words), full(least), count, prefixes(chunk, place, roots, depth)))
+        parts.append(Entries(place, full(words), full(least), count, route))
+
+    def add_counts(rows: np.ndarray, hashes: np.ndarray, depth: int) -> None:
+        one, count = grouped(hashes, *[chunk.word[rows + i] for i in range(depth)])
+        add(rows[one], depth, depth, count, hashes[one])
 
-    place, count, _ = distinct(chunk.lang, every)
-    add(place, 0, 0, count, 0)
-    place, count, number = distinct(chunk.lang << 32 | chunk.word, every)
-    add(place, 1, 1, count, 1)
+    lang, count = grouped(chunk.lang)
+    add(lang, 0, 0, count, roots[chunk.lang[lang]])
+    single = prefixes(chunk, every, roots, 1)
+    add_counts(every, single, 1)
     rows = np.flatnonzero(chunk.left >= 2)
-    if not len(rows):
-        return Entries.joined(parts)
-    place, count, number = distinct(number[rows] << 32 | chunk.word[rows + 1], rows)
-    hot = contains(common[2], prefixes(chunk, place, roots, 2))
-    add(place[hot], 2, 2, count[hot], 2)
-    hot_pair = hot[number]
-    third = np.where(chunk.left[rows] >= 3, chunk.word[np.minimum(rows + 2, len(every) - 1)], 0)
-    place, count, number = distinct(number << 32 | third, rows)
-    longer = chunk.left[place] >= 3
-    hot = np.zeros(len(place), dtype=bool)
-    hot[longer] = contains(common[3], prefixes(chunk, place[longer], roots, 3))
-    hot &= hot_pair[np.searchsorted(rows, place)]
-    add(place[hot], 3, 3, count[hot], 3)
-    hot_triple = hot[number]
-    fourth = np.where(chunk.left[rows] >= 4, chunk.word[np.minimum(rows + 3, len(every) - 1)], 0)
-    place, count, _ = distinct(number << 32 | fourth, rows)
-    at = np.searchsorted(rows, place)
-    least = np.where(hot_triple[at], 4, np.where(hot_pair[at], 3, 2))
-    words = chunk.left[place]
-    for depth in (2, 3, 4):  # by as many words as no common prefix reaches; what is too short was counted above
-        own = (least == depth) & (words >= depth)
-        add(place[own], words[own], depth, count[own], depth)
+    pair = chained(single[rows], chunk.hashes[rows + 1])
+    words = chunk.left[rows]
+    route, least, whole = pair, np.full(len(rows), 2), pair.copy()
+    for depth in (3, 4):
+        longer = np.flatnonzero(words >= depth)
+        whole[longer] = chained(whole[longer], chunk.hashes[rows[longer] + depth - 1])
+        hot = np.flatnonzero(contains(common[depth - 1], route) & (least == depth - 1))
+        if len(hot):  # one word deeper; their own counts go beside
+            add_counts(rows[hot], route[hot], depth - 1)
+            route, least = route.copy(), least.copy()
+            least[hot] = depth
+            route[hot] = prefixes_or(chunk, rows[hot], roots, depth, route[hot])
+    kept = np.flatnonzero(words >= least)  # what is too short was counted beside
+    apart = [np.where(words[kept] > i, chunk.word[np.minimum(rows[kept] + i, len(every) - 1)], 0) for i in range(MOST_WORDS)]
+    one, count = grouped(tokens.mixed(whole[kept] + words[kept].astype(np.uint64)), *apart)
+    one_of = kept[one]
+    parts.append(Entries(rows[one_of], words[one_of], least[one_of], count, route[one_of]))
     return Entries.joined(parts)
 
 
+def prefixes_or(chunk: Chunk, rows: np.ndarray, roots: np.ndarray, depth: int, otherwise: np.ndarray) -> np.ndarray:
+    """Hashes of ``depth`` leading words where there are as many."""
+    out = otherwise.copy()
+    longer = chunk.left[rows] >= depth
+    out[longer] = prefixes(chunk, rows[longer], roots, depth)
+    return out
+
+
 def texts_of(chunk: Chunk, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries' words, one line each, and the end of every line; an entry without words is an empty line."""
     first = chunk.starts[place]
@@ -228,7 +249,7 @@ def packed(chunk: Chunk, entries: Entries, buckets: int, names: list[str]) -> It
     """(bucket, language, entries as bytes): number of entries, least depths, counts, lines."""
     bucket = (tokens.mixed(entries.route) % np.uint64(buckets)).astype(np.int64)
     lang = chunk.lang[entries.place]
-    order = np.lexsort((chunk.word[entries.place], lang, bucket))  # leading words together: lines that compress
+    order = np.argsort((bucket * len(names) + lang) * (len(chunk.word) + 1) + chunk.word[entries.place])  # leading words together: lines that compress
     for slab in range(0, len(order), SLAB):
         rows = order[slab : slab + SLAB]
         text, ends = texts_of(chunk, entries.place[rows], entries.words[rows])
@@ -317,7 +338,7 @@ def partitions(words: np.ndarray, weight: np.ndarray, least: np.ndarray, most: i
             sizes.append(upto[bounds[1:]] - upto[low])
         sizes = np.stack(sizes, axis=1)
         begin = low[:, None] + np.cumsum(sizes, axis=1) - sizes
-        to = begin[part, side] + np.choose(side, ranks)
+        to = begin[part, side] + np.where(side == 1, ranks[1], np.where(side == 0, ranks[0], ranks[2]))
         sorted_order = np.empty_like(order)
         sorted_order[to] = order
         sizes, begin = sizes.ravel(), begin.ravel()
@@ -337,8 +358,8 @@ def partitions(words: np.ndarray, weight: np.ndarray, least: np.ndarray, most: i
         order, bounds, depth = sorted_order[rows], np.concatenate([[0], np.cumsum(sizes[kept])]), deeper[kept]
 
 
-def unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Word numbers (0 behind the end), least depths, counts and blob of every entry, and the words."""
+def unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Word numbers (0 behind the end), least depths and counts of every entry, and the words."""
     least, count, sizes, lines = [], [], [], []
     for body in bodies:
         n = int(np.frombuffer(body, np.int64, 1)[0])
@@ -358,28 +379,43 @@ def unpacked(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     encoded = pa.LargeStringArray.from_buffers(int(real.sum()), pa.py_buffer(solid), pa.py_buffer(np.ascontiguousarray(data[~gap]))).dictionary_encode()
     words = np.zeros((sum(sizes), MOST_WORDS), dtype=np.int32)
     words[line[real], column[real]] = encoded.indices.to_numpy() + 1
-    return words, np.concatenate(least).astype(np.int64), np.concatenate(count), np.repeat(np.arange(len(sizes)), sizes), encoded.dictionary
+    return words, np.concatenate(least).astype(np.int64), np.concatenate(count), encoded.dictionary
 
 
 GRAMS = "lang string, k int, phrase string, f long"
 GRAM_TYPE = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
+def alive(words: np.ndarray, least: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences that may still be part of a frequent phrase, cut behind their last word that occurs often enough at its depth."""
+    words, rows = words.copy(), np.arange(len(words))
+    for depth in range(words.shape[1]):
+        rare = np.bincount(words[:, depth], weights=count, minlength=1) < most
+        rare[0] = True
+        gone = rare[words[:, depth]]
+        words[gone, depth:] = 0
+        kept = ~gone | (least <= depth)
+        words, least, count, rows = words[kept], least[kept], count[kept], rows[kept]
+    return rows, words
+
+
 def frequent_in(least: int):
     """Phrases of one bucket that occur ``least`` times or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        langs = table.column("lang").to_pylist()
-        words, lo, count, blob, dictionary = unpacked(table.column("entries").to_pylist())
-        names = list(dict.fromkeys(langs))
-        number = {name: i + 1 for i, name in enumerate(names)}
-        keyed = np.column_stack([np.array([number[x] for x in langs], dtype=np.int32)[blob], words])
-        found = list(partitions(keyed, count, lo + 1, least))  # the language is the word at depth 0
-        texts = [" ".join(dictionary[int(w) - 1].as_py() for w in words[row, : depth - 1]) for row, depth, _ in found]
-        return pa.table([
-            pa.array([langs[blob[row]] for row, _, _ in found], pa.string()), pa.array([depth - 1 for _, depth, _ in found], pa.int32()),
-            pa.array(texts, pa.string()), pa.array([n for _, _, n in found], pa.int64()),
-        ], schema=GRAM_TYPE)
+        bodies: dict[str, list[bytes]] = {}
+        for name, body in zip(table.column("lang").to_pylist(), table.column("entries").to_pylist(), strict=True):
+            bodies.setdefault(name, []).append(body)
+        out = []
+        for name, own in bodies.items():
+            words, lo, count, dictionary = unpacked(own)
+            size = int(count[lo == 0].sum())
+            if size >= least:
+                out.append((name, 0, "", size))
+            rows, cut = alive(words, lo, count, least)
+            for row, depth, n in partitions(cut, count[rows], lo[rows], least):
+                out.append((name, depth, " ".join(dictionary[int(w) - 1].as_py() for w in cut[row, :depth]), n))
+        return pa.table([pa.array(column, field.type) for column, field in zip(zip(*out, strict=True) if out else [()] * 4, GRAM_TYPE, strict=True)], schema=GRAM_TYPE)
 
     return run
 
