@@ -15,8 +15,10 @@ bitmap (parity of the shingles per bit) bounds the overlap from above: every dif
 differing shingle. Only pairs that pass the bound meet in an exact intersection of the sorted sets.
 
 Equal sets stand for one. A family beyond ``TILE`` sets is spread over tiles, each with its share of the family and
-some common pivots; only sets that stay outside the largest component are then compared with all
-others, tile by tile. Work for families that hang together is linear in their size.
+about ``PIVOTS`` common pivots, which connects most of it in work linear in its size. What is then still in several
+components is settled by keys: linked sets share one, so only sets of different components that share a key are paired, as
+(size, bitmap) in tiles of a key; texts are fetched for the pairs that pass the bounds, first the best
+pair of a set and a component, then whatever is still open.
 
 Cases: texts without words (null, empty) have an empty set and link with nothing; fewer words than a
 shingle are one shingle. Rows without an id link with nothing and have no component; rows of one
@@ -40,8 +42,9 @@ from eventlake.session import pinned
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
-TILE = 512
-PIVOTS = 64
+TILE = 128
+PIVOTS = 16
+CELL_ROWS = 2000
 BITS = 1024
 FLUSH_KEYS = 1 << 22
 
@@ -100,17 +103,20 @@ FEATURE_TYPE = pa.schema([
 
 
 def features(k: int, threshold: Fraction):
-    """Sets in brief. Keys seen before in the same task are turned into met documents, so a common key leaves a task once."""
+    """Sets in brief. Keys seen before in the same task are turned into met documents, so a common key leaves a task once.
+
+    A set seen before in the same task meets the document that brought it and has no keys of its own."""
     edges = band_edges(threshold, 1 << 40)
 
-    def flush(ids, sizes, highs, lows, keys) -> pa.RecordBatch:
+    def flush(ids, sizes, highs, lows, keys, equals) -> pa.RecordBatch:
         counts = np.array([len(x) for x in keys], dtype=np.int64)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         _, first, place = np.unique(flat, return_index=True, return_inverse=True)
         owner = np.repeat(np.arange(len(keys)), counts)
         leads = first[place] == np.arange(len(flat))
         kept = np.bincount(owner[leads], minlength=len(keys)).astype(np.int64)
-        met = np.unique(np.stack([owner[~leads], owner[first[place[~leads]]]]), axis=1)
+        copies = np.array([(row, first) for row, first in enumerate(equals) if first >= 0], dtype=np.int64).reshape(-1, 2).T
+        met = np.unique(np.concatenate([np.stack([owner[~leads], owner[first[place[~leads]]]]), copies], axis=1), axis=1)
         met = met[:, met[0] != met[1]]
         numbers = pa.array(ids, pa.int64())
         partners = numbers.take(pa.array(met[1]))
@@ -121,19 +127,22 @@ def features(k: int, threshold: Fraction):
         ], schema=FEATURE_TYPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_keys = ([], [], [], [], []), 0
+        held, n_keys, seen = ([], [], [], [], [], []), 0, {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for piece in tokens.pieces(batch.column(1), lower=True):
                 for row, hashes in zip(piece.rows, shingle_sets(piece, k), strict=True):
-                    keys = part_keys(hashes, edges, threshold) if len(hashes) and ids[row] is not None else hashes[:0]
                     one, two = tokens.mixed(hashes).sum(), tokens.mixed(hashes ^ np.uint64(tokens.STEP)).sum()
-                    for column, value in zip(held, (ids[row], len(hashes), one, two, keys), strict=True):
+                    usable = len(hashes) and ids[row] is not None
+                    before = seen.setdefault((one, two), len(held[0])) if usable else len(held[0])
+                    fresh = usable and before == len(held[0])
+                    keys = part_keys(hashes, edges, threshold) if fresh else hashes[:0]
+                    for column, value in zip(held, (ids[row], len(hashes), one, two, keys, -1 if fresh or not usable else before), strict=True):
                         column.append(value)
                     n_keys += len(keys)
                 if n_keys > FLUSH_KEYS:
                     yield flush(*held)
-                    held, n_keys = ([], [], [], [], []), 0
+                    held, n_keys, seen = ([], [], [], [], [], []), 0, {}
         if held[0]:
             yield flush(*held)
 
@@ -203,11 +212,7 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = T
     members = sets.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
     texts = pinned(given.join(members.hint("merge"), "doc_id"))
 
-    connected = components(_links_in_tiles(texts, k, threshold))
-    outside = pinned(_outside_largest(texts, connected))
-    if not outside.isEmpty():
-        rest = texts.join(outside.select("family").distinct(), "family")
-        connected = components(_links_to_rest(rest, outside, k, threshold).unionByName(connected.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    connected = settled(texts, components(_links_in_tiles(texts, k, threshold)), k, threshold)
 
     by_set = pinned(classes.join(connected.withColumnRenamed("node", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -220,42 +225,120 @@ def _links_in_tiles(texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """Links inside every tile of a family; a large family has several tiles, each with the family's pivots."""
     tiles = F.ceil(F.col("size") / TILE)
     own = F.pmod(F.xxhash64("doc_id"), tiles)
-    pivot = F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.ceil(F.col("size") / PIVOTS)) == 0
+    pivot = F.pmod(F.xxhash64("doc_id", F.lit("pivot")), F.ceil(F.col("size") / PIVOTS)) == 0  # about PIVOTS sets of the family
     every = F.when((tiles > 1) & pivot, F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(F.array(own))
     placed = texts.select("doc_id", "text", "family", F.explode(every).alias("tile"), F.lit(True).alias("left_side"))
     return placed.groupBy("family", "tile").applyInArrow(compare(k, threshold), LINKS)
 
 
-def _outside_largest(texts: DataFrame, connected: DataFrame) -> DataFrame:
-    """Members of families of several tiles that the largest component of their family does not hold."""
+MARKS = "doc_id long, n long, bits binary, keys array<long>"
+PAIRS = "a long, b long, bound long"
+
+
+def marks(k: int, threshold: Fraction):
+    """Size, bitmap and all keys of every set."""
+    edges = band_edges(threshold, 1 << 40)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tokens.pieces(batch.column(1), lower=True):
+                sets = list(shingle_sets(piece, k))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(piece.rows)), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()),
+                    pa.array([part_keys(x, edges, threshold).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ], names=["doc_id", "n", "bits", "keys"])
+
+    return run
+
+
+def bounded_pairs(threshold: Fraction):
+    """Pairs of one cell that share a key, lie in different components, and pass the size and bit-count bounds."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, component, n, tile = [table.column(name).to_numpy() for name in ("key", "doc_id", "component", "n", "tile")]
+        row, column = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
+        order = np.lexsort((n, key))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+        found = {}
+        for begin, behind in zip(cuts[:-1], cuts[1:], strict=True):
+            members = order[begin:behind]
+            for place, one in enumerate(members[:-1]):
+                others = members[place + 1 :]
+                fits = (component[others] != component[one]) & (n[others] * num <= n[one] * den)
+                if row != column:
+                    fits &= tile[others] != tile[one]
+                others = others[fits]
+                total = n[others] + n[one]
+                overlap = (total - np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1).astype(np.int64)) // 2  # no more than this can be shared
+                passed = den * overlap >= num * (total - overlap)
+                for other, share in zip(node[others[passed]], overlap[passed] * 1_000_000 // total[passed], strict=True):
+                    found[int(min(node[one], other)), int(max(node[one], other))] = int(share)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64()), "bound": pa.array(found.values(), pa.int64())})
+
+    return run
+
+
+def verified(k: int, threshold: Fraction):
+    """Exact intersections of (a, b, text of a, text of b)."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
+        return [x for piece in tokens.pieces(column, lower=True) for x in shingle_sets(piece, k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                for one, two in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    linked.append(den * shared >= num * (len(one) + len(two) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return run
+
+
+def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """Components once every pair of sets that shares a key and may link has been compared or connected."""
     large = texts.where(F.col("size") > TILE).select("doc_id", "family").distinct()
     placed = large.join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counted = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    return placed.join(largest, "family").where("component != largest").select("doc_id", "family")
-
-
-def _links_to_rest(rest: DataFrame, outside: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Links of the outside members with all members: tiles of some outside members and some of all."""
-    n_outside = outside.groupBy("family").agg(F.count(F.lit(1)).alias("n_outside"))
-    sized = rest.join(n_outside, "family").withColumns({
-        "rows_of": F.ceil(F.col("n_outside") / TILE), "columns_of": F.ceil(F.col("size") / TILE),
-    })
-    row = F.pmod(F.xxhash64("doc_id", F.lit("row")), "rows_of")
-    column = F.pmod(F.xxhash64("doc_id", F.lit("column")), "columns_of")
-    count_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    lefts = sized.join(outside, ["doc_id", "family"], "left_semi").select(
-        "doc_id", "text", "family", row.alias("tile"), F.explode(count_to("columns_of")).alias("across"), F.lit(True).alias("left_side")
-    )
-    rights = sized.join(outside, ["doc_id", "family"], "left_anti").select(
-        "doc_id", "text", "family", F.explode(count_to("rows_of")).alias("tile"), column.alias("across"), F.lit(False).alias("left_side")
-    )
-    # Outside members also meet each other: once more, by rows against columns of their own.
-    own_columns = F.pmod(F.xxhash64("doc_id", F.lit("column")), "columns_of")
-    among = sized.join(outside, ["doc_id", "family"], "left_semi").select(
-        "doc_id", "text", "family", F.explode(count_to("rows_of")).alias("tile"), own_columns.alias("across"), F.lit(False).alias("left_side")
-    )
-    return lefts.unionByName(rights).unionByName(among).groupBy("family", "tile", "across").applyInArrow(compare(k, threshold), LINKS)
+    several = placed.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    labels = pinned(placed.join(several.select("family"), "family", "left_semi").select("doc_id", "component"))
+    if labels.isEmpty():
+        return connected
+    own = texts.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    pairs = pinned(_bounded(pinned(own.mapInArrow(marks(k, threshold), MARKS)), labels, threshold))
+    edges = connected.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for best_only in (True, False):
+        left, right = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
+        still = pairs.join(left, "a").join(right, "b").where("of_a != of_b")
+        if best_only:
+            still = still.groupBy("a", "of_b").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
+        first, second = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        tested = pinned(still.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(k, threshold), "a long, b long, linked boolean"))
+        edges = edges.unionByName(tested.where("linked").select("a", "b"))
+        connected = components(edges)
+        merged = labels.select("doc_id").join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        labels = pinned(merged)
+        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return connected
+
+
+def _bounded(marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs by shared key. A key of more than ``TILE`` sets is cut into pairs of tiles; small ones share a cell."""
+    rows = marked.join(labels, "doc_id").select("doc_id", "component", "n", "bits", F.explode(F.array_distinct("keys")).alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
+    mixed = pinned(mixed.select("key", "sets"))
+    cells = int(mixed.agg(F.sum("sets")).first()[0] or 0) // CELL_ROWS + 1
+    tiles = F.ceil(F.col("sets") / TILE)
+    members = rows.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit("key")), tiles))
+    spread = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")).select(
+        "doc_id", "component", "n", "bits", "key", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+        F.when(F.col("sets") > TILE, F.col("key")).otherwise(F.pmod("key", F.lit(cells))).alias("place"),
+    )
+    return spread.groupBy("place", "i", "j").applyInArrow(bounded_pairs(threshold), PAIRS).groupBy("a", "b").agg(F.max("bound").alias("bound"))
 
 
 SQL = r"""

@@ -33,6 +33,23 @@ def edited(text, *places):
     return " ".join(f"e{i}" if i in places else w for i, w in enumerate(text.split()))
 
 
+def test_families_beyond_a_tile(spark, documents, monkeypatch):
+    """Families that glue together and need the pairs by key: the same groups, however small tiles are."""
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 7)
+    rng = random.Random(9)
+    base = words(120).split()
+    rows = []
+    for i in range(90):  # a walk away from the base: neighbours are alike, far ones are not
+        for _ in range(rng.randrange(1, 3)):
+            base[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base)))
+    rng.shuffle(rows)
+    got = {row.doc_id for row in corpus_pipeline.drop_copies(spark, documents(*rows), "").collect()}
+    assert got == kept(rows)
+
+
 def test_copies_at_five_words(spark, documents):
     rng = random.Random(4)
     rows = [(0, words(100)), (1, edited(words(100), 30, 60)), (2, words(50, 1000)), (3, edited(words(50, 1000), 20)), (4, edited(words(50, 1000), 10, 40)), (5, "a b"), (6, "A b"), (7, None), (8, "")]
