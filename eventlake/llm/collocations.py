@@ -13,7 +13,7 @@ sets the number of buckets. It decides only where suffixes meet, never what is c
 once, so a bucket holds few rows for a phrase, however often it occurs.
 
 Counts of frequent phrases are then joined for the cuts of each candidate, in exact decimals, and candidates inside almost
-as frequent longer ones go. The last step ranks per language, with partial limits before the shuffle.
+as frequent longer ones go. The last step ranks shares of a language first, and then what is left of all shares.
 
 Cases: null texts are empty, a null language is ``und``. Repeated rows count each time. Texts without words, and
 an empty table, give no rows. Word and language are compared as they are, A-Z in words lower-cased. Further columns are not read.
@@ -39,9 +39,10 @@ SCALE = 2_000_000
 COVERED = (100, 80)  # a candidate goes if 100 * f(longer) >= 80 * f(candidate)
 TOP = 2000
 UNKNOWN = "und"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 SAMPLE_ROWS = 20_000
 BUCKET_ROWS = 400_000
+RANK_SHARES = 64
 MOST_COMMON = 50_000  # leading words that are routed deeper, at most
 
 # Characters that end a piece, and those between words.
@@ -454,7 +455,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str
     around = around.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     wide = lambda name: F.col(name).cast("decimal(20,0)")
     apart = lowest.join(around, ["lang", "phrase"], "left").where(F.coalesce(COVERED[0] * wide("longer") < COVERED[1] * wide("a"), F.lit(True)))
-    ranked = apart.select("lang", "phrase", "a", "one.l", "one.r", "one.score").withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)"))
+    # The best of each share of a language's phrases, then the best of these: no task ranks all phrases of a language.
+    best = apart.select("lang", "phrase", "a", "one.l", "one.r", "one.score", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SHARES)).alias("share"))
+    order = "ORDER BY score DESC, a DESC, phrase"
+    best = best.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY lang, share {order})")).where(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.expr(f"row_number() OVER (PARTITION BY lang {order})"))
     sizes = grams.where("k = 0").select("lang", F.col("f").alias("n"))
     return ranked.where(F.col("rank") <= top).join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
