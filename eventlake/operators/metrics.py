@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from eventlake import fixed_values as fx
 from eventlake.functions.times import window_start
-from eventlake.operators.ordering import previous_value, time_bucket, true_runs
-
-BUCKET_SECONDS = 600
+from eventlake.operators.ordering import previous_value, true_runs
 
 
 def series_of(labels: Column) -> Column:
@@ -31,7 +29,7 @@ def counter_steps(samples: DataFrame, metric: str, labels: list[str], range_seco
         "ts",
         "value",
     )
-    stepped = previous_value(chosen, ["series"], time_bucket(F.col("ts"), BUCKET_SECONDS), ["ts", "value"], "value", "previous")
+    stepped = previous_value(chosen, ["series"], ["ts", "value"], "value", "previous")
     value, previous = F.col("value"), F.col("previous")
     step = F.when(previous.isNull(), 0.0).when(value < previous, value).otherwise(value - previous)
     return stepped.select(*labels, "window_start", step.alias("step"))
@@ -93,7 +91,7 @@ def quantile_of_buckets(buckets: DataFrame, keys: list[str], count: str, quantil
 def held_condition(samples: DataFrame, keys: list[str], condition: Column, hold_seconds: int) -> DataFrame:
     """Runs of consecutive samples whose condition held for at least the given time."""
     flagged = samples.withColumn("holds", F.coalesce(condition, F.lit(False)))
-    runs = true_runs(flagged, keys, time_bucket(F.col("ts"), BUCKET_SECONDS), "ts", "holds")
+    runs = true_runs(flagged, keys, "ts", "holds")
     held = F.unix_micros("run_end") - F.unix_micros("run_start") >= F.lit(hold_seconds * 1_000_000)
     return runs.where(held)
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.operators.ordering import previous_value, time_bucket
+from eventlake.operators.ordering import previous_value
 
 SERVER_ERROR = 500
 ROUTE = ["service", "route"]
 ORDER = ["ts", "request_id"]
 
 
-def status_transitions(log: DataFrame, remembered: DataFrame | None = None, bucket_seconds: int = 600) -> DataFrame:
+def status_transitions(log: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
     """Rows worth logging: every server error, and any other row whose status differs from the
     status its route had before. Server errors are never remembered; the first status of a route
     emits nothing.
@@ -20,9 +20,7 @@ def status_transitions(log: DataFrame, remembered: DataFrame | None = None, buck
     ``remembered`` (service, route, last_status) holds the statuses known before this log.
     """
     failures = log.where(F.col("status") >= SERVER_ERROR).withColumn("previous_status", F.lit(None).cast("int"))
-    answered = previous_value(
-        log.where(F.col("status") < SERVER_ERROR), ROUTE, time_bucket(F.col("ts"), bucket_seconds), ORDER, "status", "previous_status"
-    )
+    answered = previous_value(log.where(F.col("status") < SERVER_ERROR), ROUTE, ORDER, "status", "previous_status")
     if remembered is not None:
         answered = (
             answered.join(remembered.select(*ROUTE, "last_status"), ROUTE, "left")

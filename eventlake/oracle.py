@@ -700,6 +700,7 @@ SELECT op_name, count(*) AS runs, count(*) FILTER (status = 'error') AS errors,
        any_value(p.quantile) AS p95_seconds FROM run JOIN run_p95 p USING (op_name) GROUP BY op_name""")
 
 define("stream_parse", "SELECT * FROM parsed")
+define("stream_and_backfill", "SELECT * FROM parsed")
 define("stream_dual_sink", "SELECT 'landing' AS sink, payload FROM raw UNION ALL SELECT 'bronze', payload FROM raw")
 define("stream_dedup", "SELECT event_id, event_name, occurred_at FROM ev")
 define("stream_daily", "SELECT environment, CAST(bucket_date AS VARCHAR) AS bucket_date, event_count, refreshed_at FROM dp")

@@ -26,12 +26,11 @@ from eventlake.functions.text import (
     subscriber_key,
 )
 from eventlake.operators.merge import next_order
-from eventlake.operators.ordering import last_per_key, numbered, time_bucket
+from eventlake.operators.ordering import last_per_key, numbered
 from eventlake.session import pinned
 
 TENANT = "environment"
 COMMAND_ORDER = ("occurred_at", "command_id")
-NUMBERING_BUCKET_SECONDS = 3600
 TEXT_FIELDS = (
     "session_id", "user_id", "route", "surface", "action", "subject_type", "subject_id", "campaign_id", "recipient_id", "event_kind",
 )
@@ -218,7 +217,7 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
     ordered = number_new(fresh, campaigns, COMMAND_ORDER).select(*keys, F.col("display_order").alias("new_order"))
     changed = (
         resolved.join(ordered, keys, "left")
-        .withColumn("display_order", F.coalesce("display_order", "new_order").cast("int"))
+        .withColumn("display_order", F.coalesce("display_order", "new_order"))
         .select(*campaigns.columns)
     )
     zero = F.lit(0).cast("long")
@@ -236,9 +235,7 @@ def campaign_changes(normalized: DataFrame, campaigns: DataFrame) -> CampaignCha
 def number_new(fresh: DataFrame, target: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Consecutive order numbers after the tenant's highest, in command order."""
     last = next_order(target, [TENANT], "display_order")
-    ranked = numbered(
-        fresh.drop("display_order"), [TENANT], time_bucket(F.col("occurred_at"), NUMBERING_BUCKET_SECONDS), list(order), "position"
-    )
+    ranked = numbered(fresh.drop("display_order"), [TENANT], list(order), "position")
     return ranked.join(last, TENANT, "left").withColumn("display_order", F.col("position") + F.coalesce("last_order", F.lit(0)))
 
 
@@ -283,14 +280,14 @@ def subscriber_changes(normalized: DataFrame, subscribers: DataFrame, filters: D
         F.col("occurred_at").alias("last_interaction_at"),
         "tone",
         F.lit(True).alias("is_featured"),
-        F.coalesce("stored_order", "new_order").cast("int").alias("display_order"),
+        F.coalesce("stored_order", "new_order").alias("display_order"),
     )
 
     def labels(column: str, name: str) -> DataFrame:
         return latest.select(*keys, F.col(column).alias("all"), F.explode(F.array_distinct(column)).alias(name))
 
     segments = labels("segments", "segment_label").select(
-        *keys, "segment_label", F.array_position("all", F.col("segment_label")).cast("int").alias("display_order")
+        *keys, "segment_label", F.array_position("all", F.col("segment_label")).alias("display_order")
     )
     assignments = labels("tags", "filter_label").select(*keys, "filter_label")
 
@@ -303,7 +300,7 @@ def subscriber_changes(normalized: DataFrame, subscribers: DataFrame, filters: D
         .select(TENANT, "filter_label", "mention.*")
     )
     new_filters = number_new(new_labels, filters, (*COMMAND_ORDER, "tag_position")).select(
-        TENANT, "filter_label", F.col("display_order").cast("int").alias("display_order")
+        TENANT, "filter_label", "display_order"
     )
     return SubscriberChanges(changed, segments, assignments, new_filters)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
 from operator import and_
 
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from eventlake import fixed_values as fx
 from eventlake.functions.times import at
+from eventlake.operators.ordering import numbered
 from eventlake.plans import audit, commands, models
 from eventlake.plans.parse import parse_payload
 from eventlake.plans.seed import seed_tables
-from eventlake.schemas import APP_TABLES, REQUIRED_COLUMNS, TABLES
+from eventlake.schemas import REQUIRED_COLUMNS, TABLES
 from eventlake.session import pinned
-from eventlake.sources.bronze import index_rows, new_objects, object_listing
+from eventlake.sources.bronze import index_rows, new_objects, object_listing, with_etags
 from eventlake.sources.partner import RECORD_ORDER, raw_record_rows, snapshot_records, snapshot_rows
 from eventlake.sources.store import TableStore
 
@@ -28,9 +29,17 @@ def bootstrap_tables(store: TableStore, names: Iterable[str] = TABLES) -> None:
         store.ensure(name)
 
 
-def backfill_events(store: TableStore, include_event_type: bool = False) -> None:
-    """Parse all landed payloads into the events table, replacing it, so that a second run adds nothing."""
-    store.replace("raw_events", parse_payload(store.read("raw_payload"), include_event_type))
+def backfill_events(store: TableStore, include_event_type: bool = False, dates: Iterable[date] | None = None) -> None:
+    """Parse all landed payloads into the events table, in place of what it holds, so that a second run adds nothing.
+
+    With ``dates`` only events of these days are put in place, and files of other days stay as they are.
+    """
+    parsed = parse_payload(store.read("raw_payload"), include_event_type)
+    if dates is None:
+        store.replace("raw_events", parsed)
+        return
+    days = sorted({day.isoformat() for day in dates})
+    store.reload_where("raw_events", F.to_date("occurred_at").cast("string").isin(days), parsed, cells=days)
 
 
 def record_rows(store: TableStore, tables: dict[str, DataFrame], run_id: str, recorded_at: datetime) -> None:
@@ -43,7 +52,7 @@ def ingest_partner_snapshot(store: TableStore, records: DataFrame, captured_at:
     A repeated run for the same capture time appends no second copy to the log.
     """
     rows = snapshot_rows(records, at(captured_at))
-    logged = store.read("third_party_snapshots").where(F.col("captured_date") == at(captured_at).cast("date"))
+    logged = store.read("third_party_snapshots", cells=[captured_at.date().isoformat()])
     # equal keys, NULL with NULL: a record without a readable time is found again, too
     keys = ["object_key", "record_id", "collected_at", "payload"]
     known = logged.select(*[F.col(key).alias(f"_{key}") for key in keys])
@@ -71,20 +80,26 @@ def publish_serving(store: TableStore, marts: dict[str, DataFrame]) -> None:
     store.replace("product_engagement", models.serving_product_engagement(marts["mart_product_engagement"]))
 
 
-def refresh_batch_and_serving(store: TableStore, snapshot_folder: str, captured_at: datetime, run_id: str) -> None:
-    """Daily job: partner snapshot, models, serving tables, row counts."""
-    records = snapshot_records(store.spark, snapshot_folder)
+def refresh_batch_and_serving(store: TableStore, snapshot_folder: str, captured_at: datetime, run_id: str, array: bool = True) -> None:
+    """Daily job: partner snapshot (JSON arrays or, with ``array=False``, a record per line), models, serving tables, row counts."""
+    records = snapshot_records(store.spark, snapshot_folder, array)
     ingest_partner_snapshot(store, records, captured_at)
     publish_serving(store, build_models(store, captured_at))
     loaded = ("raw_third_party_records", "campaign_performance", "product_engagement")
     record_rows(store, {name: store.read(name) for name in loaded}, run_id, captured_at)
 
 
-def sync_object_metadata(store: TableStore, bronze_folder: str, processed_at: datetime, run_id: str) -> None:
-    """Hourly job: index the objects that are not indexed yet."""
+def sync_object_metadata(store: TableStore, bronze_folder: str, processed_at: datetime, run_id: str, at_once: int = 10_000) -> None:
+    """Hourly job: index the objects that are not indexed yet.
+
+    The lake is listed without content; only the content of new objects is read, ``at_once`` of them per step, each
+    of which adds its rows to the index, so a run that dies is taken up where it stopped.
+    """
     listing = object_listing(store.spark, bronze_folder)
-    fresh = new_objects(listing, store.read("raw_object_index"))
-    store.append("raw_object_index", index_rows(fresh, at(processed_at)))
+    fresh = pinned(numbered(new_objects(listing, store.read("raw_object_index")), [], ["object_key"], "number"))
+    for step in range(-(-fresh.count() // at_once)):
+        part = fresh.where(F.col("number").between(step * at_once + 1, (step + 1) * at_once))
+        store.append("raw_object_index", index_rows(with_etags(part), at(processed_at)))
     record_rows(store, {"raw_object_index": store.read("raw_object_index")}, run_id, processed_at)
 
 
@@ -136,7 +151,3 @@ def reset_drifted(store: TableStore) -> list[str]:
     for name in names:
         store.drop(name)
     return names
-
-
-def app_tables(store: TableStore) -> dict[str, DataFrame]:
-    return {spec.name: store.read(spec.name) for spec in APP_TABLES}

@@ -99,7 +99,7 @@ def generated_subscribers(sequence: DataFrame, as_of: Column, tenant: str = sv.T
         (as_of - F.make_dt_interval(hours=idle_hours)).alias("last_interaction_at"),
         F.when(review, "tertiary").otherwise("primary").alias("tone"),
         F.lit(False).alias("is_featured"),
-        (n + fx.SEED_ORDER_BASE).cast("int").alias("display_order"),
+        (n + fx.SEED_ORDER_BASE).cast("long").alias("display_order"),
     )
 
 

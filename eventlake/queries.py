@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def tables_of(f: Frames) -> dict[str, DataFrame]:
         "platform_analytics_signal": f.signal,
         "platform_campaign_analytics": f.campaign_analytics,
         "platform_engagement_analytics": f.engagement_analytics.withColumn(
-            "display_order", F.substring("page_url", 3, 9).cast("int") + 1
+            "display_order", F.substring("page_url", 3, 9).cast("long") + 1
         ),
         "platform_daily_performance": f.daily_performance,
     }
@@ -339,7 +339,7 @@ def object_index_new(f: Frames) -> DataFrame:
 def bronze_index_join(f: Frames) -> DataFrame:
     folder = f"{scratch_dir(f.spark, 'objects')}/bronze"
     ingest.write_bronze(f.raw_messages, 0, folder)
-    index = bronze.index_rows(bronze.object_listing(f.spark, folder), at(EVENTS_AS_OF))
+    index = bronze.index_rows(bronze.with_etags(bronze.object_listing(f.spark, folder)), at(EVENTS_AS_OF))
     rows = bronze.rows_of_indexed_objects(bronze.bronze_rows(f.spark, folder), index)
     return rows.groupBy("source_topic").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.length("content")).alias("characters")
@@ -350,7 +350,7 @@ def landed_snapshots(f: Frames) -> DataFrame:
     """Partner records landed as JSON lines and read back through the snapshot source."""
     folder = scratch_dir(f.spark, "snapshots")
     f.partner_records.withColumn("payload", F.parse_json("payload")).write.json(folder)
-    return partner.snapshot_records(f.spark, folder, multi_line=False)
+    return partner.snapshot_records(f.spark, folder, array=False)
 
 
 @query
@@ -444,7 +444,7 @@ def display_order_next(f: Frames) -> DataFrame:
     first_seen = (
         f.events.groupBy("environment", F.col("user_id").alias("filter_label"))
         .agg(F.min("occurred_at").alias("occurred_at"))
-        .withColumn("display_order", F.lit(None).cast("int"))
+        .withColumn("display_order", F.lit(None).cast("long"))
     )
     ordered = commands.number_new(first_seen, f.filter, ("occurred_at", "filter_label"))
     return ordered.select("environment", "filter_label", F.col("display_order").cast("long").alias("display_order"))
@@ -646,61 +646,108 @@ def event_stream(f: Frames) -> DataFrame:
     return event_columns(streams.file_stream(f.spark, f"{f.folder}/events.parquet", f.table("events").schema))
 
 
-BATCHES = 3
+BATCHES = 5
 
 
-def event_batches(f: Frames, folder: str) -> DataFrame:
-    """All events as a stream of files, one per batch; each spans all times, so later files hold late events, and repeats the file before."""
+def event_batches(f: Frames, folder: str, repeated: bool = True) -> DataFrame:
+    """All events as a stream of files, one per batch; each spans all times, so later files hold late events, and may repeat the file before."""
     source = f.table("events")
     part = F.pmod(F.hash(source.columns[0]), F.lit(BATCHES))
-    copies = source.withColumn("file", F.explode(F.array(part, (part + 1) % BATCHES)))
+    copies = source.withColumn("file", F.explode(F.array(part, (part + 1) % BATCHES)) if repeated else part)
     copies.repartition("file").write.partitionBy("file").parquet(folder)
     stream = f.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return event_columns(stream.select(*source.columns))
 
 
+def events_in_order(f: Frames, folder: str) -> DataFrame:
+    """All events as a stream of files in the order of their times, one per batch; equal times lie in one file."""
+    source = f.table("events")
+    part = F.least(F.lit(BATCHES - 1), F.floor((F.dayofmonth("ts") - 1) / 6))
+    for number in range(BATCHES):  # a file stream reads files in the order in which they were written
+        source.where(part == number).write.parquet(f"{folder}/{number}")
+    stream = f.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return event_columns(stream)
+
+
 def finished(started) -> None:
     """Wait for a run over all available input."""
     started.awaitTermination()
 
 
+def forget_last_commit(spark: SparkSession, checkpoint: str) -> None:
+    """What a crash leaves between the output of a batch and its commit: the next start runs the batch again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    last = max(int(name) for name in names if name.isdigit())
+    files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, str(last)), False)
+
+
 @query
 def stream_parse(f: Frames) -> DataFrame:
-    out = scratch_dir(f.spark, "stream-parse")
-    finished(ingest.events_view(raw_payload_text(event_stream(f)), f"{out}/events", f"{out}/checkpoint"))
-    return f.spark.read.schema(TABLES["raw_events"].schema).parquet(f"{out}/events")
+    store = new_store(f, "stream-parse")
+    finished(ingest.events_view(raw_payload_text(event_stream(f)), store, f"{store.root}/checkpoint"))
+    return store.read("raw_events")
+
+
+@query
+def stream_and_backfill(f: Frames) -> DataFrame:
+    """Both streams into the store in several batches, the last one replayed, two days backfilled twice and a batch replayed after
+    that: one set of rows, as the readers of the table see it."""
+    store = new_store(f, "stream-backfill")
+    sent = raw_payload_text(event_batches(f, f"{store.root}/in", repeated=False))
+    landing, events = f"{store.root}/landing", f"{store.root}/events"
+    finished(ingest.dual_sink(sent, f"{store.root}/bronze", store, landing))
+    finished(ingest.events_view(sent, store, events))
+    for checkpoint, start in ((landing, lambda: ingest.dual_sink(sent, f"{store.root}/bronze", store, landing)), (events, lambda: ingest.events_view(sent, store, events))):
+        forget_last_commit(f.spark, checkpoint)
+        finished(start())
+    for _ in range(2):
+        jobs.backfill_events(store, dates=[date(2024, 1, 5), date(1970, 1, 1)])
+    forget_last_commit(f.spark, events)
+    finished(ingest.events_view(sent, store, events))
+    return store.read("raw_events")
 
 
 @query
 def stream_dual_sink(f: Frames) -> DataFrame:
-    out = scratch_dir(f.spark, "stream-dual")
-    finished(ingest.dual_sink(raw_payload_text(event_stream(f)), f"{out}/bronze", f"{out}/landing", f"{out}/checkpoint"))
-    landing = f.spark.read.parquet(f"{out}/landing").select(F.lit("landing").alias("sink"), "payload")
-    objects = bronze.bronze_rows(f.spark, f"{out}/bronze").select(F.lit("bronze").alias("sink"), F.col("content").alias("payload"))
+    store = new_store(f, "stream-dual")
+    finished(ingest.dual_sink(raw_payload_text(event_stream(f)), f"{store.root}/bronze", store, f"{store.root}/checkpoint"))
+    landing = store.read("raw_payload").select(F.lit("landing").alias("sink"), "payload")
+    objects = bronze.bronze_rows(f.spark, f"{store.root}/bronze").select(F.lit("bronze").alias("sink"), F.col("content").alias("payload"))
     return landing.unionByName(objects)
 
 
 @query
 def stream_dedup(f: Frames) -> DataFrame:
-    """Every event sent twice, in one file and in the next, kept once."""
+    """Every event sent twice, in one file and in the next, kept once; the last batch is replayed."""
     out = scratch_dir(f.spark, "stream-dedup")
     sent = event_batches(f, f"{out}/in").select("event_id", "event_name", "occurred_at")
     finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint"))
+    forget_last_commit(f.spark, f"{out}/checkpoint")
+    finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint"))
     return f.spark.read.parquet(f"{out}/events").drop("batch")
 
 
 @query
 def stream_daily(f: Frames) -> DataFrame:
+    """Five batches that touch every day each, the last one replayed."""
     store = new_store(f, "stream-daily")
-    finished(stateful.maintain_daily(event_stream(f), store, at(EVENTS_AS_OF), f"{store.root}/checkpoint"))
+    sent = event_batches(f, f"{store.root}/in", repeated=False)
+    for _ in range(2):
+        finished(stateful.maintain_daily(sent, store, at(EVENTS_AS_OF), f"{store.root}/checkpoint"))
+        forget_last_commit(f.spark, f"{store.root}/checkpoint")
     return plain(store.read("platform_daily_performance"))
 
 
 @query
 def stream_transitions(f: Frames) -> DataFrame:
+    """Five batches in the order of time, the last one replayed."""
     out = scratch_dir(f.spark, "stream-transitions")
-    log = request_log_columns(event_stream(f))
-    finished(stateful.follow_transitions(log, f"{out}/rows", f"{out}/state", f"{out}/checkpoint"))
+    log = request_log_columns(events_in_order(f, f"{out}/in"))
+    for _ in range(2):
+        finished(stateful.follow_transitions(log, f"{out}/rows", f"{out}/checkpoint"))
+        forget_last_commit(f.spark, f"{out}/checkpoint")
     return plain(f.spark.read.parquet(f"{out}/rows").drop("batch"))
 
 

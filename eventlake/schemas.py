@@ -25,18 +25,17 @@ def _schema(columns: str) -> T.StructType:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """One table: columns, primary key, partition columns and order inside files.
+    """One table: columns, primary key, cell of a row and order inside files.
 
-    ``buckets`` > 0 adds a hashed key partition below the others, so that a small
-    upsert into a large tenant rewrites a few buckets and not the tenant.
+    ``cell`` is an expression over the key or date columns; rows of one cell lie in files of their own, so a change
+    opens the cells it touches. Its values are numbers or dates: their number does not grow with tenants.
     """
 
     name: str
     schema: T.StructType
     keys: tuple[str, ...] = ()
-    partitions: tuple[str, ...] = ()
+    cell: str | None = None
     order: tuple[str, ...] = ()
-    buckets: int = 0
 
 
 ENVIRONMENT_TEXTS = (
@@ -48,10 +47,12 @@ ENVIRONMENT_TEXTS = (
 )
 
 
-def _tenant_table(name: str, columns: str, keys: tuple[str, ...], buckets: int = 0) -> TableSpec:
-    return TableSpec(
-        name, _schema("environment string not null, " + columns), ("environment", *keys), ("environment",), keys, buckets
-    )
+def _tenant_table(name: str, columns: str, keys: tuple[str, ...], cells: int = 4, cell: str | None = None) -> TableSpec:
+    """Rows of tenants, ordered by tenant and key inside files. Tables of many rows per tenant pass more cells, which
+    then also cut by the first key below the tenant; children lie in the cell of their parent."""
+    every = ("environment", *keys)
+    hashed = f"pmod(xxhash64({', '.join(every[:2] if cells > 4 else every[:1])}), {cells})"
+    return TableSpec(name, _schema("environment string not null, " + columns), every, cell or hashed, every)
 
 
 APP_TABLES = (
@@ -60,56 +61,56 @@ APP_TABLES = (
         ", ".join(f"{text} string not null" for text in ENVIRONMENT_TEXTS) + ", updated_at timestamp not null",
         (),
     ),
-    _tenant_table("platform_filter", "filter_label string not null, display_order int not null", ("filter_label",)),
+    _tenant_table("platform_filter", "filter_label string not null, display_order bigint not null", ("filter_label",)),
     _tenant_table(
         "platform_dashboard_activity",
         "activity_id string not null, title string not null, description string not null, "
-        "occurred_at timestamp not null, tone string not null, display_order int not null",
+        "occurred_at timestamp not null, tone string not null, display_order bigint not null",
         ("activity_id",),
     ),
     _tenant_table(
         "platform_growth_segment",
-        "segment_id string not null, label string not null, percentage decimal(5,2) not null, display_order int not null",
+        "segment_id string not null, label string not null, percentage decimal(5,2) not null, display_order bigint not null",
         ("segment_id",),
     ),
     _tenant_table(
         "platform_campaign",
         "campaign_id string not null, title string not null, summary string not null, status string not null, "
         "audience_count int not null, audience_label string not null, action_label string not null, "
-        "tone string not null, display_order int not null",
+        "tone string not null, display_order bigint not null",
         ("campaign_id",),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_subscriber",
         "subscriber_id string not null, name string not null, email string not null, security_status string not null, "
         "created_at timestamp not null, last_interaction_at timestamp, tone string not null, "
-        "is_featured boolean not null, display_order int not null",
+        "is_featured boolean not null, display_order bigint not null",
         ("subscriber_id",),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_subscriber_segment",
-        "subscriber_id string not null, segment_label string not null, display_order int not null",
+        "subscriber_id string not null, segment_label string not null, display_order bigint not null",
         ("subscriber_id", "segment_label"),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_filter_assignment",
         "subscriber_id string not null, filter_label string not null",
         ("subscriber_id", "filter_label"),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_analytics_pipeline",
         "pipeline_id string not null, title string not null, description string not null, status string not null, "
-        "display_order int not null",
+        "display_order bigint not null",
         ("pipeline_id",),
     ),
     _tenant_table(
         "platform_analytics_signal",
         "signal_id string not null, title string not null, description string not null, action string not null, "
-        "event_kind string not null, subject_type string not null, subject_id string not null, display_order int not null",
+        "event_kind string not null, subject_type string not null, subject_id string not null, display_order bigint not null",
         ("signal_id",),
     ),
     _tenant_table(
@@ -118,19 +119,20 @@ APP_TABLES = (
         "click_recipients bigint not null, bounce_recipients bigint not null, first_seen_at timestamp, "
         "last_seen_at timestamp, refreshed_at timestamp not null",
         ("campaign_id",),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_engagement_analytics",
         "page_url string not null, event_name string not null, event_count bigint not null, unique_users bigint not null, "
-        "first_seen_at timestamp, last_seen_at timestamp, refreshed_at timestamp not null, display_order int not null",
+        "first_seen_at timestamp, last_seen_at timestamp, refreshed_at timestamp not null, display_order bigint not null",
         ("page_url", "event_name"),
-        8,
+        16,
     ),
     _tenant_table(
         "platform_daily_performance",
         "bucket_date date not null, event_count bigint not null, refreshed_at timestamp not null",
         ("bucket_date",),
+        cell="bucket_date",
     ),
 )
 
@@ -150,7 +152,7 @@ LAKE_TABLES = (
             "processed_date date, size bigint"
         ),
         keys=("object_key",),
-        partitions=("processed_date", "source_topic"),
+        cell="processed_date",
         order=("object_key",),
     ),
     TableSpec(
@@ -159,7 +161,8 @@ LAKE_TABLES = (
             "record_id string, provider string, account_id string, collected_at timestamp, captured_at timestamp, "
             "captured_date date, object_key string, payload string"
         ),
-        partitions=("captured_date", "provider"),
+        cell="captured_date",
+        order=("provider", "record_id"),
     ),
     TableSpec("load_audit", _schema("dataset string, rows bigint, run_id string, recorded_at timestamp")),
 )
@@ -169,6 +172,7 @@ SERVING_TABLES = (
     TableSpec(
         "raw_events",
         _schema("event_name string, campaign_id string, user_id string, occurred_at timestamp not null, payload string"),
+        cell="to_date(occurred_at)",
         order=("occurred_at",),
     ),
     TableSpec(

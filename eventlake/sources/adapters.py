@@ -151,7 +151,7 @@ class Frames:
             F.col("p_brand").alias("audience_label"),
             F.col("p_type").alias("action_label"),
             F.lit("primary").alias("tone"),
-            (F.col("p_partkey") + 1).cast("int").alias("display_order"),
+            (F.col("p_partkey") + 1).cast("long").alias("display_order"),
         )
 
     @cached_property
@@ -174,7 +174,7 @@ class Frames:
                 F.col("last_order").alias("last_interaction_at"),
                 F.lit("primary").alias("tone"),
                 (F.col("c_custkey") % 10 == 0).alias("is_featured"),
-                (F.col("c_custkey") + 1).cast("int").alias("display_order"),
+                (F.col("c_custkey") + 1).cast("long").alias("display_order"),
             )
         )
 
@@ -188,7 +188,7 @@ class Frames:
                 tenant(F.col("o_custkey") % 3).alias("environment"),
                 named("sub-", F.col("o_custkey")).alias("subscriber_id"),
                 F.col("o_orderpriority").alias("segment_label"),
-                F.substring("o_orderpriority", 1, 1).cast("int").alias("display_order"),
+                F.substring("o_orderpriority", 1, 1).cast("long").alias("display_order"),
             )
         )
 
@@ -227,7 +227,7 @@ class Frames:
             F.concat(F.lit("Activity in "), F.col("n_name")).alias("description"),
             (at(LABELS_AS_OF) - hours).alias("occurred_at"),
             F.lit("muted").alias("tone"),
-            (F.col("n_nationkey") + 1).cast("int").alias("display_order"),
+            (F.col("n_nationkey") + 1).cast("long").alias("display_order"),
         )
 
     @cached_property
@@ -238,7 +238,7 @@ class Frames:
             named("seg-", F.col("s_suppkey")).alias("segment_id"),
             F.col("s_name").alias("label"),
             ((cents % 10000).cast("decimal(5,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(5,2)").alias("percentage"),
-            (F.col("s_suppkey") + 1).cast("int").alias("display_order"),
+            (F.col("s_suppkey") + 1).cast("long").alias("display_order"),
         )
 
     @cached_property
@@ -249,7 +249,7 @@ class Frames:
             F.col("n_name").alias("title"),
             F.concat(F.lit("Pipeline of "), F.col("n_name")).alias("description"),
             F.lit("Live").alias("status"),
-            (F.col("n_nationkey") + 1).cast("int").alias("display_order"),
+            (F.col("n_nationkey") + 1).cast("long").alias("display_order"),
         )
 
     @cached_property
@@ -263,7 +263,7 @@ class Frames:
             F.lit("analytics").alias("event_kind"),
             F.lit("navigation").alias("subject_type"),
             F.col("n_name").alias("subject_id"),
-            (F.col("n_nationkey") + 1).cast("int").alias("display_order"),
+            (F.col("n_nationkey") + 1).cast("long").alias("display_order"),
         )
 
     # messages and logs

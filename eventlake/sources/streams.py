@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,12 +15,13 @@ TOPICS = (fx.EMAIL_TOPIC, fx.ANALYTICS_TOPIC)
 
 
 def subscribe(spark: SparkSession, servers: str, topics: tuple[str, ...] = TOPICS, per_batch: int | None = None) -> DataFrame:
-    """Both raw topics as one stream of (topic, key, value, timestamp). Needs the Kafka package."""
+    """Both raw topics as one stream of messages (``message_columns``). Needs the Kafka package."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(topics))
         .option("startingOffsets", "earliest")
+        .option("includeHeaders", "true")
     )
     if per_batch:
         reader = reader.option("maxOffsetsPerTrigger", per_batch)
@@ -26,14 +29,45 @@ def subscribe(spark: SparkSession, servers: str, topics: tuple[str, ...] = TOPIC
 
 
 def message_columns(messages: DataFrame) -> DataFrame:
-    return messages.select("topic", F.col("key").cast("string"), F.col("value").cast("string"), "timestamp")
+    """Key and value as text, the place in the topic, and the correlation id that the publisher put into the headers."""
+    named = F.filter("headers", lambda header: header["key"] == fx.CORRELATION_HEADER)
+    correlation = F.decode(F.get(named, F.lit(0))["value"], "utf-8") if "headers" in messages.columns else F.lit(None).cast("string")
+    return messages.select(
+        "topic", F.col("key").cast("string"), F.col("value").cast("string"), "timestamp", "partition", "offset", correlation.alias("correlation_id")
+    )
+
+
+def source_lag(spark: SparkSession, progress: dict) -> DataFrame:
+    """(source, topic, partition, start_offset, end_offset, latest_offset, lag) of one progress report of a streaming query.
+
+    ``lag`` counts the messages that the batch left in the topic partition. Sources without offsets per partition give no rows.
+    """
+    found = []
+    for source in progress.get("sources", ()):
+        start, end, latest = (_offsets(source.get(name)) for name in ("startOffset", "endOffset", "latestOffset"))
+        for (topic, partition), upto in sorted(end.items()):
+            last = latest.get((topic, partition), upto)
+            found.append((source.get("description"), topic, partition, start.get((topic, partition), 0), upto, last, last - upto))
+    return spark.createDataFrame(found, "source string, topic string, partition int, start_offset long, end_offset long, latest_offset long, lag long")
+
+
+def _offsets(report: dict | str | None) -> dict[tuple[str, int], int]:
+    """Offsets by (topic, partition) of what a source reports, as text or parsed."""
+    parsed = json.loads(report) if isinstance(report, str) else report
+    if not isinstance(parsed, dict):
+        return {}
+    return {(topic, int(partition)): offset for topic, parts in parsed.items() if isinstance(parts, dict) for partition, offset in parts.items()}
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000, source: str = "parquet") -> DataFrame:
     """Files below a path, or a single file, as a stream."""
-    # a pattern matches a folder and a single file alike; a plain single file is refused
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).format(source).option("maxFilesPerTrigger", files_per_batch).load(pattern)
+    reader = spark.readStream.schema(schema).format(source).option("maxFilesPerTrigger", files_per_batch)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) and files.getFileStatus(target).isFile():
+        # a plain single file is refused: its folder is read, by its name
+        return reader.option("pathGlobFilter", target.getName()).load(target.getParent().toString())
+    return reader.load(path)
 
 
 def publish_frame(events: DataFrame, topic: Column, key: Column, value: Column, correlation_id: Column) -> DataFrame:

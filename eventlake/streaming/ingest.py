@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from eventlake.plans.parse import parse_payload
-from eventlake.operators.ordering import first_per_key
+from eventlake.sources.store import TableStore
+from eventlake.streaming.state import keyed_state
 
 
 def _drain(writer, once: bool) -> StreamingQuery:
@@ -41,52 +41,48 @@ def write_bronze(batch: DataFrame, batch_id: int, folder: str, capture: str = "d
         )
 
 
-def write_landing(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Messages as ``payload`` rows; each batch owns its folder."""
-    landed = batch.select(F.col("value").alias("payload"), F.lit(batch_id).alias("batch"))
-    landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
-
-
-def dual_sink(messages: DataFrame, bronze: str, landing: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """One pass over the stream into both sinks. A replayed batch overwrites its own output."""
+def dual_sink(messages: DataFrame, bronze: str, store: TableStore, checkpoint: str, stream: str = "landing", once: bool = True) -> StreamingQuery:
+    """One pass over the stream into the bronze folder and the raw payload table. A replayed batch takes the place of its first attempt."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             write_bronze(batch, batch_id, bronze)
-            write_landing(batch, batch_id, landing)
+            store.append("raw_payload", batch.select(F.col("value").alias("payload")), (stream, batch_id))
         finally:
             batch.unpersist()
 
     return _drain(messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
-def events_view(messages: DataFrame, events: str, checkpoint: str, once: bool = True, include_event_type: bool = False) -> StreamingQuery:
-    """The parsed events table, kept up with the stream."""
-    parsed = parse_payload(messages.select(F.col("value").alias("payload")), include_event_type)
-    return _drain(
-        parsed.writeStream.format("parquet").outputMode("append").option("path", events).option("checkpointLocation", checkpoint), once
-    )
+def events_view(
+    messages: DataFrame, store: TableStore, checkpoint: str, stream: str = "events", once: bool = True, include_event_type: bool = False
+) -> StreamingQuery:
+    """The parsed events table, kept up with the stream: the table that backfills rewrite and readers read."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.append("raw_events", parse_payload(batch.select(F.col("value").alias("payload")), include_event_type), (stream, batch_id))
+
+    return _drain(messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
 def first_arrivals(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", once: bool = True) -> StreamingQuery:
-    """First arrival of every id, however late it comes; repeats are dropped against all that earlier batches kept.
+    """First arrival of every id, however late it comes; repeats are dropped against all ids that came before.
 
-    Each batch owns a partition, so a replay overwrites its own rows. Rows without an id are kept.
-    Within a batch the first of equal ids is the least by its other columns, picked before the shuffle.
+    The ids are keyed state without expiry: a batch looks up its own ids and adds the new ones, and reads nothing that
+    earlier batches wrote. Each batch owns a partition, so a replay, which starts from the state before it,
+    overwrites its own rows. Rows without an id are all kept and take no state. Of different rows that bring
+    one new id in one batch, any may be the one that stays.
     """
-    spark, schema = events.sparkSession, StructType([*events.schema.fields, StructField("batch", LongType())])
-    order = [name for name in events.columns if name != key]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        named = first_per_key(batch.where(F.col(key).isNotNull()), [key], order)
-        if batch_id:
-            known = spark.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
-            named = named.join(known.select(key), key, "left_anti").select(*batch.columns)
-        fresh = named.unionByName(batch.where(F.col(key).isNull())).withColumn("batch", F.lit(batch_id).cast("long"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return _drain(events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
+        owned = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        owned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    named = events.where(F.col(key).isNotNull()).dropDuplicates([key])
+    kept = named.unionByName(events.where(F.col(key).isNull()))
+    with keyed_state(events.sparkSession):
+        return _drain(kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from eventlake.operators.requests import ROUTE, last_statuses, status_transitions
-from eventlake.session import pinned
+from eventlake.operators.requests import ORDER, ROUTE, SERVER_ERROR
 from eventlake.sources.store import TableStore
 from eventlake.streaming.ingest import _drain
+from eventlake.streaming.state import LastStatus, keyed_state
 
 
 def daily_counts(events: DataFrame) -> DataFrame:
@@ -23,49 +24,36 @@ def daily_counts(events: DataFrame) -> DataFrame:
 
 
 def maintain_daily(events: DataFrame, store: TableStore, refreshed_at: Column, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the daily table up with the stream. Each update carries whole counts, so a replay changes nothing."""
+    """Keep the daily table up with the stream. The counts are keyed state; a batch gives the whole counts of the
+    tenants and days it touched, and rewrites the files of these days alone. A replay changes nothing."""
     store.ensure("platform_daily_performance")
 
     def write(batch: DataFrame, _: int) -> None:
-        # pinned, as the store reads a change more than once and a stateful batch must run once
-        store.upsert(
-            "platform_daily_performance", pinned(batch).withColumn("refreshed_at", refreshed_at), ["event_count", "refreshed_at"]
-        )
+        store.upsert("platform_daily_performance", batch.withColumn("refreshed_at", refreshed_at), ["event_count", "refreshed_at"])
 
-    writer = daily_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return _drain(writer, once)
+    with keyed_state(events.sparkSession):
+        writer = daily_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        return _drain(writer, once)
 
 
-def follow_transitions(log: DataFrame, out: str, state: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Status transitions of a request-log stream.
+def follow_transitions(log: DataFrame, out: str, checkpoint: str, keep_seconds: int | None = None, once: bool = True) -> StreamingQuery:
+    """Status transitions of a request-log stream, each batch in a partition of its own.
 
-    The remembered status per route lies in a small table, one version per batch: batch ``n`` reads
-    what batch ``n - 1`` left and overwrites only its own version and its own output, so a replay
-    gives the same rows. Within a batch the bucketed operator spreads a busy route over tasks,
-    which a keyed state processor could not.
+    The status a route was left with is keyed state: a batch reads and writes the routes it brings, and no others; a replay starts
+    from the state before it and gives the same rows. A route unseen for ``keep_seconds`` is forgotten; a stream that keeps
+    running also removes its state. The rows that one batch brings for one route are ordered in one task; batches
+    bound them. For whole logs, ``status_transitions`` spreads a busy route over tasks.
     """
-    spark = log.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            remembered = remembered_statuses(spark, state, batch_id)
-            rows = status_transitions(batch, remembered).withColumn("batch", F.lit(batch_id))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
-            latest = last_statuses(batch).withColumnRenamed("last_status", "new_status")
-            updated = remembered.join(latest, ROUTE, "full_outer").select(
-                *ROUTE, F.coalesce("new_status", "last_status").alias("last_status")
-            )
-            updated.write.mode("overwrite").parquet(f"{state}/batch-{batch_id}")
-        finally:
-            batch.unpersist()
-
-    return _drain(log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
-
-
-def remembered_statuses(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """Statuses known before a batch."""
-    schema = "service string, route string, last_status int"
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{state}/batch-{batch_id - 1}")
+        owned = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        owned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    schema = StructType([*log.schema.fields, StructField("previous_status", IntegerType())])
+    expire = keep_seconds is not None and not once  # the timers of expiry would keep a bounded run from ending
+    processor = LastStatus(log.columns, ORDER, SERVER_ERROR, keep_seconds, expire)
+    with keyed_state(log.sparkSession):
+        rows = log.where(F.col("status").isNotNull()).groupBy(*ROUTE).transformWithStateInPandas(
+            processor, outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if expire else "None"
+        )
+        return _drain(rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), once)

@@ -1,4 +1,4 @@
-"""Bucketed operators against plain windows and loops on random data."""
+"""Operators over row ranges against plain windows and loops on random data."""
 
 from __future__ import annotations
 
@@ -22,18 +22,18 @@ def samples(spark, seed, count=400, keys=("a", "b", "hot", "hot", "hot")):
     return spark.createDataFrame(data, "key string, ts timestamp, value int, holds boolean")
 
 
-@pytest.mark.parametrize("seed, bucket", [(1, 60), (2, 600), (3, 100_000)])
-def test_previous_value_is_lag(spark, seed, bucket):
-    df = samples(spark, seed)
-    got = ordering.previous_value(df, ["key"], ordering.time_bucket(F.col("ts"), bucket), ["ts"], "value", "previous")
+@pytest.mark.parametrize("seed, keys", [(1, ("a", "b", "hot", "hot")), (2, (None, "a")), (3, ("one",))])
+def test_previous_value_is_lag(spark, seed, keys):
+    df = samples(spark, seed, keys=keys)
+    got = ordering.previous_value(df, ["key"], ["ts"], "value", "previous")
     want = df.withColumn("previous", F.lag("value").over(Window.partitionBy("key").orderBy("ts")))
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("seed, bucket", [(4, 60), (5, 900)])
-def test_numbered_is_row_number(spark, seed, bucket):
-    df = samples(spark, seed)
-    got = ordering.numbered(df, ["key"], ordering.time_bucket(F.col("ts"), bucket), ["ts"], "n")
+@pytest.mark.parametrize("seed, keys", [(4, ("a", "b", "hot", "hot")), (5, (None, "a"))])
+def test_numbered_is_row_number(spark, seed, keys):
+    df = samples(spark, seed, keys=keys)
+    got = ordering.numbered(df, ["key"], ["ts"], "n")
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ts")))
     assert rows(got, "key", "ts", "n") == rows(want, "key", "ts", "n")
 
@@ -50,21 +50,41 @@ def runs_by_loop(data):
                 run = []
         if run:
             found.append((key, run[0], run[-1], len(run)))
-    return sorted(found)
+    return sorted(found, key=str)
 
 
-@pytest.mark.parametrize("seed, bucket", [(6, 30), (7, 600), (8, 5_000), (9, 100_000)])
-def test_true_runs_cross_buckets(spark, seed, bucket):
-    df = samples(spark, seed)
-    got = ordering.true_runs(df, ["key"], ordering.time_bucket(F.col("ts"), bucket), "ts", "holds")
-    assert sorted(tuple(r) for r in got.select("key", "run_start", "run_end", "samples").collect()) == runs_by_loop(
-        [tuple(r) for r in df.collect()]
-    )
+@pytest.mark.parametrize("seed, keys", [(6, ("a", "b", "hot", "hot")), (7, ("one",)), (8, (None, "a"))])
+def test_true_runs_cross_parts(spark, seed, keys):
+    df = samples(spark, seed, keys=keys)
+    got = ordering.true_runs(df, ["key"], "ts", "holds")
+    found = [tuple(r) for r in got.select("key", "run_start", "run_end", "samples").collect()]
+    assert sorted(found, key=str) == runs_by_loop([tuple(r) for r in df.collect()])
 
 
 def test_true_runs_over_only_true_rows(spark):
     df = samples(spark, 10).withColumn("holds", F.lit(True))
-    assert ordering.true_runs(df, ["key"], ordering.time_bucket(F.col("ts"), 60), "ts", "holds").count() == 3
+    assert ordering.true_runs(df, ["key"], "ts", "holds").count() == 3
+
+
+def spread(frame):
+    """Rows per part, most first."""
+    return sorted((r["count"] for r in frame.groupBy(ordering.PART).count().collect()), reverse=True)
+
+
+def test_one_key_at_one_time_spans_tasks(spark):
+    """A million rows of one key at one time lie in several parts of about equal size, and results are those of a plain window."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("hot").alias("key"), F.lit(START).alias("ts"), "id", (F.col("id") % 3).cast("int").alias("value"))
+    sizes = spread(ordering.ranged(df, ["key"], ["ts", "id"]))
+    assert len(sizes) == 4 and sizes[0] < 0.5 * n
+    got = ordering.previous_value(df, ["key"], ["ts", "id"], "value", "previous")
+    wrong = got.where(~F.col("previous").eqNullSafe(F.when(F.col("id") > 0, (F.col("id") - 1) % 3)))
+    assert wrong.isEmpty() and got.count() == n
+    assert ordering.numbered(df, ["key"], ["ts", "id"], "n").where("n != id + 1").isEmpty()
+    same = df.select("key", "ts", "value")  # nothing tells the rows apart
+    assert len(spread(ordering.ranged(same, ["key"], ["ts"]))) == 4
+    numbers = ordering.numbered(same, ["key"], ["ts"], "n")
+    assert dict(numbers.dtypes)["n"] == "bigint" and numbers.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, n, n)
 
 
 def test_first_and_last_per_key(spark):

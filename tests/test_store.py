@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import json
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from frames import rows
@@ -11,6 +14,7 @@ from eventlake.plans import audit, jobs
 from eventlake.plans.seed import seed_tables, write_seed_export
 from eventlake.schemas import COMMAND, REQUIRED_COLUMNS
 from eventlake.session import scratch_dir
+from eventlake.sources import bronze, partner
 from eventlake.sources.store import TableStore, model_schema
 
 NOW = datetime(2026, 4, 9, 10, 11, 12)
@@ -53,15 +57,75 @@ def test_upsert_sets_only_named_columns_and_last_wins(spark, store):
     assert rows(store.read("platform_campaign"), "title", "status", "display_order") == [("newest", "Draft", 5)]
 
 
-def test_untouched_partitions_keep_their_files(spark, store):
-    store.upsert("platform_daily_performance", daily(spark, ("a", date(2026, 1, 1), 1), ("b", date(2026, 1, 1), 2)), ["event_count"])
+def test_untouched_files_stay(spark, store):
+    """Files of other cells stay, and files of the same cell that hold none of the keys."""
+    name = "platform_daily_performance"
+    for tenant in "ab":
+        store.append(name, daily(spark, (tenant, date(2026, 1, 1), 1), (tenant, date(2026, 1, 2), 2)))
+    before = set(store.files(name))
+    store.upsert(name, daily(spark, ("a", date(2026, 1, 1), 7)), ["event_count"])
+    gone = before - set(store.files(name))
+    assert len(before) == 4 and len(gone) == 1 and counts(store) == [("a", 1, 7), ("a", 2, 2), ("b", 1, 1), ("b", 2, 2)]
+
 
-    def files(tenant):
-        return {f for f in store.read("platform_daily_performance").inputFiles() if f"environment={tenant}" in f}
+def test_a_crash_before_the_switch_changes_nothing(spark, store, monkeypatch):
+    name = "platform_daily_performance"
+    store.replace(name, daily(spark, ("a", date(2026, 1, 1), 1), ("b", date(2026, 1, 1), 2)))
 
-    before = files("b")
-    store.upsert("platform_daily_performance", daily(spark, ("a", date(2026, 1, 1), 7)), ["event_count"])
-    assert files("b") == before
+    def crash(*_):
+        raise RuntimeError("writer died")
+
+    changes = [
+        lambda: store.upsert(name, daily(spark, ("a", date(2026, 1, 1), 7)), ["event_count"]),
+        lambda: store.reload_tenant(name, "a", daily(spark)),
+        lambda: store.append(name, daily(spark, ("c", date(2026, 1, 1), 3)), ("stream", 0)),
+        lambda: store.replace(name, daily(spark)),
+    ]
+    with monkeypatch.context() as patched:
+        patched.setattr(TableStore, "_switch", crash)
+        for change in changes:
+            with pytest.raises(RuntimeError):
+                change()
+            assert counts(store) == [("a", 1, 1), ("b", 1, 2)]
+    assert store.clean(name) > 0 and counts(store) == [("a", 1, 1), ("b", 1, 2)]
+    changes[2]()
+    changes[0]()
+    changes[2]()  # the batch was added once, whatever became of its files
+    assert counts(store) == [("a", 1, 7), ("b", 1, 2), ("c", 1, 3)]
+
+
+def test_a_change_is_evaluated_once(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    change = daily(spark, ("a", date(2026, 1, 1), 7), ("b", date(2026, 1, 2), 8))
+    store.upsert("platform_daily_performance", change.mapInArrow(count, change.schema), ["event_count"])
+    assert seen.value == 2 and counts(store) == [("a", 1, 7), ("b", 2, 8)]
+
+
+def test_compaction_and_cleaning(spark, store):
+    name = "platform_daily_performance"
+    for n in range(1, 8):
+        store.append(name, daily(spark, ("a", date(2026, 1, 1), n), ("b", date(2026, 1, n + 1), n)), ("counts", n))
+    want = counts(store)
+    store.compact(name, most_files=3)
+    assert counts(store) == want and len(store.files(name, ["2026-01-01"])) <= 3 and len(store.files(name)) < 14
+    assert store.clean(name) == 7 and counts(store) == want
+    store.append(name, daily(spark, ("z", date(2026, 1, 1), 1)), ("counts", 7))
+    assert counts(store) == want
+
+
+def test_many_tenants_have_few_folders(spark, store):
+    name = "platform_subscriber_segment"
+    frame = spark.range(3000).selectExpr("concat('t', id % 500) environment", "concat('s', id) subscriber_id", "'x' segment_label", "id display_order")
+    store.replace(name, frame)
+    assert len({file.split("/")[1] for file in store.files(name)}) <= 16
+    store.reload_tenant(name, "t7", frame.limit(0))
+    assert store.read(name).count() == 3000 - 6
 
 
 def test_insert_absent_takes_the_first_and_is_repeatable(spark, store):
@@ -146,15 +210,56 @@ def test_daily_job_twice(spark, store, tmp_path):
     assert audited == [("campaign_performance", 5), ("product_engagement", 4), ("raw_third_party_records", 2)]
 
 
+def test_array_files_feed_many_tasks(spark, tmp_path):
+    """Items with commas, brackets, quotes and escapes inside strings, over file blocks of a few bytes."""
+    items = [{"record_id": str(n), "provider": 'a,"b]}[{\\', "account_id": None, "collected_at": "2026-04-09T01:02:03Z", "payload": {"x": [n, {"y": '],["é' * (n % 7)}], "z": {}}} for n in range(200)]
+    texts = [json.dumps(items[:150]), json.dumps(items[150:199], indent=1, ensure_ascii=False), "[]", " [ ] \n", "\n[\n" + json.dumps(items[199]) + "\n]\n"]
+    for n, text in enumerate(texts):
+        (tmp_path / f"{n}.json").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        found = partner.array_items(spark, str(tmp_path))
+        assert sorted((json.loads(row["item"]) for row in found.collect()), key=lambda item: int(item["record_id"])) == items
+        pieces = spark.read.option("lineSep", ",").text(f"{tmp_path}/0.json")
+        assert pieces.rdd.getNumPartitions() > 10
+        records = partner.snapshot_records(spark, str(tmp_path))
+        assert rows(records.select(F.col("record_id").cast("int"), "provider")) == rows(spark.createDataFrame([(int(item["record_id"]), item["provider"]) for item in items], "a int, b string"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_daily_job_takes_lines(spark, store, tmp_path):
+    (tmp_path / "one.json").write_text('{"record_id":"1","provider":"p","collected_at":"2026-04-09T01:02:03Z","payload":{"a":1}}\n{"record_id":"2","provider":"p"}\n')
+    jobs.ingest_partner_snapshot(store, partner.snapshot_records(spark, str(tmp_path), array=False), NOW)
+    assert rows(store.read("third_party_snapshots"), "record_id", "payload") == [("1", '{"a":1}'), ("2", "{}")]
+
+
+def test_listing_reads_no_content(spark, tmp_path):
+    folder = tmp_path / "bronze" / "email_events_raw"
+    folder.mkdir(parents=True)
+    for name, text in (("a [1].json", "x" * 40), ("b{2}*.json", "y"), ("c.json", "1\n2\n3\n")):
+        (folder / name).write_text(text)
+    listing = bronze.object_listing(spark, str(tmp_path / "bronze"))
+    scan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "content:binary" not in scan and listing.count() == 3
+    whole = {row["object_key"].split("/")[-1]: row["etag"] for row in bronze.with_etags(listing).collect()}
+    assert whole == {name: hashlib.md5((folder / name).read_bytes()).hexdigest() for name in ("a [1].json", "b{2}*.json", "c.json")}
+    pieces = {row["object_key"].split("/")[-1]: row["etag"] for row in bronze.with_etags(listing, whole_bytes=5).collect()}
+    assert pieces["b{2}*.json"] == whole["b{2}*.json"] and pieces["c.json"].startswith("lines-") and pieces["a [1].json"].startswith("lines-")
+    one = listing.where("size = 1")
+    assert [row["etag"] for row in bronze.with_etags(one).collect()] == [whole["b{2}*.json"]]
+
+
 def test_object_index_twice(spark, store, tmp_path):
     folder = tmp_path / "bronze" / "email_events_raw" / "captured_at=1"
     folder.mkdir(parents=True)
     (folder / "a b.json").write_text("{}")
     for objects in (1, 1):
-        jobs.sync_object_metadata(store, str(tmp_path / "bronze"), NOW, "run")
+        jobs.sync_object_metadata(store, str(tmp_path / "bronze"), NOW, "run", at_once=1)
         assert store.read("raw_object_index").count() == objects
     (folder / "c.json").write_text("{}{}")
-    jobs.sync_object_metadata(store, str(tmp_path / "bronze"), NOW, "run")
+    jobs.sync_object_metadata(store, str(tmp_path / "bronze"), NOW, "run", at_once=1)
     index = store.read("raw_object_index")
     assert rows(index, "object_key", "source_topic", "size") == [
         ("bronze/email_events_raw/captured_at=1/a b.json", "email_events_raw", 2),
@@ -189,9 +294,10 @@ def test_drifted_tables_are_reset(spark, store):
     for name in REQUIRED_COLUMNS:
         store.replace(name, seeded[name])
     assert jobs.reset_drifted(store) == []
-    location = store.location("platform_campaign_analytics")
-    spark.read.parquet(location).drop("bounce_recipients").write.mode("overwrite").parquet(f"{store.root}/platform_campaign_analytics/narrow")
-    store._switch("platform_campaign_analytics", "narrow")
+    name = "platform_campaign_analytics"
+    store.read(name).drop("bounce_recipients").coalesce(1).write.parquet(f"{store.root}/{name}/narrow/cell=0")
+    (narrow,) = Path(f"{store.root}/{name}/narrow/cell=0".removeprefix("file:")).glob("part-*")
+    store._publish(name, [f"narrow/cell=0/{narrow.name}"])
     assert jobs.reset_drifted(store) == list(REQUIRED_COLUMNS)
     assert store.read("platform_campaign_analytics").isEmpty()
 
