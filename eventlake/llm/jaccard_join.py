@@ -47,6 +47,7 @@ PIVOTS = 16
 CELL_ROWS = 2000
 BITS = 1024
 FLUSH_KEYS = 1 << 22
+ARROW_ROWS = 1 << 16
 
 
 def shingle_sets(piece: tokens.Piece, k: int) -> Iterator[np.ndarray]:
@@ -96,55 +97,76 @@ def part_keys(hashes: np.ndarray, edges: np.ndarray, threshold: Fraction) -> np.
     return np.concatenate(keys)
 
 
-FEATURES = "doc_id long, n long, high long, low long, keys array<long>, met array<long>"
-FEATURE_TYPE = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("keys", pa.list_(pa.int64())), ("met", pa.list_(pa.int64())),
-])
+SIZES = "doc_id long, n long, high long, low long"
 
 
-def features(k: int, threshold: Fraction):
-    """Sets in brief. Keys seen before in the same task are turned into met documents, so a common key leaves a task once.
+def set_hashes(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return tokens.mixed(hashes).sum(), tokens.mixed(hashes ^ np.uint64(tokens.STEP)).sum()
 
-    A set seen before in the same task meets the document that brought it and has no keys of its own."""
+
+def sizes(k: int):
+    """Size and hash of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, high, low = [], [], []
+            for piece in tokens.pieces(batch.column(1), lower=True):
+                for hashes in shingle_sets(piece, k):
+                    one, two = set_hashes(hashes)
+                    n.append(len(hashes))
+                    high.append(one)
+                    low.append(two)
+            numbers = [pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers], names=["doc_id", "n", "high", "low"])
+
+    return run
+
+
+MEETINGS = "place long, doc_id long, met boolean"
+
+
+def meetings(k: int, threshold: Fraction):
+    """(key, document, false) for every key, once per task, and (document, document, true) for two that meet in the task.
+
+    Keys seen before in the same task are turned into met documents, so a common key leaves a task once; a set seen
+    before in it meets the document that brought it and has no keys of its own."""
     edges = band_edges(threshold, 1 << 40)
 
-    def flush(ids, sizes, highs, lows, keys, equals) -> pa.RecordBatch:
-        counts = np.array([len(x) for x in keys], dtype=np.int64)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    def flush(ids: list[int], keys: list[np.ndarray], equals: list[int]) -> Iterator[pa.RecordBatch]:
+        numbers = np.array(ids, dtype=np.int64)
+        flat = np.concatenate(keys)
         _, first, place = np.unique(flat, return_index=True, return_inverse=True)
-        owner = np.repeat(np.arange(len(keys)), counts)
+        owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
         leads = first[place] == np.arange(len(flat))
-        kept = np.bincount(owner[leads], minlength=len(keys)).astype(np.int64)
-        copies = np.array([(row, first) for row, first in enumerate(equals) if first >= 0], dtype=np.int64).reshape(-1, 2).T
+        copies = np.array([(row, earlier) for row, earlier in enumerate(equals) if earlier >= 0], dtype=np.int64).reshape(-1, 2).T
         met = np.unique(np.concatenate([np.stack([owner[~leads], owner[first[place[~leads]]]]), copies], axis=1), axis=1)
         met = met[:, met[0] != met[1]]
-        numbers = pa.array(ids, pa.int64())
-        partners = numbers.take(pa.array(met[1]))
-        lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-        return pa.record_batch([
-            numbers, pa.array(sizes, pa.int64()), pa.array(np.array(highs, np.uint64).view(np.int64)), pa.array(np.array(lows, np.uint64).view(np.int64)),
-            lists(kept, pa.array(flat[leads].view(np.int64))), lists(np.bincount(met[0], minlength=len(keys)), partners),
-        ], schema=FEATURE_TYPE)
+        places, documents = np.concatenate([flat[leads].view(np.int64), numbers[met[1]]]), np.concatenate([numbers[owner[leads]], numbers[met[0]]])
+        kinds = np.arange(len(places)) >= leads.sum()
+        for begin in range(0, len(places), ARROW_ROWS):
+            part = slice(begin, begin + ARROW_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(places[part]), pa.array(documents[part]), pa.array(kinds[part])], names=["place", "doc_id", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_keys, seen = ([], [], [], [], [], []), 0, {}
+        held, n_keys, seen = ([], [], []), 0, {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for piece in tokens.pieces(batch.column(1), lower=True):
                 for row, hashes in zip(piece.rows, shingle_sets(piece, k), strict=True):
-                    one, two = tokens.mixed(hashes).sum(), tokens.mixed(hashes ^ np.uint64(tokens.STEP)).sum()
-                    usable = len(hashes) and ids[row] is not None
-                    before = seen.setdefault((one, two), len(held[0])) if usable else len(held[0])
-                    fresh = usable and before == len(held[0])
+                    if not len(hashes) or ids[row] is None:
+                        continue
+                    before = seen.setdefault(set_hashes(hashes), len(held[0]))
+                    fresh = before == len(held[0])
                     keys = part_keys(hashes, edges, threshold) if fresh else hashes[:0]
-                    for column, value in zip(held, (ids[row], len(hashes), one, two, keys, -1 if fresh or not usable else before), strict=True):
+                    for column, value in zip(held, (ids[row], keys, -1 if fresh else before), strict=True):
                         column.append(value)
                     n_keys += len(keys)
                 if n_keys > FLUSH_KEYS:
-                    yield flush(*held)
-                    held, n_keys, seen = ([], [], [], [], [], []), 0, {}
+                    yield from flush(*held)
+                    held, n_keys, seen = ([], [], []), 0, {}
         if held[0]:
-            yield flush(*held)
+            yield from flush(*held)
 
     return run
 
@@ -196,20 +218,17 @@ def compare(k: int, threshold: Fraction):
 def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    brief = pinned(given.mapInArrow(features(k, threshold), FEATURES))
-    keyed = brief.where("doc_id is not null and n > 0")
-    classes = pinned(keyed.groupBy("high", "low").agg(F.min("doc_id").alias("rep")))
-
-    # Families of sets that meet in a key; a key has at most one row per task.
-    key_rows = keyed.select("doc_id", F.explode("keys").alias("key"))
-    first = key_rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.collect_list("doc_id").alias("others")).where(F.size("others") > 1)
-    met = first.select(F.col("first").alias("a"), F.explode("others").alias("b")).unionByName(
-        keyed.select(F.col("doc_id").alias("a"), F.explode("met").alias("b"))
-    )
+    brief = pinned(given.mapInArrow(sizes(k), SIZES))
+    classes = pinned(brief.where("doc_id is not null and n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep")))
+
+    # Families of sets that meet in a key; a key has at most one row per task. Rows of a document travel side by side, so they compress.
+    rows = given.mapInArrow(meetings(k, threshold), MEETINGS).repartition("place", "met")
+    together = rows.groupBy("place", "met").agg(F.min("doc_id").alias("first"), F.collect_list("doc_id").alias("others")).where(F.col("met") | (F.size("others") > 1))
+    met = together.select(F.when(F.col("met"), F.col("place")).otherwise(F.col("first")).alias("a"), F.explode("others").alias("b"))
     families = components(met)
     sets = families.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
-    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = sets.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
+    family_sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = sets.join(family_sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
     texts = pinned(given.join(members.hint("merge"), "doc_id"))
 
     connected = settled(texts, components(_links_in_tiles(texts, k, threshold)), k, threshold)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +21,43 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, graded: DataFrame, most: int, most_chars: int) -> tuple[list[str], list[int], dict[int, float]]:
-    """Whole texts and grades of a bounded sample, and the share of every grade among all labels.
+def sampled(docs: DataFrame, graded: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """(text, grade) of a bounded sample of labelled rows, whole texts of any length, and the share of every grade among all labels.
 
-    ``graded`` is (doc_id, grade). Each grade gives its first rows in the order of a hash of the id, ``most`` rows
-    in all; texts of more than ``most_chars`` characters do not teach.
+    ``graded`` is (doc_id, grade). Each grade gives its first ids in the order of a hash of the id, ``most`` rows
+    in all; an id that repeats in ``docs`` gives one of its texts.
     """
     usable = graded.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).distinct()
     totals = {row.grade: row.n for row in usable.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars)
-    got = []
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = [given.select("text", F.lit(0).alias("grade")).limit(0)]
     for grade in sorted(totals):
-        sample = usable.where(F.col("grade") == grade).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max(1, most // len(totals)))
-        got += short.join(F.broadcast(sample), "doc_id").collect()  # at most ``most`` ids
-    got.sort(key=lambda row: (row.doc_id * tokens.STEP % (1 << 61), row.doc_id, row.text, row.grade))
+        chosen = usable.where(F.col("grade") == grade).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(max(1, most // len(totals)))
+        own = given.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most ``most`` ids are sent
+        parts.append(own.select("text", F.lit(grade).alias("grade")))
     whole = sum(totals.values())
-    return [row.text for row in got], [row.grade for row in got], {grade: n / whole for grade, n in totals.items()}
+    return reduce(DataFrame.unionByName, parts), {grade: n / whole for grade, n in totals.items()}
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> Any:
+    """The model that ``fit`` makes of a bounded sample, made in one task, so that the driver holds the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, grades = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            grades += batch.column(1).to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i].encode()), texts[i], grades[i]))
+        model = pickle.dumps(fit([texts[i] for i in order], [grades[i] for i in order]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = sample.select("text", F.col("grade").cast("int")).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit([], [])  # written by the task above; an empty sample may have no task
 
 
 def scored(docs: DataFrame, keep: list[str], text: str, out: list[str], breaks: np.ndarray, lower: bool, score: Callable[[tokens.Piece], np.ndarray]) -> DataFrame:
     """Columns ``keep`` of every row with the numbers ``out`` that ``score`` gives for its whole text; one pass, no shuffle."""
-    given = docs.select(*[F.col(name) for name in keep], F.col(text).alias("_text"))
+    given = docs.select(*[F.col(name) for name in keep], F.col(text))  # by place: a name may come twice
     schema = docs.select(*keep, *[F.lit(0.0).alias(name) for name in out]).schema
     known = docs.sparkSession.sparkContext.broadcast(score)  # bounded by the sample the model was fitted on
 

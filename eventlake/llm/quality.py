@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
-from eventlake.llm.learning import in_fold, labelled_texts, scored
+from eventlake.llm.learning import fitted, in_fold, sampled, scored
 
 BUCKETS = 1 << 16
-MOST_TEXTS = 5000
-MOST_CHARS = 8000
+MOST_TEXTS = 8000
 LEAST_GAP = 0.5
 ROUNDS = 300
 RIDGE = 1e-5
@@ -126,8 +125,7 @@ def grade_of(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, graded: DataFrame, most: int = MOST_TEXTS) -> Model:
-    texts, grades, _ = labelled_texts(docs, graded, most, MOST_CHARS)
-    return fit(texts, grades)
+    return fitted(sampled(docs, graded, most)[0], fit)
 
 
 def grade_texts(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

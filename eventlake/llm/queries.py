@@ -38,7 +38,7 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return surrogates.replace(table(spark, folder, "documents"), count="n_entities").select("doc_id", "n_entities", "text")
+    return surrogates.replace(table(spark, folder, "documents"), surrogates.session_key(spark), count="n_entities").select("doc_id", "n_entities", "text")
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,17 +29,19 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlake.llm.columns import unused
 from eventlake.session import pinned
 
-KEY = b"surrogates of this corpus"  # a deployment passes its own
+KEY_SETTING = "spark.eventlake.surrogates.key"
 MOST_REDRAWN = 100_000
 WIDER, WIDEST, PLAIN = 3, 8, 16  # attempts from which pools are wider, widest, and without the format of the entity
 FEW = 4
@@ -322,8 +324,19 @@ def redrawn(known: DataFrame, key: bytes) -> DataFrame:
     return out.select("kind", "value", "full", "attempt", "drawn")
 
 
-def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str | None = None) -> DataFrame:
-    """``docs`` with every entity replaced; ``count`` names a column for the number of entities."""
+_drawn: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's settings name; without one, a random key that lasts as long as the application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def replace(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
+    """``docs`` with every entity replaced; ``count`` names a column for the number of entities, in place of one of that name."""
     known = pinned(corpus_entities(docs, key, text))
     changed = pinned(redrawn(known, key))
     n = changed.count()
@@ -336,9 +349,9 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str |
         given = _with_attempts(docs, changed, text)
     names = given.columns
     at = names.index(text)
-    own = names.index("_attempts") if "_attempts" in names else None
-    kept = [name for name in names if name != "_attempts"]
-    schema = docs.select(*docs.columns, *([F.lit(0).cast("long").alias(count)] if count else [])).schema
+    own = len(docs.columns) if len(names) > len(docs.columns) else None
+    kept = docs.columns if count is None else [name for name in docs.columns if name.lower() != count.lower()]
+    schema = docs.select(*kept, *([F.lit(0).cast("long").alias(count)] if count else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,8 +378,9 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str |
 
 
 def _with_attempts(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    """Documents with the redrawn entities they hold."""
-    mark = F.xxhash64(text)
+    """Documents with the redrawn entities they hold, in a last column."""
+    mark, attempts = unused(docs, "mark"), unused(docs, "attempts")
+    hashed = F.xxhash64(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,6 +391,6 @@ def _with_attempts(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("mark", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
-    holds = docs.select(mark.alias("mark"), text).mapInArrow(run, "mark long, kind string, value string").distinct()
-    lists = holds.join(changed, ["kind", "value"]).groupBy("mark").agg(F.collect_list(F.struct("kind", "value", "full", "attempt")).alias("_attempts"))
-    return docs.withColumn("mark", mark).join(lists, "mark", "left").drop("mark")
+    holds = docs.select(hashed.alias("mark"), text).mapInArrow(run, "mark long, kind string, value string").distinct()
+    lists = holds.join(changed, ["kind", "value"]).groupBy(F.col("mark").alias(mark)).agg(F.collect_list(F.struct("kind", "value", "full", "attempt")).alias(attempts))
+    return docs.withColumn(mark, hashed).join(lists, mark, "left").select(*docs.columns, attempts)

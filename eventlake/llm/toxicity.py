@@ -1,16 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, toxic and ordinary, are fitted on a bounded sample of labelled texts. Both
-interpolate with discounted counts (the discount grows with the count's own error): a bigram backs off to the class's continuation counts, and these
-to the continuation counts of all texts together, so a rare expression is smoothed alike in both
-classes and does not tip the balance by being rare. A text is compared by its length-normalised
-log-likelihood ratio: over the whole text, and over every run of ``SPAN`` words, of which the highest
-counts, so that one insult in a long text is not diluted. A logistic curve fitted on the labelled
-texts, each scored by models that have not seen it, turns both ratios into the score.
-
-The model is a few sorted arrays whose size is bounded by the sample (``MOST_TEXTS`` texts, none of more
-than ``MOST_CHARS`` characters), so it travels with the tasks; scoring is one pass
-without a shuffle and needs no id, language or source.
+interpolate with discounted counts (the discount grows with the count's own error). A bigram backs off to its word, a word to its
+stem, and a stem to shorter ones: at every step a class keeps the discounted count of documents that hold the word or
+stem, and deals out what the discounts left by the counts of both classes together. So a rare or unseen expression is
+told by its stem, if that stem is toxic, and is smoothed alike in both classes where nothing is known, so it does not tip the
+balance by being rare. A text is compared by its length-normalised log-likelihood ratio, and by the mean ratio of its
+highest 1, 3 and 6 distinct words, so that insults in a long text are not diluted; as highest values rise with the
+number of words, that number goes in, too. A logistic curve fitted on the labelled
+texts, each scored by models that have not seen it, turns these into the score.
+
+The model is a few sorted arrays whose size is bounded by the sample (``MOST_TEXTS`` texts, whole ones of any length), fitted in one
+task; it travels with the tasks, and scoring is one pass without a shuffle and needs no id, language or source.
 
 Cases: a text without words (null, empty) scores as the class prior does. Rows without a label, or
 with another one than 0 and 1, do not teach; conflicting labels of one document each count. With no
@@ -20,6 +21,7 @@ repeated rows alike; an empty table gives none; further columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,15 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
-from eventlake.llm.learning import in_fold, labelled_texts, scored
+from eventlake.llm.learning import fitted, in_fold, sampled, scored
+from eventlake.session import discard, pinned
 
-MOST_TEXTS = 5000
-MOST_CHARS = 8000
-SPAN = 3
+MOST_TEXTS = 8000
+STEM_BYTES = range(2, 13)  # lengths of the stems that a word backs off to
+LEAST_TEXTS = 2  # documents that a word or stem needs to be kept
+TOPS = (1, 3, 6)
 FOLDS = 4
 REJECT = 0.3
 MOST_SAID = 1.0  # no word shifts the balance by more than a factor of ten
-START = np.uint64(0x5bd1e995)
+NOTHING = 1e-12
+START = np.uint64(0x5BD1E995)
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -63,71 +68,158 @@ def befores(values: np.ndarray, firsts: np.ndarray, start) -> np.ndarray:
     return out
 
 
+def stems_of(piece: tokens.Piece, places: np.ndarray) -> np.ndarray:
+    """(words, stems): hashes of the proper beginnings of words, 0 where a word is not longer."""
+    first, length = piece.starts[places], (piece.ends - piece.starts)[places]
+    hashed, out = np.zeros(len(places), np.uint64), np.zeros((len(places), len(STEM_BYTES)), np.uint64)
+    for i in range(STEM_BYTES[-1]):
+        byte = tokens.VALUES[True][piece.data[np.minimum(first + i, len(piece.data) - 1)]]
+        hashed = tokens.mixed(hashed * np.uint64(tokens.STEP) + byte)
+        if i + 1 in STEM_BYTES:
+            out[:, i + 1 - STEM_BYTES[0]] = np.where(length > i + 1, hashed, 0)
+    return out
+
+
 @dataclass
 class Model:
-    """Tables of both classes (toxic in column 0, ordinary in column 1); row -1 is for unseen keys."""
+    """Tables of both classes (toxic in column 0, ordinary in column 1); row -1 of ``node`` tables is for what has no known stem."""
 
-    words: np.ndarray
-    low: np.ndarray  # probability of a word by its endings, backed off to the endings of all texts
-    total: np.ndarray  # distinct trigrams through a word, by their middle
+    nodes: np.ndarray  # words and stems
+    low: np.ndarray  # probability of a node
+    left: np.ndarray  # what its known longer words leave to unknown ones
+    total: np.ndarray  # bigrams that begin with the word
     open: np.ndarray  # share of the probability behind a word that its bigrams leave to the lower order
     pairs: np.ndarray
     count: np.ndarray  # discounted counts of bigrams
-    curve: np.ndarray  # weights of the two ratios and the constant
+    curve: np.ndarray  # weights of the features and the constant
 
-    def ratios(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(texts, 2): mean ratio and highest mean over ``SPAN`` words; 0 for texts without words."""
-        out = np.zeros((len(first) - 1, 2))
+    def features(self, piece: tokens.Piece) -> np.ndarray:
+        """(texts, 2 + tops): mean ratio, mean of the highest ones of distinct words, size of the text; 0 without words."""
+        out = np.zeros((len(piece.rows), 2 + len(TOPS)))
+        words, counts = piece.hashes, piece.counts()
         if not len(words):
             return out
-        counts = np.diff(first)
         filled = np.flatnonzero(counts)
-        starts = first[:-1][filled]
-        at = lookup(self.words, words)
-        behind = befores(at, starts, len(self.words))
+        starts = piece.first[:-1][filled]
+        distinct, first, number = np.unique(words, return_index=True, return_inverse=True)
+        known = lookup(self.nodes, distinct)
+        at = np.where(known < len(self.nodes), known, -1)
+        p = self.low[at]
+        strange = np.flatnonzero(at < 0)
+        if len(strange):
+            stem = np.full(len(strange), -1)
+            for column in stems_of(piece, first[strange]).T:  # the longest known one stays
+                found = lookup(self.nodes, column)
+                stem = np.where((column > 0) & (found < len(self.nodes)), found, stem)
+            p[strange] = self.left[stem]
+        at, p = at[number], p[number]
+        behind = befores(at, starts, -1)
         pair = lookup(self.pairs, bigrams(words, befores(words, starts, START)))
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.where(self.total[behind] > 0, self.count[pair] / self.total[behind], 0.0)
-        p = seen + self.open[behind] * self.low[at]
+        p = seen + self.open[behind] * p
         ratio = np.clip(np.log10(p[:, 0]) - np.log10(p[:, 1]), -MOST_SAID, MOST_SAID)
         out[filled, 0] = np.add.reduceat(ratio, starts) / counts[filled]
-        upto = np.concatenate([[0.0], np.cumsum(ratio)])
-        place = np.arange(1, len(words) + 1)
-        width = np.minimum(SPAN, place - np.repeat(starts, counts[filled]))
-        out[filled, 1] = np.maximum.reduceat((upto[place] - upto[place - width]) / SPAN, starts)
+        row = piece.document_of_word()
+        order = np.lexsort((-ratio, number, row))
+        once = order[np.concatenate([[True], (row[order[1:]] != row[order[:-1]]) | (number[order[1:]] != number[order[:-1]])])]
+        once = once[np.lexsort((-ratio[once], row[once]))]
+        size = np.bincount(row[once], minlength=len(piece.rows))
+        begin = np.cumsum(size) - size
+        upto = np.concatenate([[0.0], np.cumsum(ratio[once])])
+        for column, top in enumerate(TOPS):
+            out[:, 1 + column] = (upto[begin + np.minimum(size, top)] - upto[begin]) / top
+        out[:, -1] = np.log10(np.maximum(size, 1))
         return out
 
-    def scores(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(first) - 1, self.curve[-1])
-        return logistic(self.ratios(words, first), self.curve)
+    def __call__(self, piece: tokens.Piece) -> np.ndarray:
+        if not len(self.nodes):
+            return np.full(len(piece.rows), self.curve[-1])
+        return logistic(self.features(piece), self.curve)
 
 
-def tables(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
+@dataclass
+class Lessons:
+    """The labelled texts as numbers of words, and the distinct words with their stems."""
+
+    texts: list[np.ndarray]
+    known: np.ndarray
+    stems: np.ndarray
+
+
+def lessons_of(pieces: Iterator[tokens.Piece]) -> Lessons:
+    hashes, known, stems = [], [], []
+    for piece in pieces:
+        hashes += [piece.hashes[a:b] for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
+        distinct, first = np.unique(piece.hashes, return_index=True)
+        known.append(distinct)
+        stems.append(stems_of(piece, first) if len(first) else np.zeros((0, len(STEM_BYTES)), np.uint64))
+    known, first = np.unique(np.concatenate([*known, np.zeros(0, np.uint64)]), return_index=True)
+    stems = np.concatenate([*stems, np.zeros((0, len(STEM_BYTES)), np.uint64)])[first]
+    return Lessons([np.searchsorted(known, own).astype(np.int32) for own in hashes], known, stems)
+
+
+def node_tables(texts: list[np.ndarray], toxic: np.ndarray, lessons: Lessons) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, their probabilities, and what they leave to unknown words below them."""
+    holding = np.zeros((len(lessons.known), 2))  # documents that hold the word
+    for words, kind in zip(texts, toxic, strict=True):
+        holding[np.unique(words), 0 if kind else 1] += 1
+    depth = (lessons.stems > 0).sum(axis=1)
+    longest = np.where(depth > 0, lessons.stems[np.arange(len(depth)), np.maximum(depth - 1, 0)], 0)
+    enough = np.flatnonzero(holding.sum(axis=1) >= LEAST_TEXTS)
+    parts = [(lessons.known[enough], holding[enough], longest[enough], np.full(len(enough), len(STEM_BYTES)))]
+    for level in range(len(STEM_BYTES)):
+        own = np.flatnonzero(lessons.stems[:, level])
+        stem, first, number = np.unique(lessons.stems[own, level], return_index=True, return_inverse=True)
+        below = np.stack([np.bincount(number, weights=holding[own, kind], minlength=len(stem)) for kind in (0, 1)], axis=1)
+        above = lessons.stems[own[first], level - 1] if level else np.zeros(len(stem), np.uint64)
+        enough = np.flatnonzero(below.sum(axis=1) >= LEAST_TEXTS)
+        parts.append((stem[enough], below[enough], above[enough], np.full(len(enough), level)))
+    nodes, count, above, level = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.argsort(nodes, kind="stable")
+    nodes, count, above, level = nodes[order], count[order], above[order], level[order]
+    total = holding.sum(axis=0)
+    up = np.where(above > 0, lookup(nodes, above), len(nodes))
+    own = (count - discounts(count)) / np.maximum(total, 1)
+    dealt = np.stack([np.bincount(up, weights=own[:, kind], minlength=len(nodes) + 1) for kind in (0, 1)], axis=1)
+    both = np.append(count.sum(axis=1), total.sum())
+    share = (both[:-1] + 0.5) / (both[up] + 1)
+    low = np.ones((len(nodes) + 1, 2))
+    for step in range(len(STEM_BYTES) + 1):
+        at = np.flatnonzero(level == step)
+        low[at] = own[at] + np.maximum(low[up[at]] - dealt[up[at]], NOTHING) * share[at][:, None]
+    return nodes, low, np.maximum(low - dealt, NOTHING) * (0.5 / (both + 1))[:, None]
+
+
+def tables(texts: list[np.ndarray], toxic: np.ndarray, lessons: Lessons) -> Model:
     """Both class models over one vocabulary."""
-    sizes = np.array([len(t) for t in texts])
-    words = np.concatenate([*texts, np.zeros(0, np.uint64)])
+    nodes, low, left = node_tables(texts, toxic, lessons)
+    node_of = np.append(lookup(nodes, lessons.known), len(nodes))
+    sizes = np.array([len(words) for words in texts])
+    flat = np.concatenate([*texts, np.zeros(0, np.int32)])
     firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    kind = np.repeat(np.where(toxic, 0, 1), sizes)
-    vocabulary, at = np.unique(words, return_inverse=True)
-    before = befores(words, firsts, START)
-    behind = befores(at, firsts, len(vocabulary))
-    pairs, first, pair = np.unique(bigrams(words, before), return_index=True, return_inverse=True)
-    n = len(vocabulary)
-    # A pair counts once per word before it, as a word does: a passage that was copied counts like one.
-    ahead = bigrams(befores(before, firsts, START), np.uint64(1)) ^ bigrams(words, before)
-    distinct = [np.unique(ahead[kind == c], return_index=True)[1] for c in (0, 1)]
-    within = [np.flatnonzero(kind == c)[distinct[c]] for c in (0, 1)]
-    count = np.column_stack([np.bincount(pair[within[c]], minlength=len(pairs)) for c in (0, 1)]).astype(float)
-    endings = np.column_stack([np.bincount(at[first[count[:, c] > 0]], minlength=n + 1) for c in (0, 1)]).astype(float)
-    shared = np.bincount(at[first], minlength=n + 1) + 0.5
-    low = (endings - discounts(endings) + discounts(endings).sum(axis=0) * (shared / shared.sum())[:, None]) / np.maximum(endings.sum(axis=0), 1)
-    total = np.column_stack([np.bincount(behind[within[c]], minlength=n + 1) for c in (0, 1)]).astype(float)
-    given = np.column_stack([np.bincount(behind[first], weights=discounts(count[:, c], 3), minlength=n + 1) for c in (0, 1)])
+    none = len(lessons.known)
+    before = befores(flat, firsts, none)
+    pairs, first, pair = np.unique(before.astype(np.int64) * (none + 1) + flat, return_index=True, return_inverse=True)
+    # A pair counts once per word before it: a passage that was copied counts like one.
+    ahead = befores(before, firsts, none).astype(np.int64) * len(pairs) + pair
+    kind = np.repeat(np.where(toxic, 0, 1).astype(np.int8), sizes)
+    behind = node_of[before]
+    count, total = np.zeros((len(pairs), 2)), np.zeros((len(nodes) + 1, 2))
+    for c in (0, 1):
+        own = np.flatnonzero(kind == c)
+        own = own[np.unique(ahead[own], return_index=True)[1]]
+        count[:, c] = np.bincount(pair[own], minlength=len(pairs))
+        total[:, c] = np.bincount(behind[own], minlength=len(nodes) + 1)
+    given = np.column_stack([np.bincount(behind[first], weights=discounts(count[:, c], 3), minlength=len(nodes) + 1) for c in (0, 1)])
+    total[-1], given[-1] = 0, 0  # words that are no node tell nothing of what follows
     kept = count - discounts(count, 3)
     useful = np.flatnonzero(kept.max(axis=1) > 0)
+    hashes = np.append(lessons.known, START)
+    keys = bigrams(hashes[pairs[useful] % (none + 1)], hashes[pairs[useful] // (none + 1)])
+    order = np.argsort(keys)
     opened = np.where(total > 0, given / np.maximum(total, 1), 1.0)
-    return Model(vocabulary, low, total, opened, pairs[useful], np.vstack([kept[useful], np.zeros((1, 2))]), np.zeros(3))
+    return Model(nodes, low, left, total, opened, keys[order], np.vstack([kept[useful[order]], np.zeros((1, 2))]), np.zeros(3 + len(TOPS)))
 
 
 def logistic(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
@@ -149,56 +241,45 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return curve
 
 
-def words_of_texts(texts: list[str]) -> list[np.ndarray]:
-    out = []
-    for piece in tokens.pieces(pa.array(texts, pa.string()), tokens.MARKS, lower=True):
-        out += [piece.hashes[a:b] for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
-    return out
-
-
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Both class models and the curve; out-of-fold ratios teach the curve."""
-    words, y = words_of_texts(texts), np.array(labels, dtype=np.float64)
+    """Both class models and the curve; out-of-fold features teach the curve."""
+    y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        none = np.zeros(0, np.uint64)
-        return Model(none, *[np.zeros((1, 2))] * 3, none, np.zeros((1, 2)), np.array([0.0, 0.0, y.mean() if len(y) else 0.5]))
+        none, two = np.zeros(0, np.uint64), np.zeros((1, 2))
+        return Model(none, two, two, two, two, none, two, np.array([*[0.0] * (2 + len(TOPS)), y.mean() if len(y) else 0.5]))
+    cut = lambda rows: tokens.pieces(pa.array([texts[i] for i in rows], pa.string()), tokens.MARKS, lower=True)
+    lessons = lessons_of(cut(range(len(texts))))
     fold = np.arange(len(y)) % FOLDS
-    ratios = np.zeros((len(y), 2))
+    out = np.zeros((len(y), 2 + len(TOPS)))
     for k in range(FOLDS):
         held, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         if len(held) and len(rest):
-            part = tables([words[i] for i in rest], y[rest] > 0)
-            ratios[held] = part.ratios(np.concatenate([words[i] for i in held]), np.concatenate([[0], np.cumsum([len(words[i]) for i in held])]))
-    model = tables(words, y > 0)
-    model.curve = fit_curve(ratios, y)
+            part = tables([lessons.texts[i] for i in rest], y[rest] > 0, lessons)
+            out[held] = np.concatenate([part.features(piece) for piece in cut(held)])
+    model = tables(lessons.texts, y > 0, lessons)
+    model.curve = fit_curve(out, y)
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int = MOST_TEXTS) -> Model:
     """The model of a bounded sample of labelled rows: half toxic and half ordinary, as far as there are."""
     graded = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("grade"))
-    texts, toxic, shares = labelled_texts(docs, graded.where(may_learn), most, MOST_CHARS)
-    model = fit(texts, toxic)
-    if len(model.words):
-        drawn = np.mean(toxic)
+    sample, shares = sampled(docs, graded.where(may_learn), most)
+    sample = pinned(sample)
+    model = fitted(sample, fit)
+    if len(model.nodes):
+        drawn = sample.agg(F.avg("grade")).first()[0]
         # The sample may hold more toxic rows than the labels do: the constant goes back to their share.
         model.curve[-1] += np.log(shares[1] / shares[0]) - np.log(drawn / (1 - drawn))
     elif shares:
         model.curve[-1] = shares.get(1, 0.0)
+    discard(sample)
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` columns in ``keep`` and the score of every row."""
-    return scored(docs, list(keep), text, [out], tokens.MARKS, True, PieceScore(model))
-
-
-@dataclass
-class PieceScore:
-    model: Model
-
-    def __call__(self, piece: tokens.Piece) -> np.ndarray:
-        return self.model.scores(piece.hashes, piece.first)
+    return scored(docs, list(keep), text, [out], tokens.MARKS, True, model)
 
 
 def held_out(doc_id: Column) -> Column:

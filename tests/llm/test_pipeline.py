@@ -1,13 +1,15 @@
 """The five stages on a small corpus, each against plain Python."""
 
 import random
+from fractions import Fraction
 
 import pytest
 from plain import split
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventlake.llm import jaccard_join, surrogates, toxicity
-from test_jaccard_join import brute as components
+from eventlake.llm import surrogates, toxicity
+from test_pipeline_copies import kept as one_of_each
 
 
 @pytest.fixture(scope="module")
@@ -44,8 +46,7 @@ def test_stages(spark, folder):
     ids = {row.doc_id for row in kept.collect()}
     assert kept.columns == columns and not {i for i in ids if i < 300 and i % 5 == 0} and len(ids) >= 240
     one_each = copies(spark, kept, folder).cache()
-    want = components([(row.doc_id, row.text) for row in kept.collect()])
-    assert {row.doc_id for row in one_each.collect()} == {i for i, (_, top) in want.items() if i == top} and one_each.columns == columns
+    assert {row.doc_id for row in one_each.collect()} == one_of_each([(row.doc_id, row.text) for row in kept.collect()]) and one_each.columns == columns
     fair = clean(spark, one_each, folder).cache()
     assert {row.doc_id for row in fair.collect()} == {row.doc_id for row in one_each.collect() if row.doc_id >= 300 or row.doc_id % 17 != 1}
     hidden = private(spark, fair, folder).cache()
@@ -61,4 +62,30 @@ def test_stages(spark, folder):
 
 def test_names_and_limits():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "PII", "mixing"]
-    assert (toxicity.REJECT, jaccard_join.THRESHOLD) == (0.3, 0.9) or jaccard_join.THRESHOLD == jaccard_join.Fraction(9, 10)
+    assert (toxicity.REJECT, corpus_pipeline.COPY_SHINGLE, corpus_pipeline.COPY_THRESHOLD) == (0.3, 5, Fraction(4, 5))
+
+
+CLASHES = ["_key", "_text", "_toxicity", "toxicity", "row_key", "_attempts", "attempts", "mark", "n_entities", "key", "score", "count", "component_id"]
+
+
+def test_clashing_columns_repeated_ids_and_long_texts(spark, folder, tmp_path):
+    """Columns pass all stages but the last with their values; ids that repeat and long texts do no harm."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = " ".join(f"u{i}" for i in range(20000))
+    more = spark.createDataFrame([(700, long, "en", "s1", 0), (700, "one two three", None, None, 0), (701, "one two three", "en", "s1", 0), (None, long, "en", None, None)], docs.schema)
+    docs = docs.unionByName(more).select("*", *[F.concat(F.lit(f"{name}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(name) for name in CLASHES])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns[5:] == CLASHES
+        for row in docs.collect():
+            assert [row[name] for name in CLASHES] == [f"{name}-{'none' if row.doc_id is None else row.doc_id}" for name in CLASHES]
+    ids = [row.doc_id for row in docs.collect()]
+    assert 700 in ids and 701 not in ids and None in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(ids)
+
+
+def test_empty_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0
