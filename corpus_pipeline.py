@@ -5,7 +5,8 @@ go, one document of each group of near copies stays, documents contaminated by t
 personal data is replaced by surrogates, and what is left is mixed to target weights. All stages but the
 last return the columns they were given.
 
-Rows without an id pass the copy stage, as links are between ids; a row that repeats another one's id shares its fate.
+Rows without an id pass the copy stage, as links are between ids; a row that repeats another one's id shares its fate. Columns
+beyond those of documents pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, jaccard_join, mixing, surrogates, toxicity
+from eventlake.llm.columns import unused
 from eventlake.llm.shipping import ship
-from eventlake.session import pinned
+from eventlake.session import discard, pinned
 
 COPY_SHINGLE, COPY_THRESHOLD = 5, Fraction(4, 5)
 
@@ -28,10 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All documents stay where nothing was learned: no usable label, or labels of one class only."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, ~toxicity.held_out(F.col("doc_id")))
-    if not len(model.words):
+    if not len(model.nodes):
         return docs
-    judged = toxicity.score(docs, model, tuple(docs.columns), out="_toxicity")
-    return judged.where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
+    out = unused(docs, "toxicity")
+    judged = toxicity.score(docs, model, tuple(docs.columns), out=out)
+    return judged.where(F.col(out) < toxicity.REJECT).drop(out)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +46,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
     judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    key = decontaminate.row_key(F.col("doc_id"), F.col("text"))
-    rejected = judged.where("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(rejected, "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "row_key")
+    rejected = judged.where("contaminated").select(F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, decontaminate.row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data."""
-    return surrogates.replace(docs)
+    return surrogates.replace(docs, surrogates.session_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = pinned(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
