@@ -699,6 +699,22 @@ define("run_rollup", """
 SELECT op_name, count(*) AS runs, count(*) FILTER (status = 'error') AS errors, sum(duration_ms) AS total_ms, max(duration_ms) AS longest_ms,
        any_value(p.quantile) AS p95_seconds FROM run JOIN run_p95 p USING (op_name) GROUP BY op_name""")
 
+define("subscribed_messages", """
+SELECT 'email_events_raw' AS topic, campaign_id AS key, event_id, 'corr-' || substr(md5(event_id), 1, 12) AS correlation_id FROM ev
+UNION ALL SELECT 'analytics_events_raw', user_id, event_id, 'corr-' || substr(md5(event_id), 1, 12) FROM ev""")
+define("hourly_index", "SELECT topic AS source_topic, count(*) AS rows, 0 AS repeated, 0 AS unhashed FROM raw GROUP BY topic")
+define("daily_job", """
+SELECT dataset, rows, run_id, TIMESTAMP '2024-02-01 02:00:00' AS recorded_at FROM (
+  SELECT * FROM (SELECT 'raw_third_party_records' AS dataset, count(DISTINCT record_id) AS rows FROM part_rec UNION ALL SELECT 'campaign_performance', count(*) FROM ca
+    UNION ALL SELECT 'product_engagement', count(*) FROM ea), (SELECT unnest(['run-1', 'run-2']) AS run_id)
+  UNION ALL SELECT 'third_party_snapshots', count(*), 'log' FROM part_rec)""")
+define("snapshot_arrays", "SELECT record_id, provider, account_id, collected_at, payload FROM part_rec")
+ORACLE["upsert_stored"] = ORACLE["upsert_keyed"]
+define("stored_children", """
+SELECT CASE WHEN environment = 'env1' THEN 'x=y%z' ELSE environment END AS environment, subscriber_id, segment_label, display_order
+FROM replaced WHERE environment <> 'env0'""", replaced="""
+SELECT seg.environment, seg.subscriber_id, seg.segment_label, seg.display_order FROM seg JOIN sub USING (environment, subscriber_id) WHERE NOT is_featured
+UNION ALL SELECT environment, subscriber_id, filter_label, 1 FROM fa JOIN sub USING (environment, subscriber_id) WHERE is_featured""")
 define("stream_parse", "SELECT * FROM parsed")
 define("stream_and_backfill", "SELECT * FROM parsed")
 define("stream_dual_sink", "SELECT 'landing' AS sink, payload FROM raw UNION ALL SELECT 'bronze', payload FROM raw")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake import fixed_values as fx
+from eventlake.functions.text import whole_number
 from eventlake.functions.formats import (
     day_label,
     exact_ratio,
@@ -375,9 +376,9 @@ def document_json(document: DataFrame) -> DataFrame:
 
 
 def serving_totals(campaign_performance: DataFrame) -> DataFrame:
-    """Analytics section over all serving rows; one row even without data."""
+    """Analytics section over all serving rows; one row even without data. A connector may give counts as text or with decimals."""
     totals = campaign_performance.agg(
-        *[F.coalesce(F.sum(f"{name}_events"), F.lit(0)).cast("long").alias(name) for name in ("open", "click", "delivered")]
+        *[F.coalesce(F.sum(whole_number(F.col(f"{name}_events"))), F.lit(0)).alias(name) for name in ("open", "click", "delivered")]
     )
     key, title, description, status = fx.OVERLAY_PIPELINE
     stage = _named(id=F.lit(key), title=F.lit(title), description=F.lit(description), status=F.lit(status))

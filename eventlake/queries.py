@@ -329,6 +329,72 @@ def event_publish_frame(f: Frames) -> DataFrame:
 # objects and snapshots
 
 
+@query
+def subscribed_messages(f: Frames) -> DataFrame:
+    """Publish frames as a broker hands them back, key and value as bytes: the correlation id comes through the headers."""
+    events = f.events.withColumns({
+        "event_type": F.col("event_name"), "session_id": F.lit(None).cast("string"), "correlation_id": F.concat(F.lit("corr-"), F.substring(F.md5("event_id"), 1, 12)),
+        "occurred_at": F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "payload": F.lit("{}"),
+    })
+    sent = streams.email_messages(events).unionByName(streams.analytics_messages(events))
+    held = sent.withColumns({
+        "key": F.encode("key", "utf-8"), "value": F.encode("value", "utf-8"), "timestamp": at(EVENTS_AS_OF), "partition": F.lit(0), "offset": F.lit(0).cast("long"),
+    })
+    return streams.message_columns(held).select("topic", "key", F.get_json_object("value", "$.event_id").alias("event_id"), "correlation_id")
+
+
+@query
+def hourly_index(f: Frames) -> DataFrame:
+    """Half of the messages landed and indexed, then the rest, then a run that finds nothing new: every line is reached through one entry."""
+    store = new_store(f, "hourly")
+    folder, half = f"{store.root}/bronze", F.pmod(F.xxhash64("value"), F.lit(2))
+    for run in range(3):
+        if run < 2:
+            ingest.write_bronze(f.raw_messages.where(half == run), run, folder)
+        jobs.sync_object_metadata(store, folder, CAPTURED_AT, f"run-{run}")
+    index = store.read("raw_object_index")
+    lines = bronze.rows_of_indexed_objects(bronze.bronze_rows(f.spark, folder), index).groupBy("source_topic").agg(F.count(F.lit(1)).alias("rows"))
+    entries = index.groupBy("source_topic").agg(
+        (F.count(F.lit(1)) - F.count_distinct("object_key")).alias("repeated"), F.count_if(F.col("etag").isNull()).alias("unhashed")
+    )
+    return lines.join(entries, "source_topic")
+
+
+RECORDS_A_FILE = 5000
+
+
+def write_arrays(f: Frames, folder: str) -> None:
+    """Partner records as files that each hold one JSON array."""
+    records = f.partner_records.withColumn("payload", F.parse_json("payload"))
+    files = records.count() // RECORDS_A_FILE + 1
+    item = F.to_json(F.struct(*records.columns))
+    arrays = records.groupBy(F.pmod(F.xxhash64("record_id", "collected_at"), F.lit(files)).alias("part")).agg(F.array_join(F.collect_list(item), ",\n").alias("items"))
+    arrays.select("part", F.concat(F.lit("["), "items", F.lit("]")).alias("value")).write.partitionBy("part").text(folder)
+
+
+@query
+def daily_job(f: Frames) -> DataFrame:
+    """The daily job twice over one snapshot of array files: the audit of both runs, and the length of the snapshot log."""
+    store = new_store(f, "daily-job")
+    for name in ("platform_campaign_analytics", "platform_engagement_analytics"):
+        store.replace(name, tables_of(f)[name])
+    folder = f"{store.root}/snapshots"
+    write_arrays(f, folder)
+    for run in ("run-1", "run-2"):
+        jobs.refresh_batch_and_serving(store, folder, CAPTURED_AT, run)
+    log = store.read("third_party_snapshots").groupBy().agg(F.count(F.lit(1)).alias("rows"))
+    logged = log.select(F.lit("third_party_snapshots").alias("dataset"), "rows", F.lit("log").alias("run_id"), at("2024-02-01 02:00:00").alias("recorded_at"))
+    return store.read("load_audit").unionByName(logged)
+
+
+@query
+def snapshot_arrays(f: Frames) -> DataFrame:
+    """Partner records landed as JSON arrays and read back through the splitter."""
+    folder = scratch_dir(f.spark, "arrays")
+    write_arrays(f, folder)
+    return models.stg_third_party_records(partner.raw_record_rows(partner.snapshot_records(f.spark, folder)))
+
+
 @query
 def object_index_new(f: Frames) -> DataFrame:
     fresh = bronze.sorted_listing(bronze.new_objects(f.object_listing, f.indexed_keys))
@@ -381,6 +447,36 @@ def upsert_keyed(f: Frames) -> DataFrame:
     )
 
 
+@query
+def upsert_stored(f: Frames) -> DataFrame:
+    """The same upsert through the store, twice, which changes nothing the second time."""
+    store, name = new_store(f, "upsert"), "platform_campaign_analytics"
+    store.replace(name, consolidate.consolidate_campaign(f.email_events.where("occurred_at < '2024-01-20'"), at("2024-01-20 00:00:00")))
+    counts = ["delivered_recipients", "open_recipients", "click_recipients", "bounce_recipients", "last_seen_at", "refreshed_at"]
+    for _ in range(2):
+        store.upsert(name, f.campaign_analytics.drop("first_seen_at"), counts)
+    return store.read(name)
+
+
+ODD_TENANTS = {"env0": "a:b/ c", "env1": "x=y%z"}  # names with characters that folder names cannot hold as they are
+
+
+@query
+def stored_children(f: Frames) -> DataFrame:
+    """Child rows replaced through the store, for tenants of odd names, and then one tenant emptied."""
+    store, name = new_store(f, "children"), "platform_subscriber_segment"
+    tenant = F.coalesce(*[F.when(F.col("environment") == known, odd) for known, odd in ODD_TENANTS.items()], "environment")
+    odd = lambda rows: rows.withColumn("environment", tenant)
+    touched = f.subscriber.where("is_featured").select("environment", "subscriber_id")
+    children = f.filter_assignment.join(touched, ["environment", "subscriber_id"], "left_semi").select(
+        "environment", "subscriber_id", F.col("filter_label").alias("segment_label"), F.lit(1).cast("long").alias("display_order")
+    )
+    store.replace(name, odd(f.subscriber_segment))
+    store.replace_children(name, odd(touched), odd(children), ["environment", "subscriber_id"])
+    store.reload_tenant(name, ODD_TENANTS["env0"], store.read(name).limit(0))
+    return plain(store.read(name))
+
+
 def launch_keys(f: Frames) -> DataFrame:
     launches = f.commands.where(commands.action_is(fx.LAUNCH_TEST_SEND))
     return launches.select("environment", commands.campaign_of_command().alias("campaign_id")).distinct()
