@@ -503,6 +503,70 @@ define("dashboard_bars", "SELECT * FROM bar", bar=bars(EVENTS_AT))
 define("last_sync", "SELECT * FROM synced")
 define("subscriber_assignments", "SELECT * FROM assigned", assigned=assigned("|"))
 define("bootstrap_sections", "SELECT * FROM sections", figures=figures(LABELS_AT), bar=bars(LABELS_AT), assigned=assigned(","))
+def packed(**fields: str) -> str:
+    return "struct_pack(" + ", ".join(f'"{name}" := {value}' for name, value in fields.items()) + ")"
+
+
+def listed(rows: str, **fields: str) -> str:
+    """Entries of one tenant's list in order; a tenant without entries has an empty list."""
+    return f"coalesce((SELECT list({packed(**fields)} ORDER BY r.display_order) FROM {rows} r WHERE r.environment = env.environment), [])"
+
+
+def split(text_list: str) -> str:
+    return f"CASE WHEN {text_list} = '' THEN [] ELSE string_split({text_list}, '|') END"
+
+
+def same(*names: str) -> dict[str, str]:
+    return {name: f"r.{name}" for name in names}
+
+
+DOCUMENT = {
+    "brand": packed(
+        name="brand_name", tagline="brand_tagline", heroTitle="hero_title", heroAccent="hero_accent", heroNote="hero_note",
+        lastSync=f"(SELECT 'Last analytics sync: ' || lower({relative('synced_at', LABELS_AT)}) FROM synced s WHERE s.environment = env.environment)", searchPlaceholder="search_placeholder",
+    ),
+    "session": packed(label="session_label", node="session_node", status="session_status"),
+    "dashboard": packed(
+        metrics=listed("metric_card", **same("id", "label", "value", "delta", "accent", "icon", "detail")),
+        performance=packed(title="'Campaign Performance'", modes="['Daily', 'Weekly']", activeMode="'Daily'", bars=listed("bar", **same("label", "value", "height", "emphasis"))),
+        activities=listed("act", id="r.activity_id", title="r.title", description="r.description", at=relative("r.occurred_at", LABELS_AT), tone="r.tone"),
+        segments=listed("grow", id="r.segment_id", label="r.label", value=tenths("(r.hundredths + 5) // 10") + " || '%'"),
+        securityCard=packed(title="security_title", status="security_status", description="security_description"),
+        billingCard=packed(eyebrow="billing_eyebrow", title="billing_title", date="billing_date", action="billing_action"),
+    ),
+    "campaigns": packed(
+        headline="campaigns_headline", description="campaigns_description", stats=listed("summary_card", **same("id", "label", "value", "detail", "tone", "progress")),
+        items=listed(
+            "card", id="r.campaign_id", title="r.title", summary="r.summary", status="r.status", audience=grouped("r.audience_count"), audienceLabel="r.audience_label",
+            openRate="r.open_rate", clickRate="r.click_rate", actionLabel="r.action_label", tone="r.tone",
+        ),
+    ),
+    "subscribers": packed(
+        headline="subscribers_headline", description="subscribers_description",
+        filters="coalesce((SELECT list(r.filter_label ORDER BY r.display_order) FROM fil r WHERE r.environment = env.environment), [])",
+        networkSize=grouped("(SELECT nullif(count(*), 0) FROM sub s WHERE s.environment = env.environment)"),
+        items=listed(
+            "featured", id="r.subscriber_id", name="r.name", email="r.email", securityStatus="r.security_status", assignedSegments=split("r.assigned_segments"),
+            filterTags=split("r.filter_tags"), lastInteraction=relative("r.last_interaction_at", LABELS_AT), tone="r.tone",
+        ),
+    ),
+    "analytics": packed(
+        headline="analytics_headline", description="analytics_description", pipelines=listed("pipe", id="r.pipeline_id", title="r.title", description="r.description", status="r.status"),
+        signals=listed(
+            "sig", id="r.signal_id", title="r.title", description="r.description", action="r.action", eventKind="r.event_kind", subjectType="r.subject_type", subjectId="r.subject_id",
+        ),
+    ),
+}
+define(
+    "platform_document",
+    "SELECT environment, " + ", ".join(f"CAST(to_json({value}) AS VARCHAR) AS {name}" for name, value in DOCUMENT.items()) + " FROM env WHERE environment IN ('env1', 'env2')",
+    figures=figures(LABELS_AT), bar=bars(LABELS_AT), assigned=assigned("|"),
+    featured="SELECT * FROM sub JOIN assigned USING (environment, subscriber_id) WHERE is_featured",
+    card=f"""SELECT environment, display_order, campaign_id, title, summary, status, audience_count, audience_label, action_label, tone,
+         CASE WHEN status = 'Sent' THEN coalesce({tenths('open_t')} || '%', '--') ELSE '--' END AS open_rate,
+         CASE WHEN status = 'Sent' THEN coalesce({tenths('click_t')} || '%', '--') ELSE '--' END AS click_rate
+  FROM camp LEFT JOIN livet USING (environment, campaign_id)""",
+)
 define("serving_totals", "SELECT 'Real-time Analytics' AS headline, description FROM serving_text")
 define("bootstrap_overlay", f"""
 SELECT environment, page, brand_name, 'Last analytics sync: ' || lower({relative('synced_at', LABELS_AT)}) AS sync_label,

@@ -172,6 +172,14 @@ def bootstrap_sections(f: Frames) -> DataFrame:
     return result
 
 
+@query
+def platform_document(f: Frames) -> DataFrame:
+    """The whole document of two named tenants, its six sections as the JSON texts that are served; NULL fields stay."""
+    tables = stored_tables(f)
+    first, second = (views.document_json(views.platform_bootstrap(tables, at(LABELS_AS_OF), environment=name)) for name in ("env1", "env2"))
+    return first.unionByName(second).drop("page")
+
+
 @query
 def serving_totals(f: Frames) -> DataFrame:
     mart = models.mart_campaign_performance(f.campaign_analytics)
