@@ -732,6 +732,15 @@ SELECT 'local' AS environment, 'seed-member-' || {PADDED} AS subscriber_id, 'Por
        {LABELS_AT} - to_hours(6 + n % 480) AS last_interaction_at, CASE WHEN n % 31 = 0 THEN 'tertiary' ELSE 'primary' END AS tone,
        false AS is_featured, 1000 + n AS display_order
 FROM (SELECT c_custkey + 1 AS n FROM customer)""")
+FEATURED = ", ".join(
+    f"('local', {text(p[0])}, {text(p[1])}, {text(p[2])}, {text(p[3])}, {text(p[6])}, true, {n})" for n, p in enumerate(seed.sv.FEATURED_SUBSCRIBERS, start=1)
+)
+define("seed_load", f"""
+SELECT environment, subscriber_id, name, email, security_status, tone, is_featured, display_order FROM sub
+UNION ALL SELECT 'local', 'seed-member-' || {PADDED}, 'Portfolio Member ' || n, 'member' || {PADDED} || '{fx.SEED_EMAIL_DOMAIN}',
+  CASE WHEN n % 31 = 0 THEN 'Review' ELSE 'Encrypted' END, CASE WHEN n % 31 = 0 THEN 'tertiary' ELSE 'primary' END, false, 1000 + n
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS n)
+UNION ALL SELECT * FROM (VALUES {FEATURED})""")
 define("seed_export", "\nUNION ALL ".join(export_section(n, spec) for n, spec in enumerate(APP_TABLES, start=1)))
 define("format_functions", f"""
 SELECT o_orderkey, {grouped('scaled')} AS grouped, {compact('scaled')} AS compact, {tenths(half_up('amount*1000', '500000'))} || '%' AS percent,

@@ -33,9 +33,6 @@ def seed_tables(spark: SparkSession, as_of: datetime, members: int = fx.SEED_MEM
     def counted(rows: Iterable[tuple]) -> list[tuple]:
         return [(*row, position) for position, row in enumerate(rows, start=1)]
 
-    def words(key: str) -> str:
-        return key.replace("-", " ").title()
-
     midnight = datetime(as_of.year, as_of.month, as_of.day)
     days = len(sv.DAILY_EVENTS)
     people = sv.FEATURED_SUBSCRIBERS
@@ -44,29 +41,22 @@ def seed_tables(spark: SparkSession, as_of: datetime, members: int = fx.SEED_MEM
         [(p[0], p[1], p[2], p[3], ago(p[4] * 1440), ago(p[5]), p[6], True, n) for n, p in enumerate(people, start=1)],
     )
     return {
-        "platform_environment": frame("platform_environment", [(*[words(text.replace("_", "-")) for text in ENVIRONMENT_TEXTS], as_of)]),
+        "platform_environment": frame("platform_environment", [(*[sv.ENVIRONMENT[text] for text in ENVIRONMENT_TEXTS], as_of)]),
         "platform_filter": frame("platform_filter", counted((label,) for label in sv.FILTERS)),
         "platform_dashboard_activity": frame(
-            "platform_dashboard_activity", counted((key, words(key), words(key), ago(age), tone) for key, age, tone in sv.ACTIVITIES)
+            "platform_dashboard_activity", counted((*texts, ago(age), tone) for *texts, age, tone in sv.ACTIVITIES)
         ),
         "platform_growth_segment": frame(
             "platform_growth_segment", counted((key, label, Decimal(share)) for key, label, share in sv.GROWTH_SEGMENTS)
         ),
-        "platform_campaign": frame(
-            "platform_campaign",
-            counted((key, words(key), words(key), status, *rest) for key, status, *rest in sv.CAMPAIGNS),
-        ),
+        "platform_campaign": frame("platform_campaign", counted(sv.CAMPAIGNS)),
         "platform_subscriber": featured.unionByName(generated_subscribers(numbers(spark, members), at(as_of))),
         "platform_subscriber_segment": frame(
             "platform_subscriber_segment", [(p[0], label, n) for p in people for n, label in enumerate(p[7], start=1)]
         ),
         "platform_filter_assignment": frame("platform_filter_assignment", [(p[0], tag) for p in people for tag in p[8]]),
-        "platform_analytics_pipeline": frame(
-            "platform_analytics_pipeline", counted((key, words(key), words(key), status) for key, status in sv.PIPELINES)
-        ),
-        "platform_analytics_signal": frame(
-            "platform_analytics_signal", counted((key, words(key), words(key), *rest) for key, *rest in sv.SIGNALS)
-        ),
+        "platform_analytics_pipeline": frame("platform_analytics_pipeline", counted(sv.PIPELINES)),
+        "platform_analytics_signal": frame("platform_analytics_signal", counted(sv.SIGNALS)),
         "platform_campaign_analytics": frame(
             "platform_campaign_analytics", [(*row[:5], *map(ago, row[5:])) for row in sv.CAMPAIGN_ANALYTICS]
         ),

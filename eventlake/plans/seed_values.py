@@ -1,14 +1,39 @@
-"""Fixed values of the demo tenant: ids, states, counts and ages. Titles and texts are placeholders."""
+"""Fixed values of the demo tenant: ids, texts, states, counts and ages. Its brand name and tagline are placeholders."""
 
 TENANT = "local"
 
-# id, status, audience, audience label, action label, tone
+ENVIRONMENT = {
+    "brand_name": "Brand Name",
+    "brand_tagline": "Brand Tagline",
+    "hero_title": "Your communication",
+    "hero_accent": "Intelligence Hub.",
+    "hero_note": "All systems secure",
+    "search_placeholder": "Search secure archives...",
+    "session_label": "Active Session",
+    "session_node": "Encrypted Node: 04X-88",
+    "session_status": "online",
+    "campaigns_headline": "Campaigns",
+    "campaigns_description": "Orchestrate your high-fidelity communications with fortified precision and editorial grace.",
+    "subscribers_headline": "Subscribers",
+    "subscribers_description": "Orchestrate your network with absolute privacy and editorial precision.",
+    "analytics_headline": "Interaction Telemetry",
+    "analytics_description": "Live appdb aggregates now drive the dashboard, campaign rates, and bootstrap payload while the platform reference content remains relational and seedable.",
+    "security_title": "DMARC Status",
+    "security_status": "Verified",
+    "security_description": "Your sending domain remains fully authenticated and protected against spoofing.",
+    "billing_eyebrow": "Pro Plan Active",
+    "billing_title": "Next Billing",
+    "billing_date": "May 24, 2026",
+    "billing_action": "Manage Subscription",
+}
+
+# id, title, summary, status, audience, audience label, action label, tone
 CAMPAIGNS = (
-    ("spring-capital-briefing", "Sent", 46800, "High Value circle", "Inspect performance", "primary"),
-    ("monthly-security-digest", "Scheduled", 17240, "Newly verified readers", "Preview draft", "muted"),
-    ("product-unveiling-zenith", "Draft", 28400, "Board list and strategic partners", "Launch test send", "tertiary"),
-    ("quarterly-insight-report", "Sent", 118000, "Global partners", "Export report", "primary"),
-    ("member-reengagement-arc", "Sent", 9860, "Inactive subscribers", "Inspect audience", "muted"),
+    ("spring-capital-briefing", "Spring Capital Briefing", "Sent Apr 08, 2026", "Sent", 46800, "High Value circle", "Inspect performance", "primary"),
+    ("monthly-security-digest", "Monthly Security Digest", "Scheduled for Apr 15, 2026", "Scheduled", 17240, "Newly verified readers", "Preview draft", "muted"),
+    ("product-unveiling-zenith", "Product Unveiling: Zenith", "Last edited 2 hours ago", "Draft", 28400, "Board list and strategic partners", "Launch test send", "tertiary"),
+    ("quarterly-insight-report", "Quarterly Insight Report", "Sent Mar 21, 2026", "Sent", 118000, "Global partners", "Export report", "primary"),
+    ("member-reengagement-arc", "Member Re-engagement Arc", "Queued for segment backfill", "Sent", 9860, "Inactive subscribers", "Inspect audience", "muted"),
 )
 
 # campaign id, delivered, opened, clicked, bounced, first seen, last seen and refreshed as ages in minutes
@@ -51,20 +76,24 @@ FEATURED_SUBSCRIBERS = (
     ("lila-somerset", "Lila Somerset", "lila@somerset.foundation", "Dormant", 220, 30240, "muted", ("Legacy Circle",), ("Inactive",)),
 )
 
-# activity id, age in minutes, tone
+# activity id, title, description, age in minutes, tone
 ACTIVITIES = (
-    ("executive-brief-sent", 18, "primary"),
-    ("segment-refresh", 120, "success"),
-    ("privacy-review", 300, "muted"),
-    ("launch-draft", 1440, "primary"),
+    ("executive-brief-sent", "Executive Briefing dispatched", "Seeded audience cohorts are now mirrored into appdb-backed platform views.", 18, "primary"),
+    ("segment-refresh", "High Value cohort refreshed", "Segment tags are normalized in SQL and displayed through the subscriber filters.", 120, "success"),
+    ("privacy-review", "Privacy review cleared", "The seed model is no longer compiled into the binary and can be recreated from SQL.", 300, "muted"),
+    ("launch-draft", "Zenith launch draft edited", "Campaign performance cards now read live delivery, open, and click rates from appdb.", 1440, "primary"),
 )
 
-# pipeline id, status
-PIPELINES = (("ui", "Live"), ("seed", "Seeded"), ("gateway", "Connected"))
+# pipeline id, title, description, status
+PIPELINES = (
+    ("ui", "Svelte Interaction", "Buttons, filters, row actions, and navigation emit typed commands through the embedded Go API.", "Live"),
+    ("seed", "Normalized SQL Seed", "Reference content is stored in relational appdb tables while the bootstrap payload is assembled by SQL views.", "Seeded"),
+    ("gateway", "Event Gateway", "The backend proxies operator intent to analytics and campaign events while Redpanda remains the only operational event ingress.", "Connected"),
+)
 
-# signal id, action, event kind, subject type, subject id
+# signal id, title, description, action, event kind, subject type, subject id
 SIGNALS = (
-    ("nav-analytics", "open-analytics-view", "analytics", "navigation", "analytics"),
-    ("create-brief", "create-brief", "both", "campaign", "new-brief"),
-    ("launch-test-send", "launch-test-send", "both", "campaign", "product-unveiling-zenith"),
+    ("nav-analytics", "Open analytics view", "Publishes an analytics event for navigation focus.", "open-analytics-view", "analytics", "navigation", "analytics"),
+    ("create-brief", "Create new brief", "Creates an appdb-backed campaign row and emits analytics and campaign events to Redpanda.", "create-brief", "both", "campaign", "new-brief"),
+    ("launch-test-send", "Launch a test send", "Updates the selected campaign while the emitted operational events stay in Redpanda topics.", "launch-test-send", "both", "campaign", "product-unveiling-zenith"),
 )

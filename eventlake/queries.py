@@ -22,7 +22,7 @@ from eventlake.operators import lookups, merge, metrics, ordering
 from eventlake.operators.requests import status_transitions
 from eventlake.plans import audit, commands, consolidate, jobs, models, parse, seed, views
 from eventlake.session import configure, pinned, scratch_dir
-from eventlake.schemas import TABLES
+from eventlake.schemas import APP_TABLES, TABLES
 from eventlake.sources import bronze, partner, streams
 from eventlake.sources.adapters import (
     EVENTS_AS_OF,
@@ -659,6 +659,18 @@ def seed_subscribers(f: Frames) -> DataFrame:
     return plain(seed.generated_subscribers(sequence, at(LABELS_AS_OF)))
 
 
+@query
+def seed_load(f: Frames) -> DataFrame:
+    """The seed job twice over a store that holds other tenants: the demo tenant once, with as many members as there are customers."""
+    store = new_store(f, "seed")
+    jobs.bootstrap_tables(store, (spec.name for spec in APP_TABLES))
+    store.replace("platform_subscriber", f.subscriber)
+    for _ in range(2):
+        jobs.load_seed(store, datetime.fromisoformat(LABELS_AS_OF), members=f.table("customer").count())
+    kept = ("environment", "subscriber_id", "name", "email", "security_status", "tone", "is_featured", "display_order")
+    return store.read("platform_subscriber").select(*kept)
+
+
 @query
 def seed_export(f: Frames) -> DataFrame:
     return plain(seed.seed_export(tables_of(f)))

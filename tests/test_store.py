@@ -267,6 +267,14 @@ def test_object_index_twice(spark, store, tmp_path):
     ]
 
 
+def test_seed_texts(spark):
+    tables = seed_tables(spark, NOW, members=1)
+    campaigns = {row["campaign_id"]: (row["title"], row["summary"]) for row in tables["platform_campaign"].collect()}
+    assert campaigns["product-unveiling-zenith"] == ("Product Unveiling: Zenith", "Last edited 2 hours ago")
+    assert tables["platform_environment"].first()["billing_date"] == "May 24, 2026"
+    assert [row["title"] for row in tables["platform_analytics_signal"].collect()] == ["Open analytics view", "Create new brief", "Launch a test send"]
+
+
 def test_apply_commands_to_the_store(spark, store):
     seeded = seed_tables(spark, NOW, members=20)
     for name in ("campaign", "campaign_analytics", "subscriber", "subscriber_segment", "filter_assignment", "filter"):
