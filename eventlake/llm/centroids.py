@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.shipping import ship
 from eventlake.session import discard, pinned
 
 K = 40
@@ -193,6 +194,7 @@ def cluster(
 ) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every kept vector."""
     spark = vectors.sparkSession
+    ship(spark)
     state = pinned(whole_vectors(vectors, dimension, scale, vec_id, embedding))
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     starts = state.orderBy(drawn, "v").limit(k).collect()  # k rows

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.shipping import ship
+
 PIECE_CHARS = 1 << 20
 ANSWERS = "assistant"
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -184,6 +186,7 @@ def format_chats(
     ``content`` is an array of ``PART``; without it, column ``text`` is one text part. ``spans`` is the loss mask and ``place`` the
     offset of a placeholder, in code points of the piece. Pieces of a conversation follow each other in one partition.
     """
+    ship(turns.sparkSession)
     flat = flattened(turns, conv_id, turn, role, text_part(F.col(text)) if content is None else content, tokenizer)
     ordered = flat.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("segment")).drop("turn")
 

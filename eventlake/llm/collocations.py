@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
 from eventlake.llm.columns import UPPER
+from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
 MOST_WORDS = 4
@@ -439,6 +440,7 @@ def exact_score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of every language."""
+    ship(docs.sparkSession)
     grams = pinned(frequent_phrases(docs, least, text, lang))
     words = F.split("phrase", " ")
     part = lambda first, length: F.array_join(F.slice(words, first, length), " ")

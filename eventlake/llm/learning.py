@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
+from eventlake.llm.shipping import ship
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
@@ -41,6 +42,7 @@ def sampled(docs: DataFrame, graded: DataFrame, most: int) -> tuple[DataFrame, d
 
 def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> Any:
     """The model that ``fit`` makes of a bounded sample, made in one task, so that the driver holds the model alone."""
+    ship(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, grades = [], []
@@ -57,6 +59,7 @@ def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], Any]) -> Any
 
 def scored(docs: DataFrame, keep: list[str], text: str, out: list[str], breaks: np.ndarray, lower: bool, score: Callable[[tokens.Piece], np.ndarray]) -> DataFrame:
     """Columns ``keep`` of every row with the numbers ``out`` that ``score`` gives for its whole text; one pass, no shuffle."""
+    ship(docs.sparkSession)
     given = docs.select(*[F.col(name) for name in keep], F.col(text))  # by place: a name may come twice
     schema = docs.select(*keep, *[F.lit(0.0).alias(name) for name in out]).schema
     known = docs.sparkSession.sparkContext.broadcast(score)  # bounded by the sample the model was fitted on

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlake.llm import (
     centroids, chat_format, collocations, decontaminate, jaccard_join, language_model, mixing, quality, spotsigs, substring_dedup, surrogates,
     toxicity, url_rules,
 )
-from eventlake.llm.shipping import ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,30 +66,20 @@ def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(chat_format.with_hostile(table(spark, folder, "conversations"))))
 
 
-def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, with the package sent to executors that lack it."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        ship(spark)
-        return query(spark, folder)
-
-    return run
-
-
 QUERIES = {
-    "op1_substring_dedup": shipped(op1_substring_dedup),
-    "op2_language_model": shipped(op2_language_model),
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_model": op2_language_model,
     "op3_url_rules": op3_url_rules,
-    "op4_jaccard_join": shipped(op4_jaccard_join),
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
-    "op6_surrogates": shipped(op6_surrogates),
-    "op7_toxicity": shipped(op7_toxicity),
+    "op6_surrogates": op6_surrogates,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
-    "op9_quality": shipped(op9_quality),
+    "op9_quality": op9_quality,
     "op10_spotsigs": op10_spotsigs,
-    "op11_collocations": shipped(op11_collocations),
-    "op12_centroids": shipped(op12_centroids),
-    "op13_chat_format": shipped(op13_chat_format),
+    "op11_collocations": op11_collocations,
+    "op12_centroids": op12_centroids,
+    "op13_chat_format": op13_chat_format,
 }
 ORACLE = {
     "op1_substring_dedup": substring_dedup.SQL,

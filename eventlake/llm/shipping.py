@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -14,12 +13,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, unless their Python path has it (as the driver's environment tells)."""
-    root = Path(__file__).resolve().parents[2]
-    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    """Send the package to the executors of a cluster, once per application; executors of a local session are the driver itself."""
     context = spark.sparkContext
-    if context.applicationId in _shipped or any(Path(entry).resolve() == root for entry in seen if entry):
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if local or context.applicationId in _shipped:
         return
+    root = Path(__file__).resolve().parents[2]
     folder = tempfile.mkdtemp(prefix="eventlake-package-")  # on the driver, which serves it to executors while it runs
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.addPyFile(shutil.make_archive(str(Path(folder) / "eventlake"), "zip", root, "eventlake"))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
+from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
 WINDOW = 20
@@ -224,6 +225,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ``removed_spans`` holds first and last-but-one word numbers of what is removed, in order.
     """
+    ship(docs.sparkSession)
     id_ = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST_ID))
     mark = F.xxhash64(text)
     given = docs.select(F.floor(id_ / BLOCK_IDS).cast("long").alias("block"), id_.alias("id"), mark.alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.llm.columns import unused
+from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
 KEY_SETTING = "spark.eventlake.surrogates.key"
@@ -337,6 +338,7 @@ def session_key(spark: SparkSession) -> bytes:
 
 def replace(docs: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity replaced; ``count`` names a column for the number of entities, in place of one of that name."""
+    ship(docs.sparkSession)
     known = pinned(corpus_entities(docs, key, text))
     changed = pinned(redrawn(known, key))
     n = changed.count()
