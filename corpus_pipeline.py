@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from eventlake.llm import decontaminate, jaccard_join, mixing, surrogates, toxicity
 from eventlake.llm.columns import unused
-from eventlake.llm.shipping import ship
 from eventlake.session import discard, pinned
 
 COPY_SHINGLE, COPY_THRESHOLD = 5, Fraction(4, 5)
@@ -75,7 +74,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = []
     for _, stage in STAGES[:-1]:
