@@ -775,7 +775,7 @@ SELECT op_name, count(*) AS runs, count(*) FILTER (status = 'error') AS errors,
 define("subscribed_messages", """
 SELECT 'email_events_raw' AS topic, campaign_id AS key, event_id, 'corr-' || substr(md5(event_id), 1, 12) AS correlation_id FROM ev
 UNION ALL SELECT 'analytics_events_raw', user_id, event_id, 'corr-' || substr(md5(event_id), 1, 12) FROM ev""")
-define("hourly_index", "SELECT topic AS source_topic, count(*) AS rows, 0 AS repeated, 0 AS unhashed FROM raw GROUP BY topic")
+define("hourly_index", "SELECT topic AS source_topic, count(*) AS rows, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unhashed FROM raw GROUP BY topic")
 define("daily_job", """
 SELECT dataset, rows, run_id, TIMESTAMP '2024-02-01 02:00:00' AS recorded_at FROM (
   SELECT * FROM (SELECT 'raw_third_party_records' AS dataset, count(DISTINCT record_id) AS rows FROM part_rec UNION ALL SELECT 'campaign_performance', count(*) FROM ca

@@ -763,6 +763,7 @@ def event_stream(f: Frames) -> DataFrame:
 
 
 BATCHES = 5
+STATE_PARTITIONS = 8  # state partitions of these streams
 
 
 def event_batches(f: Frames, folder: str, repeated: bool = True) -> DataFrame:
@@ -839,9 +840,9 @@ def stream_dedup(f: Frames) -> DataFrame:
     """Every event sent twice, in one file and in the next, kept once; the last batch is replayed."""
     out = scratch_dir(f.spark, "stream-dedup")
     sent = event_batches(f, f"{out}/in").select("event_id", "event_name", "occurred_at")
-    finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint"))
+    finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint", partitions=STATE_PARTITIONS))
     forget_last_commit(f.spark, f"{out}/checkpoint")
-    finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint"))
+    finished(ingest.first_arrivals(sent, f"{out}/events", f"{out}/checkpoint", partitions=STATE_PARTITIONS))
     return f.spark.read.parquet(f"{out}/events").drop("batch")
 
 
@@ -851,7 +852,7 @@ def stream_daily(f: Frames) -> DataFrame:
     store = new_store(f, "stream-daily")
     sent = event_batches(f, f"{store.root}/in", repeated=False)
     for _ in range(2):
-        finished(stateful.maintain_daily(sent, store, at(EVENTS_AS_OF), f"{store.root}/checkpoint"))
+        finished(stateful.maintain_daily(sent, store, at(EVENTS_AS_OF), f"{store.root}/checkpoint", partitions=STATE_PARTITIONS))
         forget_last_commit(f.spark, f"{store.root}/checkpoint")
     return plain(store.read("platform_daily_performance"))
 
@@ -862,7 +863,7 @@ def stream_transitions(f: Frames) -> DataFrame:
     out = scratch_dir(f.spark, "stream-transitions")
     log = request_log_columns(events_in_order(f, f"{out}/in"))
     for _ in range(2):
-        finished(stateful.follow_transitions(log, f"{out}/rows", f"{out}/checkpoint"))
+        finished(stateful.follow_transitions(log, f"{out}/rows", f"{out}/checkpoint", partitions=STATE_PARTITIONS))
         forget_last_commit(f.spark, f"{out}/checkpoint")
     return plain(f.spark.read.parquet(f"{out}/rows").drop("batch"))
 

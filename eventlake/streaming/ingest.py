@@ -66,7 +66,7 @@ def events_view(
     return _drain(messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 
-def first_arrivals(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", once: bool = True) -> StreamingQuery:
+def first_arrivals(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", once: bool = True, partitions: int | None = None) -> StreamingQuery:
     """First arrival of every id, however late it comes; repeats are dropped against all ids that came before.
 
     The ids are keyed state without expiry: a batch looks up its own ids and adds the new ones, and reads nothing that
@@ -81,7 +81,7 @@ def first_arrivals(events: DataFrame, path: str, checkpoint: str, key: str = "ev
 
     named = events.where(F.col(key).isNotNull()).dropDuplicates([key])
     kept = named.unionByName(events.where(F.col(key).isNull()))
-    with keyed_state(events.sparkSession):
+    with keyed_state(events.sparkSession, partitions):
         return _drain(kept.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), once)
 
 

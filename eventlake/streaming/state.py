@@ -17,10 +17,14 @@ ROCKSDB = {
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB: on executors' disks, its changes below the checkpoint."""
-    before = {name: spark.conf.get(name, None) for name in ROCKSDB}
-    for name, value in ROCKSDB.items():
+def keyed_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: on executors' disks, its changes below the checkpoint.
+
+    A stream keeps the number of state partitions it was first started with; ``partitions`` names it, else the session does.
+    """
+    wanted = ROCKSDB | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
         yield

@@ -23,7 +23,9 @@ def daily_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def maintain_daily(events: DataFrame, store: TableStore, refreshed_at: Column, checkpoint: str, once: bool = True) -> StreamingQuery:
+def maintain_daily(
+    events: DataFrame, store: TableStore, refreshed_at: Column, checkpoint: str, once: bool = True, partitions: int | None = None
+) -> StreamingQuery:
     """Keep the daily table up with the stream. The counts are keyed state; a batch gives the whole counts of the
     tenants and days it touched, and rewrites the files of these days alone. A replay changes nothing."""
     store.ensure("platform_daily_performance")
@@ -31,12 +33,14 @@ def maintain_daily(events: DataFrame, store: TableStore, refreshed_at: Column, c
     def write(batch: DataFrame, _: int) -> None:
         store.upsert("platform_daily_performance", batch.withColumn("refreshed_at", refreshed_at), ["event_count", "refreshed_at"])
 
-    with keyed_state(events.sparkSession):
+    with keyed_state(events.sparkSession, partitions):
         writer = daily_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
         return _drain(writer, once)
 
 
-def follow_transitions(log: DataFrame, out: str, checkpoint: str, keep_seconds: int | None = None, once: bool = True) -> StreamingQuery:
+def follow_transitions(
+    log: DataFrame, out: str, checkpoint: str, keep_seconds: int | None = None, once: bool = True, partitions: int | None = None
+) -> StreamingQuery:
     """Status transitions of a request-log stream, each batch in a partition of its own.
 
     The status a route was left with is keyed state: a batch reads and writes the routes it brings, and no others; a replay starts
@@ -52,7 +56,7 @@ def follow_transitions(log: DataFrame, out: str, checkpoint: str, keep_seconds:
     schema = StructType([*log.schema.fields, StructField("previous_status", IntegerType())])
     expire = keep_seconds is not None and not once  # the timers of expiry would keep a bounded run from ending
     processor = LastStatus(log.columns, ORDER, SERVER_ERROR, keep_seconds, expire)
-    with keyed_state(log.sparkSession):
+    with keyed_state(log.sparkSession, partitions):
         rows = log.where(F.col("status").isNotNull()).groupBy(*ROUTE).transformWithStateInPandas(
             processor, outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if expire else "None"
         )
