@@ -17,8 +17,8 @@ differing shingle. Only pairs that pass the bound meet in an exact intersection
 Equal sets stand for one. A family beyond ``TILE`` sets is spread over tiles, each with its share of the family and
 about ``PIVOTS`` common pivots, which connects most of it in work linear in its size. What is then still in several
 components is settled by keys: linked sets share one, so only sets of different components that share a key are paired, as
-(size, bitmap) in tiles of a key; texts are fetched for the pairs that pass the bounds, first the best
-pair of a set and a component, then whatever is still open.
+(size, bitmap): first every set with the first and the last one of its keys, then, in tiles of a key, those outside the
+key's largest component with all of it. Texts are fetched for the pairs that pass the bounds.
 
 Cases: texts without words (null, empty) have an empty set and link with nothing; fewer words than a
 shingle are one shingle. Rows without an id link with nothing and have no component; rows of one
@@ -33,11 +33,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
 from eventlake.llm.graph import components
+from eventlake.llm.shipping import ship
 from eventlake.session import pinned
 
 SHINGLE = 3
@@ -46,7 +47,7 @@ TILE = 128
 PIVOTS = 16
 CELL_ROWS = 2000
 BITS = 1024
-FLUSH_KEYS = 1 << 22
+FLUSH_KEYS = 1 << 20
 ARROW_ROWS = 1 << 16
 
 
@@ -217,14 +218,16 @@ def compare(k: int, threshold: Fraction):
 
 def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    ship(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     brief = pinned(given.mapInArrow(sizes(k), SIZES))
     classes = pinned(brief.where("doc_id is not null and n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep")))
 
     # Families of sets that meet in a key; a key has at most one row per task. Rows of a document travel side by side, so they compress.
     rows = given.mapInArrow(meetings(k, threshold), MEETINGS).repartition("place", "met")
-    together = rows.groupBy("place", "met").agg(F.min("doc_id").alias("first"), F.collect_list("doc_id").alias("others")).where(F.col("met") | (F.size("others") > 1))
-    met = together.select(F.when(F.col("met"), F.col("place")).otherwise(F.col("first")).alias("a"), F.explode("others").alias("b"))
+    first = F.first("doc_id").over(Window.partitionBy("place", "met").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("first", first).where(F.col("met") | (F.col("doc_id") != F.col("first")))
+    met = met.select(F.when(F.col("met"), F.col("place")).otherwise(F.col("first")).alias("a"), F.col("doc_id").alias("b"))
     families = components(met)
     sets = families.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
     family_sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -271,24 +274,23 @@ def marks(k: int, threshold: Fraction):
 
 
 def bounded_pairs(threshold: Fraction):
-    """Pairs of one cell that share a key, lie in different components, and pass the size and bit-count bounds."""
+    """Pairs of one cell that share a key, lie in different components, and pass the size and bit-count bounds.
+
+    Rows of the left side meet all rows of the right side under their key."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, component, n, tile = [table.column(name).to_numpy() for name in ("key", "doc_id", "component", "n", "tile")]
-        row, column = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, node, component, n, left = [table.column(name).to_numpy() for name in ("key", "doc_id", "component", "n", "left_side")]
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
-        order = np.lexsort((n, key))
+        order = np.lexsort((left, key))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
         found = {}
         for begin, behind in zip(cuts[:-1], cuts[1:], strict=True):
             members = order[begin:behind]
-            for place, one in enumerate(members[:-1]):
-                others = members[place + 1 :]
-                fits = (component[others] != component[one]) & (n[others] * num <= n[one] * den)
-                if row != column:
-                    fits &= tile[others] != tile[one]
-                others = others[fits]
+            lefts, rights = members[left[members]], members[~left[members]]
+            for one in lefts:
+                fits = (component[rights] != component[one]) & (np.maximum(n[rights], n[one]) * num <= np.minimum(n[rights], n[one]) * den)
+                others = rights[fits]
                 total = n[others] + n[one]
                 overlap = (total - np.bitwise_count(bits[others] ^ bits[one]).sum(axis=1).astype(np.int64)) // 2  # no more than this can be shared
                 passed = den * overlap >= num * (total - overlap)
@@ -319,8 +321,26 @@ def verified(k: int, threshold: Fraction):
     return run
 
 
+def passing(threshold: Fraction):
+    """Whether pairs (a, b, sizes and bitmaps of both) pass the size and bit-count bounds."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(len(one), -1) for i in (4, 5)]
+            overlap = np.minimum((one + two - np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1).astype(np.int64)) // 2, np.minimum(one, two))
+            passed = pa.array(den * overlap >= num * (one + two - overlap))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(passed), batch.column(1).filter(passed)], names=["a", "b"])
+
+    return run
+
+
 def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Components once every pair of sets that shares a key and may link has been compared or connected."""
+    """Components once every pair of sets that shares a key and may link has been compared or connected.
+
+    First every set meets the first and the last set of each of its keys, which is linear and connects most; then
+    what shares a key and still lies in different components."""
     large = texts.where(F.col("size") > TILE).select("doc_id", "family").distinct()
     placed = large.join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
@@ -328,36 +348,68 @@ def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction)
     if labels.isEmpty():
         return connected
     own = texts.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    pairs = pinned(_bounded(pinned(own.mapInArrow(marks(k, threshold), MARKS)), labels, threshold))
+    every = pinned(own.mapInArrow(marks(k, threshold), MARKS))
+    marked = every.select("doc_id", "n", "bits")
+    # Keys that several of these sets have, by one shuffle; all later steps read these alone.
+    keyed = every.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = pinned(keyed.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1").drop("sets"))
     edges = connected.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    for best_only in (True, False):
+    tested, pairs = None, None
+    for step in ("first", "last", "best", "rest"):
+        if step in ("first", "last"):
+            pairs = _with_leaders(shared, marked, labels, threshold, F.asc("doc_id") if step == "first" else F.desc("doc_id"))
+        elif step == "best":
+            pairs = pinned(_bounded(shared, marked, labels, threshold))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         left, right = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
         still = pairs.join(left, "a").join(right, "b").where("of_a != of_b")
-        if best_only:
+        if step == "best":
             still = still.groupBy("a", "of_b").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
         first, second = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        tested = pinned(still.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(k, threshold), "a long, b long, linked boolean"))
-        edges = edges.unionByName(tested.where("linked").select("a", "b"))
+        compared = still.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+        judged = pinned(compared.mapInArrow(verified(k, threshold), "a long, b long, linked boolean"))
+        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
+        edges = edges.unionByName(judged.where("linked").select("a", "b"))
         connected = components(edges)
         merged = labels.select("doc_id").join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
         labels = pinned(merged)
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     return connected
 
 
-def _bounded(marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs by shared key. A key of more than ``TILE`` sets is cut into pairs of tiles; small ones share a cell."""
-    rows = marked.join(labels, "doc_id").select("doc_id", "component", "n", "bits", F.explode(F.array_distinct("keys")).alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("sets")).where("least < most")
-    mixed = pinned(mixed.select("key", "sets"))
+def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction, order: Column) -> DataFrame:
+    """Distinct pairs of a set and the leading set of one of its keys, in other components, that pass the bounds."""
+    rows = shared.join(labels, "doc_id")
+    lead = Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.select("doc_id", "component", F.first(F.struct("doc_id", "component")).over(lead).alias("lead")).where("component != lead.component")
+    pairs = led.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
+    one = marked.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = marked.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(passing(threshold), "a long, b long")
+
+
+def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs by shared key. Of two sets in different components one lies outside the key's largest component: only
+    those outside are the left side, so work for a key is linear in its size as long as they are few. Keys of more
+    than ``TILE`` sets, or as many outside, are cut into tiles of both sides; small ones share a cell."""
+    rows = shared.join(labels, "doc_id")
+    counted = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    mixed = counted.groupBy("key").agg(
+        F.sum("own").alias("sets"), F.max(F.struct("own", "component")).alias("main"), F.count(F.lit(1)).alias("components")
+    ).where("components > 1")
+    mixed = pinned(mixed.select("key", "sets", (F.col("sets") - F.col("main.own")).alias("outside"), F.col("main.component").alias("main")))
     cells = int(mixed.agg(F.sum("sets")).first()[0] or 0) // CELL_ROWS + 1
-    tiles = F.ceil(F.col("sets") / TILE)
-    members = rows.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id", F.lit("key")), tiles))
-    spread = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other")).select(
-        "doc_id", "component", "n", "bits", "key", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-        F.when(F.col("sets") > TILE, F.col("key")).otherwise(F.pmod("key", F.lit(cells))).alias("place"),
-    )
-    return spread.groupBy("place", "i", "j").applyInArrow(bounded_pairs(threshold), PAIRS).groupBy("a", "b").agg(F.max("bound").alias("bound"))
+    left_tiles, tiles = F.ceil(F.col("outside") / TILE), F.ceil(F.col("sets") / TILE)
+    members = rows.join(mixed, "key")
+    kept = [
+        "doc_id", "component", "key", F.when((tiles > 1) | (left_tiles > 1), F.col("key")).otherwise(F.pmod("key", F.lit(cells))).alias("place"),
+    ]
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    lefts = members.where("component != main").select(*kept, F.pmod(F.xxhash64("doc_id", F.lit("left")), left_tiles).alias("i"), every(tiles).alias("j"), F.lit(True).alias("left_side"))
+    rights = members.select(*kept, every(left_tiles).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("right")), tiles).alias("j"), F.lit(False).alias("left_side"))
+    sides = lefts.unionByName(rights).join(marked, "doc_id")  # bitmaps are fetched for what is left
+    return sides.groupBy("place", "i", "j").applyInArrow(bounded_pairs(threshold), PAIRS).groupBy("a", "b").agg(F.max("bound").alias("bound"))
 
 
 SQL = r"""
