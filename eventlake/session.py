@@ -66,11 +66,21 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/eventlake/{purpose}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read back: computed once, lineage cut, size known."""
-    folder = scratch_dir(df.sparkSession, "pinned")
-    df.write.parquet(folder)
-    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The frame written to the shared folder and read back: computed once, lineage cut, size known.
+
+    The shuffles that led to it are deleted once it is written, as nothing reads them again."""
+    spark = df.sparkSession
+    folder, before = scratch_dir(spark, "pinned"), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
     out.pinned_folder = folder
     return out
 
