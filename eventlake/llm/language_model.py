@@ -7,11 +7,18 @@ One head of causal self-attention looks back over a window of ``CONTEXT`` positi
 class, that of the words the corpus holds once, is left to unseen words, which are spelled by subword ids as words of their class
 are. No part sums to more than one, so the score is a proper log-probability of the text.
 
-* Corpus counts (word counts, class counts, totals) come from all training documents: blocks of documents (ranges of ids) count their own
-  words where they lie, and a shuffle adds the blocks up; each block gets back the counts of its own words only, never the whole
-  vocabulary. Input that is not in the order of ids has more rows to add up, as a batch then holds parts of many blocks.
-* Classes and attention weights are learned by the driver from a bounded sample (``SAMPLE`` texts, whole, of at most ``SAMPLE_CHARS`` characters);
-  classes are clusters of words by the company their subwords keep, fixed before counting, so any word has its class from its spelling.
+* Everything learned comes from all training documents, whole, by four passes; a bounded sample of texts (``SAMPLE``, of at most
+  ``SAMPLE_CHARS`` characters) only gives the directions and weights that the passes start from.
+
+  1. Batches count their words where they lie, by block (a range of ids), and add up the company of subwords: one step of subspace
+     iteration on the weighted (document, subword) table. A shuffle adds the blocks up; each block gets back the counts of its own words
+     only, never the whole vocabulary. Input that is not in the order of ids has more rows to add up, as a batch then holds parts of many blocks.
+  2. The leading directions of company are the vectors of the subwords, and so the input embeddings; classes are clusters of all subwords
+     by their vectors, so any word has its class from its spelling. Tokens by class and the spelling of unseen words are added up over
+     all distinct training words.
+  3. Attention weights: each block takes gradient steps on all windows of all its training texts, from common weights; the mean over
+     the blocks, by their windows, is the model. Texts of a block are put in order, so reruns agree, however the input is cut.
+  4. Scoring.
 * Windows overlap: each is ``CONTEXT`` positions long, and all but the first score only their last ``STRIDE`` positions, so every token is
   scored once, with at least ``CONTEXT - STRIDE`` positions before it (as many as there are at the start of a text). Windows of many
   texts are scored together by batched masked matrix products.
@@ -25,7 +32,6 @@ further columns are not carried.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -79,22 +85,38 @@ class Model:
     subword: np.ndarray  # subword id -> vector for classes
     centers: np.ndarray  # class centres
     embed: np.ndarray  # subword id -> row of the input embeddings
+    size: int = 0  # of the subword vocabulary
     tables: dict = field(default_factory=dict)
     spelling: np.ndarray | None = None  # log10 probability of a subword by class and by whether it is the first of its word
     stop: float = 0.0  # log10 probability that a word ends after a subword, and that it goes on
     go: float = 0.0
 
     def classes_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Classes of words, given as subword ids in a row."""
-        vectors = np.add.reduceat(self.subword[flat], starts, axis=0) / lengths[:, None]
-        return np.argmin((self.centers**2).sum(axis=1) - 2 * vectors @ self.centers.T, axis=1).astype(np.int64)
+        """Classes of words, given as subword ids in a row. Vectors and centres are multiples of 2^-12, so this is exact: a word has one class in every pass."""
+        sums = word_sums(self.subword, flat, starts, lengths)
+        return np.argmin((self.centers**2).sum(axis=1) * lengths[:, None] - 2 * sums @ self.centers.T, axis=1).astype(np.int64)
 
-    def word_features(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Input vector and spelling log-probability of words."""
-        vectors = (np.add.reduceat(self.embed[flat], starts, axis=0) / lengths[:, None]).astype(np.float32)
+    def vectors_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Input vectors of words."""
+        return word_sums(self.embed, flat, starts, lengths) / lengths[:, None].astype(np.float32)
+
+    def spelled_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Spelling log-probabilities of words."""
         cost = self.spelling[np.repeat(classes, lengths), later(flat, starts), flat] + self.go
         cost[starts + lengths - 1] += self.stop - self.go
-        return vectors, np.add.reduceat(cost, starts)
+        return np.add.reduceat(cost, starts)
+
+
+def word_sums(values: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums over the subwords of each word, the n-th ones of all words at a time."""
+    out = np.empty((len(lengths), values.shape[1]), values.dtype)
+    order = np.argsort(-lengths, kind="stable")
+    first, sums = starts[order], values[flat[starts[order]]]
+    longer = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=1)), "left")  # words of more than n subwords
+    for n, upto in enumerate(longer, 1):
+        sums[:upto] += values[flat[first[:upto] + n]]
+    out[order] = sums
+    return out
 
 
 def later(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -107,56 +129,101 @@ def later(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # --- learning -------------------------------------------------------------------------------------------------------
 
 
-def learn(texts: list[str], path: str, seed: int = 1) -> Model:
-    """Classes and attention weights from a bounded sample of whole texts."""
-    rng = np.random.default_rng(seed)
-    subwords = Subwords(path)
+def sample_words(texts: list[str], subwords: Subwords) -> tuple[list[list[int]], list[list[int]]]:
+    """Texts as numbers of distinct words, and the subword ids of those words."""
     docs = []
     for piece in tokens.pieces(pa.array(texts, pa.string()), lower=True):
         docs += [[piece.word(i).lower() for i in range(a, b)] for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
     vocabulary = sorted({w for doc in docs for w in doc})
     number = {w: i for i, w in enumerate(vocabulary)}
-    ids = subwords.ids(vocabulary) if vocabulary else []
-    vectors = company(docs, number, ids, subwords.size, rng)
-    model = Model(path, vectors, np.zeros((1, vectors.shape[1])), rng.normal(0, 0.3, (subwords.size, WIDTH)).astype(np.float32))
-    if not vocabulary:
-        model.tables = start_tables(rng)
-        return spelled_model(model, ids, subwords)
-    of_word = np.stack([vectors[x].mean(axis=0) for x in ids])
-    counts = np.bincount([number[w] for doc in docs for w in doc], minlength=len(vocabulary)).astype(float)
-    model.centers = cluster(of_word, counts, CLASSES, rng)
-    target = model.classes_of(*flattened(ids))
-    spelled_model(model, ids, subwords)
-    train(model, [[number[w] for w in doc] for doc in docs], ids, target, rng)
-    return model
+    return [[number[w] for w in doc] for doc in docs], subwords.ids(vocabulary) if vocabulary else []
 
 
-def company(docs, number, ids, size: int, rng) -> np.ndarray:
-    """Vectors of subwords by the texts they occur in: leading directions of their weighted co-occurrence."""
+def learn(texts: list[str], path: str, seed: int = 1) -> Model:
+    """The model of a few texts, all in memory."""
+    rng = np.random.default_rng(seed)
+    subwords = Subwords(path)
+    docs, ids = sample_words(texts, subwords)
+    company = Company(start_basis(docs, ids, subwords.size, rng))
+    for doc in docs:
+        flat, _, lengths = flattened([ids[w] for w in doc])
+        company.add(np.zeros(int(lengths.sum()), np.int64), flat, 1)
+    model = model_of(path, company, rng)
+    if ids:
+        flat, starts, lengths = flattened(ids)
+        cells, n = np.unique(spelling_cells(model, flat, starts, lengths), return_counts=True)
+        spelled_model(model, cells, n, len(ids), len(flat))
+    else:
+        spelled_model(model, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0)
+    return train_start(model, docs, ids, rng)
+
+
+def start_basis(docs, ids, size: int, rng) -> np.ndarray:
+    """Leading directions of the weighted table of the sample's texts and their subwords."""
     used = np.unique([s for x in ids for s in x]) if ids else np.zeros(0, np.int64)
-    dims = 16
-    out = np.zeros((size, dims))
+    out = np.zeros((size, WIDTH))
     if not len(used):
         return out
     column = np.full(size, -1)
     column[used] = np.arange(len(used))
     rows = np.zeros((len(docs), len(used)), dtype=np.float32)
     for d, doc in enumerate(docs):
-        flat = [s for w in doc for s in ids[number[w]]]
+        flat = [s for w in doc for s in ids[w]]
         if flat:
             rows[d] = np.bincount(column[flat], minlength=len(used))
     rows = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
     rows -= rows.mean(axis=0)
-    wide = min(dims, *rows.shape)
+    wide = min(WIDTH, *rows.shape)
     basis = rng.normal(size=(len(used), wide)).astype(np.float32)
     for _ in range(8):  # subspace iteration
         basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
-    strength = np.linalg.norm(rows @ basis, axis=0)
-    share = np.maximum(np.linalg.norm(rows, axis=0), 1e-6)
-    out[used, :wide] = (basis * strength) / share[:, None]
+    out[used, :wide] = basis
     return out
 
 
+class Company:
+    """Sums over documents for one step of subspace iteration: by subword, what its documents project to, its weight and its squared weight."""
+
+    def __init__(self, basis: np.ndarray):
+        self.basis, self.docs = basis, 0
+        self.sums = np.zeros((len(basis), basis.shape[1] + 3))  # the last column counts occurrences
+
+    def add(self, doc: np.ndarray, subword: np.ndarray, n_docs: int) -> None:
+        """Occurrences of subwords in the documents 0 to ``n_docs`` - 1."""
+        size = len(self.basis)
+        self.docs += n_docs
+        key, n = np.unique(doc * size + subword, return_counts=True)
+        if not len(key):
+            return
+        of_doc, of_subword = np.divmod(key, size)
+        weight = np.sqrt(n / np.bincount(of_doc, weights=n)[of_doc])
+        begin = np.flatnonzero(np.diff(of_doc, prepend=-1))
+        projected = np.add.reduceat(weight[:, None] * self.basis[of_subword], begin, axis=0)
+        order = np.argsort(of_subword, kind="stable")
+        begin_of = np.flatnonzero(np.diff(of_subword[order], prepend=-1))
+        back = np.cumsum(np.diff(of_doc, prepend=of_doc[0]) != 0)
+        values = np.column_stack([weight[:, None] * projected[back], weight, weight**2, n])[order]
+        self.sums[of_subword[order][begin_of]] += np.add.reduceat(values, begin_of, axis=0)
+
+
+def model_of(path: str, company: Company, rng) -> Model:
+    """Vectors of subwords by the documents they occur in, input embeddings and classes."""
+    sums, n = company.sums, max(company.docs, 1)
+    size, wide = company.basis.shape
+    mean = sums[:, wide] / n
+    step = sums[:, :wide] - n * np.outer(mean, mean @ company.basis)  # of the centred table
+    directions, triangle = np.linalg.qr(step)
+    vectors = directions * np.sqrt(np.abs(np.diag(triangle))) / np.sqrt(np.maximum(sums[:, wide + 1] - n * mean**2, 1e-12))[:, None]
+    counts = sums[:, wide + 2]
+    vectors[counts == 0] = 0
+    vectors = np.round(vectors * 4096) / 4096
+    spread = np.sqrt((counts[:, None] * vectors**2).sum(axis=0) / max(counts.sum(), 1))
+    embed = 0.5 * vectors / np.maximum(spread, 1e-6) + rng.normal(0, 0.3, vectors.shape)  # subwords of like company stay apart
+    seen = counts > 0
+    centers = cluster(vectors[seen], counts[seen], CLASSES, rng) if seen.any() else np.zeros((1, wide))
+    return Model(path, vectors, np.round(centers * 4096) / 4096, np.clip(embed, -3, 3).astype(np.float32), size)
+
+
 def cluster(points: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
     chosen = rng.choice(len(points), size=min(k, len(points)), replace=False, p=weight / weight.sum() if (weight > 0).sum() >= k else None)
     centers = points[chosen].copy()
@@ -169,18 +236,23 @@ def cluster(points: np.ndarray, weight: np.ndarray, k: int, rng) -> np.ndarray:
     return centers
 
 
-def spelled_model(model: Model, ids, subwords: Subwords) -> Model:
+def spelling_cells(model: Model, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(class, first or later, subword) of every subword of some words, as one number."""
+    return (np.repeat(model.classes_of(flat, starts, lengths), lengths) * 2 + later(flat, starts)) * model.size + flat
+
+
+def spelled_model(model: Model, cells: np.ndarray, n: np.ndarray, words: int, pieces: int) -> Model:
     """Spelling of unseen words: subwords by their counts over the distinct words of a class, backed off to those of all words."""
-    size = subwords.size
-    counts = np.zeros((len(model.centers), 2, size), np.float32)
-    if ids:
-        classes, lengths = model.classes_of(*flattened(ids)), np.array([len(x) for x in ids])
-        flat, starts, _ = flattened(ids)
-        np.add.at(counts, (np.repeat(classes, lengths), later(flat, starts), flat), 1)
+    counts = np.zeros(len(model.centers) * 2 * model.size, np.float32)
+    counts[cells] = n
+    counts = counts.reshape(len(model.centers), 2, model.size)
     shared = counts.sum(axis=0) + 0.02
     shared /= shared.sum(axis=1, keepdims=True)
-    model.spelling = np.log10((counts + 30 * shared) / (counts.sum(axis=2, keepdims=True) + 30)).astype(np.float32)
-    stop = min(max(len(ids) / max(sum(map(len, ids)), 1), 0.05), 0.95)
+    total = counts.sum(axis=2, keepdims=True) + 30
+    counts += 30 * shared
+    counts /= total
+    model.spelling = np.log10(counts, out=counts)
+    stop = min(max(words / max(pieces, 1), 0.05), 0.95)
     model.stop, model.go = np.log10(stop), np.log10(1 - stop)
     return model
 
@@ -195,111 +267,149 @@ def start_tables(rng) -> dict:
     return tables
 
 
+BACK = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
+
+
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - shift), its sums by row, and the shift, which is 0 unless rows would leave the range of numbers."""
+    ones = np.ones(x.shape[-1], x.dtype)
+    with np.errstate(over="ignore"):
+        out = np.exp(x)
+        total = out @ ones
+    if np.isfinite(total).all() and total.min(initial=1) > 1e-30:
+        return out, total, 0.0
+    top = x.max(axis=-1)
+    out = np.exp(x - top[..., None])
+    return out, out @ ones, top
+
+
 def forward(tables: dict, x: np.ndarray, mask: np.ndarray):
     """Class log-probabilities at every position of windows ``x`` (windows, positions, width), looking at itself and back."""
-    n = x.shape[1]
-    q, k, v = x @ tables["query"], x @ tables["key"], x @ tables["value"]
-    back = np.arange(n)[:, None] - np.arange(n)[None, :]
-    bias = np.where(back >= 0, tables["near"][np.clip(back, 0, CONTEXT - 1)], -1e9).astype(np.float32)
+    windows, n, _ = x.shape
+    flat = np.ascontiguousarray(x).reshape(-1, WIDTH)
+    qkv = (flat @ np.concatenate([tables[name] for name in ("query", "key", "value")], axis=1)).reshape(windows, n, 3 * WIDTH)
+    q, k, v = [np.ascontiguousarray(qkv[..., i : i + WIDTH]) for i in range(0, 3 * WIDTH, WIDTH)]
+    q *= np.float32(WIDTH**-0.5)
+    back = BACK[:n, :n]
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += bias
+    s += np.where(back >= 0, tables["near"][np.clip(back, 0, CONTEXT - 1)], -1e9).astype(np.float32)
     s += mask[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = np.concatenate([s @ v, x], axis=2)
-    z = h @ tables["out"]
+    s, total, _ = exponentials(s)
+    s /= total[..., None]
+    h = np.empty((windows, n, 2 * WIDTH), np.float32)
+    np.matmul(s, v, out=h[..., :WIDTH])
+    h[..., WIDTH:] = x
+    z = h.reshape(-1, 2 * WIDTH) @ tables["out"]
     z += tables["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-    return z, (q, k, v, s, h, back)
-
-
-def train(model: Model, docs, ids, target: np.ndarray, rng) -> None:
-    """Adam on the cross-entropy of the next word's class, through attention and embeddings."""
-    tables = start_tables(rng)
-    used = np.unique([s for x in ids for s in x])
-    local = np.full(model.embed.shape[0], 0)
-    local[used] = np.arange(len(used))
-    embed = model.embed[used]
-    flat = local[np.concatenate([np.asarray(x) for x in ids])]
-    lengths = np.array([len(x) for x in ids])
-    starts = np.cumsum(lengths) - lengths
-    windows = []
-    for doc in docs:
-        marks = np.array([-1, *doc])
-        nexts = np.array([*target[np.array(doc, dtype=np.int64)], CLASSES]) if doc else np.array([CLASSES])
-        for a in range(0, len(marks), CONTEXT):
-            w, t = marks[a : a + CONTEXT], nexts[a : a + CONTEXT]
-            windows.append((np.pad(w, (0, CONTEXT - len(w)), constant_values=-2), np.pad(t, (0, CONTEXT - len(t)), constant_values=-1)))
-    words, goals = np.stack([w for w, _ in windows]), np.stack([t for _, t in windows])
-    tables["bias"][:] = np.log(np.bincount(goals[goals >= 0], minlength=CLASSES + 1) + 1.0)
-    moments = {name: [np.zeros_like(value), np.zeros_like(value)] for name, value in [*tables.items(), ("embed", embed)]}
-    for step in range(1, ROUNDS + 1):
-        pick = rng.integers(0, len(words), BATCH)
-        w, t = words[pick], goals[pick]
-        known, place = np.unique(w[w >= 0], return_inverse=True)
-        pieces_of = np.concatenate([flat[starts[i] : starts[i] + lengths[i]] for i in known]) if len(known) else np.zeros(0, np.int64)
-        n_of = lengths[known]
-        vec = np.add.reduceat(embed[pieces_of], np.cumsum(n_of) - n_of, axis=0) / n_of[:, None] if len(known) else np.zeros((0, WIDTH))
-        x = np.zeros((*w.shape, WIDTH), np.float32)
-        x[w >= 0] = vec[place]
-        x[w == -1] = tables["start"]
-        z, (q, k, v, s, h, back) = forward(tables, x, np.where(w == -2, -1e9, 0).astype(np.float32))
-        valid = t >= 0
-        dz = np.exp(z)
-        b, p = np.nonzero(valid)
-        dz[b, p, t[valid]] -= 1
-        dz[~valid] = 0
-        dz /= max(valid.sum(), 1)
-        grads = {"out": np.einsum("bpi,bpj->ij", h, dz, optimize=True), "bias": dz.sum(axis=(0, 1))}
-        dh = dz @ tables["out"].T
-        da, dx = dh[..., :WIDTH], dh[..., WIDTH:].copy()
-        ds = da @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        grads["near"] = np.bincount(np.clip(back, 0, CONTEXT - 1).ravel(), weights=np.where(back >= 0, ds.sum(axis=0), 0).ravel(), minlength=CONTEXT).astype(np.float32)
-        ds = ds * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("query", dq), ("key", dk), ("value", dv)):
-            grads[name] = np.einsum("bpi,bpj->ij", x, d, optimize=True)
-            dx += d @ tables[name].T
-        grads["start"] = dx[w == -1].sum(axis=0)
-        dvec = np.zeros((len(known), WIDTH), np.float32)
-        np.add.at(dvec, place, dx[w >= 0])
-        grads["embed"] = np.zeros_like(embed)
-        np.add.at(grads["embed"], pieces_of, np.repeat(dvec / np.maximum(n_of, 1)[:, None], n_of, axis=0))
-        rate = 0.01 * min(1.0, 2 * (1 - step / (ROUNDS + 1)))
+    _, total, shift = exponentials(z)
+    z -= (np.log(total) + shift)[:, None]
+    return z.reshape(windows, n, -1), (q, k, v, s, h)
+
+
+def gradients(tables: dict, x: np.ndarray, mask: np.ndarray, goals: np.ndarray, begins: np.ndarray) -> dict:
+    """Of the mean cross-entropy of the goals (-1: none), by table; ``begins`` marks positions that hold the start vector."""
+    z, (q, k, v, s, h) = forward(tables, x, mask)
+    windows, n, _ = x.shape
+    valid = goals >= 0
+    dz = np.exp(z, out=z)
+    b, p = np.nonzero(valid)
+    dz[b, p, goals[valid]] -= 1
+    dz[~valid] = 0
+    dz /= np.float32(max(len(b), 1))
+    flat, dz = np.ascontiguousarray(x).reshape(-1, WIDTH), dz.reshape(windows * n, -1)
+    grads = {"out": h.reshape(-1, 2 * WIDTH).T @ dz, "bias": dz.sum(axis=0)}
+    da = (dz @ tables["out"][:WIDTH].T).reshape(windows, n, WIDTH)
+    ds = da @ v.transpose(0, 2, 1)
+    dv = s.transpose(0, 2, 1) @ da
+    ds *= s
+    ds -= s * (ds @ np.ones(n, np.float32))[..., None]
+    back = BACK[:n, :n]
+    grads["near"] = np.bincount(np.clip(back, 0, CONTEXT - 1).ravel(), weights=np.where(back >= 0, ds.sum(axis=0), 0).ravel(), minlength=CONTEXT).astype(np.float32)
+    dk = ds.transpose(0, 2, 1) @ q
+    dq = ds @ k
+    dq *= np.float32(WIDTH**-0.5)
+    grads["start"] = (dz[begins.ravel()] @ tables["out"][WIDTH:].T).sum(axis=0)
+    for name, d in (("query", dq), ("key", dk), ("value", dv)):
+        grads[name] = flat.T @ d.reshape(-1, WIDTH)
+        grads["start"] += (d[begins] @ tables[name].T).sum(axis=0)
+    return grads
+
+
+class Adam:
+    """Gradient steps on tables, in place."""
+
+    def __init__(self, tables: dict):
+        self.tables, self.step = tables, 0
+        self.moments = {name: [np.zeros_like(value), np.zeros_like(value)] for name, value in tables.items()}
+
+    def take(self, grads: dict, rate: float) -> None:
+        self.step += 1
         for name, grad in grads.items():
-            first, second = moments[name]
+            first, second = self.moments[name]
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
-            change = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-            if name == "embed":
-                embed -= change.astype(np.float32)
-            else:
-                tables[name] -= change.astype(np.float32)
-    model.embed[used] = embed
-    unseen = np.setdiff1d(np.arange(model.embed.shape[0]), used)
-    model.embed[unseen] = embed.mean(axis=0)
-    model.tables = tables
+            self.tables[name] -= (rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
+def windows_of(place: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that follow each other without overlap: word numbers (-1: start, -2: none) and the classes that come next (-1: none).
+
+    ``place`` holds the words of all texts, ``goal`` the class by word, ``first`` where each text begins."""
+    n_words = np.diff(first)
+    n_windows = n_words // CONTEXT + 1  # a text has its words and a start mark as positions
+    begin = np.cumsum(n_windows) - n_windows
+    words = np.full((int(n_windows.sum()), CONTEXT), -2)
+    goals = np.full(words.shape, -1)
+    at = np.arange(len(place)) - np.repeat(first[:-1], n_words) + np.repeat(begin, n_words) * CONTEXT
+    words.ravel()[begin * CONTEXT] = -1
+    words.ravel()[at + 1] = place
+    goals.ravel()[at] = goal[place] if len(place) else goal[:0]
+    goals.ravel()[begin * CONTEXT + n_words] = CLASSES
+    return words, goals
+
+
+def window_gradients(tables: dict, inputs: np.ndarray, words: np.ndarray, goals: np.ndarray) -> dict:
+    """``inputs`` are the vectors of the words and two rows behind them, for no word and for the start."""
+    inputs[-1] = tables["start"]
+    return gradients(tables, inputs[words], np.where(words == -2, -1e9, 0).astype(np.float32), goals, words == -1)
+
+
+def train_start(model: Model, docs, ids, rng) -> Model:
+    """Weights that all blocks start from: a fixed number of steps on windows of the sample."""
+    model.tables = start_tables(rng)
+    if not docs:
+        return model
+    if ids:
+        flat, starts, lengths = flattened(ids)
+        target = model.classes_of(flat, starts, lengths)
+        vectors = model.vectors_of(flat, starts, lengths)
+    else:
+        target, vectors = np.zeros(0, np.int64), np.zeros((0, WIDTH), np.float32)
+    inputs = np.concatenate([vectors, np.zeros((2, WIDTH), np.float32)])
+    first = np.cumsum([0, *map(len, docs)])
+    words, goals = windows_of(np.fromiter(chain.from_iterable(docs), np.int64, int(first[-1])), target, first)
+    model.tables["bias"][:] = np.log(np.bincount(goals[goals >= 0], minlength=CLASSES + 1) + 1.0)
+    adam = Adam(model.tables)
+    for step in range(1, ROUNDS + 1):
+        pick = rng.integers(0, len(words), BATCH)
+        adam.take(window_gradients(model.tables, inputs, words[pick], goals[pick]), 0.01 * min(1.0, 2 * (1 - step / (ROUNDS + 1))))
+    return model
 
 
 # --- counting -------------------------------------------------------------------------------------------------------
 
-COUNTS = "block long, word long, n long, class int, ids binary"
+COUNTS = "block long, word long, n long, ids binary"  # without a block: a subword and its sums of company
 ID_BYTES = 2  # subword ids of a vocabulary of up to 65,536
 
 
 class Words:
-    """Classes and subword ids of words by their hash, remembered from block to block of one worker."""
+    """Subword ids of words by their hash, remembered from block to block of one worker."""
 
-    def __init__(self, model: Model):
-        self.model, self.subwords = model, Subwords(model.path)
-        self.keys, self.classes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.binary())
+    def __init__(self, path: str):
+        self.subwords = Subwords(path)
+        self.keys, self.ids = np.zeros(0, np.uint64), pa.array([], pa.binary())
 
-    def of(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, pa.Array]:
+    def of(self, hashes: np.ndarray, text_of) -> pa.Array:
         """Of distinct words in the order of their hashes; ``text_of(i)`` gives the bytes of the i-th one."""
         if len(self.keys):
             known = self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
@@ -307,40 +417,34 @@ class Words:
             known = np.zeros(len(hashes), dtype=bool)
         missing = np.flatnonzero(~known)
         if len(missing):
-            flat, starts, lengths = flattened(self.subwords.ids([text_of(i) for i in missing]))
+            flat, starts, _ = flattened(self.subwords.ids([text_of(i) for i in missing]))
             ends = pa.py_buffer((ID_BYTES * np.append(starts, len(flat))).astype(np.int32))
             ids = pa.Array.from_buffers(pa.binary(), len(missing), [None, ends, pa.py_buffer(flat.astype(np.uint16))])
-            self.keys, self.classes = np.concatenate([self.keys, hashes[missing]]), np.concatenate([self.classes, self.model.classes_of(flat, starts, lengths)])
+            self.keys = np.concatenate([self.keys, hashes[missing]])
             order = np.argsort(self.keys)
-            self.keys, self.classes = self.keys[order], self.classes[order]
-            self.ids = pa.concat_arrays([self.ids, ids]).take(pa.array(order))
-        at = np.searchsorted(self.keys, hashes)
-        out = self.classes[at], self.ids.take(pa.array(at))
+            self.keys, self.ids = self.keys[order], pa.concat_arrays([self.ids, ids]).take(pa.array(order))
+        out = self.ids.take(pa.array(np.searchsorted(self.keys, hashes)))
         if len(self.keys) > CACHED_WORDS:
-            self.keys, self.classes, self.ids = hashes, *out
+            self.keys, self.ids = hashes, out
         return out
 
 
 _workers: dict[str, Words] = {}
 
 
-def words_of(shared) -> Words:
-    """One per worker process and model."""
-    if shared.id not in _workers:
+def words_of(path: str) -> Words:
+    """One per worker process and vocabulary."""
+    if path not in _workers:
         _workers.clear()
-        _workers[shared.id] = Words(shared.value)
-    return _workers[shared.id]
+        _workers[path] = Words(path)
+    return _workers[path]
 
 
-class Shared:
-    """A broadcast that tells models apart."""
-
-    def __init__(self, spark, model: Model):
-        self.broadcast, self.id = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-
-    @property
-    def value(self) -> Model:
-        return self.broadcast.value
+def subwords_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subword ids of words in a row, where each word starts, and how many each has."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // ID_BYTES
+    flat = np.frombuffer(ids.buffers()[2], np.uint16)[ends[0] : ends[-1]].astype(np.int64) if ids.buffers()[2] is not None else np.zeros(0, np.int64)
+    return flat, ends[:-1] - ends[0], np.diff(ends).astype(np.int64)
 
 
 def distinct_words(table: pa.Table) -> Iterator[tuple[tokens.Piece, np.ndarray, np.ndarray, np.ndarray]]:
@@ -353,15 +457,17 @@ def lowered(piece: tokens.Piece, i: int) -> bytes:
     return piece.word(i).lower()  # bytes.lower changes A-Z only
 
 
-def count_block(shared: Shared):
+def count_block(path: str, company: Company):
     def run(table: pa.Table) -> pa.Table:
         teaches = ~table.column("held_out").to_numpy()
-        hashes, counts, texts = [np.array([END])], [np.array([teaches.sum()])], [b""]
+        hashes, counts, texts, company_of = [np.array([END])], [np.array([teaches.sum()])], [b""], []
         for piece, key, example, place in distinct_words(table):
-            teaching = teaches[piece.rows][piece.document_of_word()]
+            doc = piece.document_of_word()
+            teaching = teaches[piece.rows][doc]
             hashes.append(key)
             counts.append(np.bincount(place[teaching], minlength=len(key)))
             texts.append((piece, example))
+            company_of.append((len(texts) - 1, doc[teaching], place[teaching], int(teaches[piece.rows].sum())))
         begin = np.cumsum([0, *map(len, hashes)])
         key, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         n = np.bincount(place, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
@@ -373,28 +479,131 @@ def count_block(shared: Shared):
             piece, example = texts[part[i]]
             return lowered(piece, example[first[i] - begin[part[i]]])
 
-        classes, ids = words_of(shared).of(key, text_of)
+        ids = words_of(path).of(key, text_of)
+        flat, starts, lengths = subwords_of(ids)
+        for number, doc, word, n_docs in company_of:
+            words = place[begin[number] : begin[number + 1]][word]
+            each = lengths[words]
+            at = np.arange(int(each.sum())) + np.repeat(starts[words] - (np.cumsum(each) - each), each)
+            company.add(np.repeat(doc, each), flat[at], n_docs)
         return pa.table({
-            "block": pa.array(np.full(len(key), table.column("block")[0].as_py()), pa.int64()), "word": pa.array(key.view(np.int64)), "n": pa.array(n),
-            "class": pa.array(np.where(key == END, CLASSES, classes).astype(np.int32)), "ids": ids,
+            "block": pa.array(np.full(len(key), table.column("block")[0].as_py()), pa.int64()), "word": pa.array(key.view(np.int64)), "n": pa.array(n), "ids": ids,
         })
 
     return run
 
 
-def count_batches(shared: Shared):
+def company_rows(company: Company) -> pa.RecordBatch:
+    """The sums of one task; row -1 holds the number of documents."""
+    used = np.flatnonzero(company.sums[:, -1])
+    sums = [x.tobytes() for x in company.sums[used]]
+    return pa.RecordBatch.from_arrays([
+        pa.nulls(len(used) + 1, pa.int64()), pa.array([-1, *used], pa.int64()), pa.array([company.docs, *np.zeros(len(used), np.int64)], pa.int64()), pa.array([b"", *sums], pa.binary()),
+    ], names=["block", "word", "n", "ids"])
+
+
+def added_company(table: pa.Table) -> pa.Table:
+    """Sums of company over the tasks."""
+    word, n = table.column("word").to_numpy(), table.column("n").to_numpy()
+    values = np.stack([np.frombuffer(x, np.float64) if x else np.zeros(WIDTH + 3) for x in table.column("ids").to_pylist()])
+    order = np.lexsort((*values.T, n, word))  # sums in one order whatever the rows' was
+    begin = np.flatnonzero(np.diff(word[order], prepend=word[order[0]] - 1))
+    return pa.table({
+        "word": pa.array(word[order][begin]), "n": pa.array(np.add.reduceat(n[order], begin)),
+        "ids": pa.array([x.tobytes() for x in np.add.reduceat(values[order], begin, axis=0)], pa.binary()),
+    })
+
+
+def count_batches(path: str, basis):
     """Counts where the texts lie: each batch by the blocks it holds, so no text is moved to be counted."""
-    of_block = count_block(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        company = Company(basis.value)
+        of_block = count_block(path, company)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for block in pc.unique(table.column("block")):
                 yield from of_block(table.filter(pc.equal(table.column("block"), block))).to_batches()
+        if company.docs:
+            yield company_rows(company)
 
     return run
 
 
+KINDS = ("tokens", "distinct", "once")
+
+
+def class_cells(shared):
+    """What a task's distinct training words add to sums by class, numbered below 0, and to the cells of spelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            model, n = shared.value, batch.column(1).to_numpy()
+            end = batch.column(0).to_numpy().view(np.uint64) == END
+            flat, starts, lengths = subwords_of(batch.column(2))
+            classes = np.where(end, CLASSES, model.classes_of(flat, starts, lengths))
+            sums = [np.bincount(classes, weights=x, minlength=CLASSES + 1) for x in (n, np.ones(len(n)), n == 1)]
+            cells, counts = np.unique(spelling_cells(model, flat, starts, lengths)[np.repeat(~end, lengths)], return_counts=True)
+            cell = np.concatenate([-1 - np.arange(len(KINDS) * (CLASSES + 1)), cells])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([*sums, counts]).astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+# --- attention weights ----------------------------------------------------------------------------------------------
+
+
+PACES = "block long, windows long, tables binary"
+TABLES = ("query", "key", "value", "out", "bias", "start", "near")
+RATE = 0.004  # of the first step in a block
+
+
+def packed(tables: dict) -> np.ndarray:
+    return np.concatenate([tables[name].ravel() for name in TABLES]).astype(np.float64)
+
+
+def unpacked(values: np.ndarray, like: dict) -> dict:
+    cuts = np.cumsum([like[name].size for name in TABLES])[:-1]
+    return {name: x.reshape(like[name].shape).astype(np.float32) for name, x in zip(TABLES, np.split(values, cuts), strict=True)}
+
+
+def train_block(shared):
+    """Weights after steps on all windows of a block's texts, times their number."""
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "windows": pa.array([], pa.int64()), "tables": pa.array([], pa.binary())})
+        model = shared.value
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        keys, _, flat, starts, lengths = block_words(known)
+        classes = model.classes_of(flat, starts, lengths)
+        inputs = np.concatenate([model.vectors_of(flat, starts, lengths), np.zeros((2, WIDTH), np.float32)])
+        tables = {name: value.copy() for name, value in model.tables.items()}
+        adam, total = Adam(tables), 0
+        size = max(sum(len(x) for x in docs.column("text").to_pylist()), 1)
+        done = 0
+        for piece, key, _, place in distinct_words(docs):
+            words, goals = windows_of(np.searchsorted(keys, key)[place], classes, piece.first)
+            order = np.random.default_rng(len(words)).permutation(len(words))
+            for begin in range(0, len(order), BATCH):
+                pick = np.sort(order[begin : begin + BATCH])
+                share = len(pick) / BATCH  # the last batch of a piece is smaller
+                adam.take(window_gradients(tables, inputs, words[pick], goals[pick]), RATE * share * max(1 - done / size, 0.05))
+                done += len(piece.data) * len(pick) // max(len(order), 1)
+            total += len(words)
+        return pa.table({"block": docs.column("block").slice(0, 1), "windows": pa.array([total], pa.int64()), "tables": pa.array([(total * packed(tables)).tobytes()], pa.binary())})
+
+    return run
+
+
+def added_tables(table: pa.Table) -> pa.Table:
+    table = table.sort_by("block")
+    values = np.stack([np.frombuffer(x, np.float64) for x in table.column("tables").to_pylist()])
+    return pa.table({"block": table.column("block").slice(0, 1), "windows": pa.array([sum(table.column("windows").to_pylist())], pa.int64()), "tables": pa.array([values.sum(axis=0).tobytes()], pa.binary())})
+
+
 # --- scoring --------------------------------------------------------------------------------------------------------
 
 
@@ -409,15 +618,20 @@ class Totals:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_block(shared: Shared, totals: Totals):
+def block_words(known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a block's words in order, their counts, and their subword ids as by ``subwords_of``."""
+    known = known.take(pa.array(np.argsort(known.column("word").to_numpy().view(np.uint64)))).combine_chunks()
+    ids = pa.concat_arrays(known.column("ids").chunks)
+    return known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy(), *subwords_of(ids)
+
+
+def score_block(shared, totals: Totals):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         model = shared.value
-        known = known.take(pa.array(np.argsort(known.column("word").to_numpy().view(np.uint64)))).combine_chunks()
-        keys, seen, class_of = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy(), known.column("class").to_numpy().astype(np.int64)
-        ids = pa.concat_arrays(known.column("ids").chunks)
-        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // ID_BYTES
-        flat = np.frombuffer(ids.buffers()[2], np.uint16)[ends[0] : ends[-1]].astype(np.int64)
-        vectors, spelled = model.word_features(flat, ends[:-1] - ends[0], np.diff(ends), np.minimum(class_of, len(model.spelling) - 1))
+        keys, seen, flat, starts, lengths = block_words(known)
+        class_of = np.where(keys == END, CLASSES, model.classes_of(flat, starts, lengths))
+        vectors = model.vectors_of(flat, starts, lengths)
+        spelled = model.spelled_of(flat, starts, lengths, np.minimum(class_of, len(model.spelling) - 1))
         base_of = lambda c: np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
         of_class = np.maximum(totals.of_class, 1).astype(float)
         unseen = (totals.once + 0.5) / (totals.of_class + 1.0)  # share of each class that is left to unseen words
@@ -485,23 +699,47 @@ def score_texts(docs: DataFrame, tokenizer_path: str = TOKENIZER, doc_id: str =
         F.coalesce(F.floor(F.col(doc_id) / BLOCK_IDS).cast("long"), -1 - F.pmod(F.xxhash64(text), F.lit(NULL_BLOCKS))).alias("block"), F.col(doc_id).cast("long").alias("doc_id"),
         held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
+    rng = np.random.default_rng(1)
     # Ids are drawn first, so that only the texts of the sample travel.
     teaching = given.where(~F.col("held_out") & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id")
     drawn = teaching.orderBy(F.xxhash64(F.lit("lm"), "doc_id"), "doc_id").limit(SAMPLE).distinct()
     texts = given.join(F.broadcast(drawn), "doc_id").select("doc_id", "text").collect()  # at most SAMPLE ids
-    model = learn([row.text for row in sorted(texts)], tokenizer_path)
-    shared = Shared(spark, model)
-    counted = given.select("block", "held_out", "text").mapInArrow(count_batches(shared), COUNTS)
-    of_word = Window.partitionBy("word")
-    known = pinned(counted.select(
-        "block", "word", "ids", F.min("class").over(of_word).alias("class"), F.sum("n").over(of_word).alias("n"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first")
-    ))
-    sums = known.where("first").groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("distinct"), F.count_if(F.col("n") == 1).alias("once"))
-    of_class, once, distinct = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64), 0
-    for row in sums.collect():  # one row per class
-        of_class[row["class"]] = row.n
-        once[row["class"]] = row.once
-        distinct += row.distinct
-    totals = Totals(int(of_class.sum()), distinct, once, of_class)
-    scored = given.groupBy("block").cogroup(known.select("block", "word", "class", "n", "ids").groupBy("block")).applyInArrow(score_block(shared, totals), SCORES)
+    subwords = Subwords(tokenizer_path)
+    docs_in, ids_in = sample_words([row.text for row in sorted(texts)], subwords)
+    basis = start_basis(docs_in, ids_in, subwords.size, rng)
+
+    # Words by block, with their counts over the corpus; the sums of company ride along.
+    counted = given.select("block", "held_out", "text").mapInArrow(count_batches(tokenizer_path, spark.sparkContext.broadcast(basis)), COUNTS)
+    of_word = Window.partitionBy("word", F.col("block").isNull())
+    known = pinned(counted.select("block", "word", "ids", F.when(F.col("block").isNull(), F.col("n")).otherwise(F.sum("n").over(of_word)).alias("n"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first")))
+    by_block = known.where("block is not null").select("block", "word", "n", "ids")
+    company = Company(basis)
+    for row in known.where("block is null").groupBy(F.pmod("word", F.lit(64)).alias("part")).applyInArrow(added_company, "word long, n long, ids binary").collect():  # one row per subword
+        if row.word < 0:
+            company.docs = row.n
+        else:
+            company.sums[row.word] = np.frombuffer(row.ids, np.float64)
+    model = model_of(tokenizer_path, company, rng)
+
+    # Sums by class and the spelling of words, over all distinct training words.
+    words = known.where("block is not null and first and n > 0").select("word", "n", "ids")
+    sums = words.mapInArrow(class_cells(spark.sparkContext.broadcast(model)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most classes x subwords
+    cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+    by_class = np.zeros(len(KINDS) * (CLASSES + 1), np.int64)
+    by_class[-1 - cell[cell < 0]] = n[cell < 0]
+    of_class, distinct, once = by_class.reshape(len(KINDS), -1)
+    totals = Totals(int(of_class.sum()), int(distinct.sum()), once, of_class)
+    spelled_model(model, cell[cell >= 0], n[cell >= 0], int(distinct[:CLASSES].sum()), int(n[cell >= 0].sum()))
+
+    # Attention weights: the mean of what the blocks learn from all their windows.
+    train_start(model, docs_in, ids_in, rng)
+    lessons = given.where(~F.col("held_out")).select("block", "doc_id", "text")
+    learned = pinned(lessons.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(train_block(spark.sparkContext.broadcast(model)), PACES))
+    parts = learned.groupBy(F.pmod("block", F.lit(64)).alias("part")).applyInArrow(added_tables, PACES).collect()  # at most 64 rows
+    windows = sum(row.windows for row in parts)
+    if windows:
+        model.tables = unpacked(sum(np.frombuffer(row.tables, np.float64) for row in sorted(parts, key=lambda row: row.block)) / windows, model.tables)
+
+    shared = spark.sparkContext.broadcast(model)
+    scored = given.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(score_block(shared, totals), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
