@@ -17,8 +17,8 @@ differing shingle. Only pairs that pass the bound meet in an exact intersection
 Equal sets stand for one. A family beyond ``TILE`` sets is spread over tiles, each with its share of the family and
 about ``PIVOTS`` common pivots, which connects most of it in work linear in its size. What is then still in several
 components is settled by keys: linked sets share one, so only sets of different components that share a key are paired, as
-(size, bitmap): first every set with the first and the last one of its keys, then, in tiles of a key, those outside the
-key's largest component with all of it. Texts are fetched for the pairs that pass the bounds.
+(size, bitmap): first every set with the first and the last one of its keys, then, by key, those outside the
+key's largest component with all of it; keys of more than ``MARK_TILE`` sets are cut into tiles. Texts are fetched for the pairs that pass the bounds.
 
 Cases: texts without words (null, empty) have an empty set and link with nothing; fewer words than a
 shingle are one shingle. Rows without an id link with nothing and have no component; rows of one
@@ -33,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.llm import tokens
@@ -46,6 +46,7 @@ THRESHOLD = Fraction(9, 10)
 TILE = 128
 PIVOTS = 16
 CELL_ROWS = 2000
+MARK_TILE = 1024  # sets of a key that meet as (size, bitmap)
 BITS = 1024
 FLUSH_KEYS = 1 << 20
 ARROW_ROWS = 1 << 16
@@ -276,18 +277,18 @@ def marks(k: int, threshold: Fraction):
 def bounded_pairs(threshold: Fraction):
     """Pairs of one cell that share a key, lie in different components, and pass the size and bit-count bounds.
 
-    Rows of the left side meet all rows of the right side under their key."""
+    Rows of the left side meet all rows of the right side under their key; a row can be on both."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, component, n, left = [table.column(name).to_numpy() for name in ("key", "doc_id", "component", "n", "left_side")]
+        key, node, component, n, left, right = [table.column(name).to_numpy() for name in ("key", "doc_id", "component", "n", "left_side", "right_side")]
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(len(key), -1)
-        order = np.lexsort((left, key))
+        order = np.argsort(key, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
         found = {}
         for begin, behind in zip(cuts[:-1], cuts[1:], strict=True):
             members = order[begin:behind]
-            lefts, rights = members[left[members]], members[~left[members]]
+            lefts, rights = members[left[members]], members[right[members]]
             for one in lefts:
                 fits = (component[rights] != component[one]) & (np.maximum(n[rights], n[one]) * num <= np.minimum(n[rights], n[one]) * den)
                 others = rights[fits]
@@ -355,9 +356,9 @@ def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction)
     shared = pinned(keyed.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1").drop("sets"))
     edges = connected.select(F.col("node").alias("a"), F.col("component").alias("b"))
     tested, pairs = None, None
-    for step in ("first", "last", "best", "rest"):
-        if step in ("first", "last"):
-            pairs = _with_leaders(shared, marked, labels, threshold, F.asc("doc_id") if step == "first" else F.desc("doc_id"))
+    for step in ("leaders", "best", "rest"):
+        if step == "leaders":
+            pairs = _with_leaders(shared, marked, labels, threshold)
         elif step == "best":
             pairs = pinned(_bounded(shared, marked, labels, threshold))
         if tested is not None:
@@ -377,22 +378,25 @@ def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction)
     return connected
 
 
-def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction, order: Column) -> DataFrame:
-    """Distinct pairs of a set and the leading set of one of its keys, in other components, that pass the bounds."""
-    rows = shared.join(labels, "doc_id")
-    lead = Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    led = rows.select("doc_id", "component", F.first(F.struct("doc_id", "component")).over(lead).alias("lead")).where("component != lead.component")
-    pairs = led.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
-    one = marked.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = marked.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+    """Distinct pairs of a set and the first or last set of one of its keys, in other components, that pass the bounds.
+
+    Sets of many keys mostly have the same leaders under all of them, so components are looked up by pair, not by key."""
+    of_key = Window.partitionBy("key")
+    ends = pinned(shared.select("doc_id", F.min("doc_id").over(of_key).alias("first"), F.max("doc_id").over(of_key).alias("last")).distinct())
+    led = ends.select("doc_id", F.col("first").alias("lead")).unionByName(ends.select("doc_id", F.col("last").alias("lead"))).where("doc_id != lead")
+    pairs = led.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    own = marked.join(labels, "doc_id")
+    one = own.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("of_a"))
+    two = own.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("component").alias("of_b"))
+    both = pairs.join(one, "a").join(two, "b").where("of_a != of_b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return both.mapInArrow(passing(threshold), "a long, b long")
 
 
 def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs by shared key. Of two sets in different components one lies outside the key's largest component: only
     those outside are the left side, so work for a key is linear in its size as long as they are few. Keys of more
-    than ``TILE`` sets, or as many outside, are cut into tiles of both sides; small ones share a cell."""
+    than ``MARK_TILE`` sets are cut into tiles of both sides; others share a cell, where a set is one row for both sides."""
     rows = shared.join(labels, "doc_id")
     counted = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
     mixed = counted.groupBy("key").agg(
@@ -400,14 +404,17 @@ def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold:
     ).where("components > 1")
     mixed = pinned(mixed.select("key", "sets", (F.col("sets") - F.col("main.own")).alias("outside"), F.col("main.component").alias("main")))
     cells = int(mixed.agg(F.sum("sets")).first()[0] or 0) // CELL_ROWS + 1
-    left_tiles, tiles = F.ceil(F.col("outside") / TILE), F.ceil(F.col("sets") / TILE)
+    left_tiles, tiles = F.ceil(F.col("outside") / MARK_TILE), F.ceil(F.col("sets") / MARK_TILE)
     members = rows.join(mixed, "key")
-    kept = [
-        "doc_id", "component", "key", F.when((tiles > 1) | (left_tiles > 1), F.col("key")).otherwise(F.pmod("key", F.lit(cells))).alias("place"),
-    ]
+    kept = ["doc_id", "component", "key", F.when(tiles > 1, F.col("key")).otherwise(F.pmod("key", F.lit(cells))).alias("place")]
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-    lefts = members.where("component != main").select(*kept, F.pmod(F.xxhash64("doc_id", F.lit("left")), left_tiles).alias("i"), every(tiles).alias("j"), F.lit(True).alias("left_side"))
-    rights = members.select(*kept, every(left_tiles).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("right")), tiles).alias("j"), F.lit(False).alias("left_side"))
+    lefts = members.where((F.col("component") != F.col("main")) & (tiles > 1)).select(
+        *kept, F.pmod(F.xxhash64("doc_id", F.lit("left")), left_tiles).alias("i"), every(tiles).alias("j"), F.lit(True).alias("left_side"), F.lit(False).alias("right_side")
+    )
+    rights = members.select(
+        *kept, every(left_tiles).alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("right")), tiles).alias("j"),
+        ((F.col("component") != F.col("main")) & (tiles == 1)).alias("left_side"), F.lit(True).alias("right_side"),
+    )
     sides = lefts.unionByName(rights).join(marked, "doc_id")  # bitmaps are fetched for what is left
     return sides.groupBy("place", "i", "j").applyInArrow(bounded_pairs(threshold), PAIRS).groupBy("a", "b").agg(F.max("bound").alias("bound"))
 
