@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.session import pinned
+from eventlake.session import discard, pinned
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     open_edges = pinned(edges.dropna(subset=["a", "b"]).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
-    hooks = []
+    hooks, made = [], [open_edges]
     while not open_edges.isEmpty():
         hook = pinned(open_edges.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("up")))
+        made.append(hook)
         climbing = True
         while climbing:  # doubles the height of a hook until all end at roots
             upper = hook.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             doubled = pinned(hook.join(upper, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")))
+            discard(made.pop())  # the hooks before
+            made.append(doubled)
             climbing = not doubled.where("moved").isEmpty()
             hook = doubled.select("node", "up")
         hooks.append(hook)
@@ -31,14 +34,21 @@ def components(edges: DataFrame) -> DataFrame:
         moved = moved.join(hook.select(F.col("node").alias("a"), F.col("up").alias("a_up")), "a", "left")
         ends = moved.select(F.coalesce("a_up", "a").alias("x"), F.col("b_up").alias("y"))
         open_edges = pinned(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+        made.append(open_edges)
     roots = None
     for hook in reversed(hooks):  # later rounds say where the hooks of earlier ones end
         if roots is not None:
             onward = roots.select(F.col("node").alias("up"), F.col("component").alias("onward"))
             hook = hook.join(onward, "up", "left").select("node", F.coalesce("onward", "up").alias("up"))
         settled = hook.select("node", F.col("up").alias("component"))
-        roots = settled if roots is None else pinned(roots.unionByName(settled))
+        if roots is not None:
+            settled = pinned(roots.unionByName(settled))
+            made.append(settled)
+        roots = settled
     if roots is None:
+        discard(*made)
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     tops = roots.select(F.col("component").alias("node"), "component").distinct()
-    return pinned(roots.unionByName(tops))
+    out = pinned(roots.unionByName(tops))
+    discard(*made)
+    return out

@@ -6,8 +6,8 @@ band ``t``. Two such sets differ in at most ``D`` shingles, so if the hash space
 least one part holds the same shingles of both (pigeonhole). Each set therefore stands in its tiles
 under one key per part, the hash of what the part holds, and no link is missed; a part holds about
 ten shingles at 9/10, so sets that are not near copies hardly ever meet, however common their shingles are. Below 9/10 parts hold
-fewer (about three at 4/5) and some none; then there are spare parts, and a set whose filled parts exceed ``D`` leaves its empty ones out:
-differing shingles touch at most ``D`` parts, so a filled one is still the same in both.
+fewer (about three at 4/5), some one or none, so that any common shingle would make sets meet; then there are spare parts. A set leaves its
+emptiest parts out as long as more are left than differing shingles can touch (``part_keys``).
 
 Sets that meet, directly or through others, form families. Inside a family, sets are ordered by
 size, and a pair is compared only within the size bound and while it is not connected yet. A hashed
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from eventlake.llm import tokens
 from eventlake.llm.graph import components
 from eventlake.llm.shipping import ship
-from eventlake.session import pinned
+from eventlake.session import discard, pinned
 
 SHINGLE = 3
 THRESHOLD = Fraction(9, 10)
@@ -78,24 +78,31 @@ def tile_parts(edges: np.ndarray, threshold: Fraction, tile: int) -> int:
 
 
 def spare_parts(parts: int, threshold: Fraction) -> int:
-    """Parts beyond those that are needed, so that enough are filled where they hold few shingles."""
-    return parts // 5 + 3 if threshold < Fraction(9, 10) else 0
+    """Parts beyond those that are needed, so that enough of them hold two shingles where they hold few."""
+    return parts * 3 // 8 + 3 if threshold < Fraction(9, 10) else 0
 
 
 def part_keys(hashes: np.ndarray, edges: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Keys of a set in its own tile and the one below."""
+    """Keys of a set in its own tile and the one below.
+
+    The parts are left out that hold fewer shingles than the ``needed``-th fullest one: those kept are more than the differing
+    shingles can touch, so one of them is the same in any linked set, which keeps it too, as of two linked sets that with
+    the higher bound has its kept parts among those the other keeps where they are the same."""
+    num, den = threshold.numerator, threshold.denominator
     band = int(np.searchsorted(edges, len(hashes), "right")) - 1
     keys = []
     spread = tokens.mixed(hashes + np.uint64(tokens.STEP))
     for tile in (band, band - 1) if band else (band,):
-        needed = tile_parts(edges, threshold, tile)
-        parts = np.uint64(needed + spare_parts(needed, threshold))
+        most = tile_parts(edges, threshold, tile)
+        parts = np.uint64(most + spare_parts(most, threshold))
+        other = len(hashes) * den // num if tile == band else int(edges[band]) - 1  # the largest set it can link with here
+        needed = (len(hashes) + other) * (den - num) // (den + num) + 1
         content = np.zeros(int(parts), dtype=np.uint64)
         part = (spread % parts).astype(np.int64)
         np.add.at(content, part, hashes)
         of_tile = tokens.mixed(content + tokens.mixed(np.arange(int(parts), dtype=np.uint64) + np.uint64((tile + 1) << 40)))
-        filled = np.bincount(part, minlength=int(parts)) > 0
-        keys.append(of_tile[filled] if filled.sum() >= needed else of_tile)
+        held = np.bincount(part, minlength=int(parts))
+        keys.append(of_tile[held >= np.sort(held)[-needed]])
     return np.concatenate(keys)
 
 
@@ -129,23 +136,19 @@ MEETINGS = "place long, doc_id long, met boolean"
 
 
 def meetings(k: int, threshold: Fraction):
-    """(key, document, false) for every key, once per task, and (document, document, true) for two that meet in the task.
+    """(key, document, false) for every key of a set, and (document, document, true) for two of equal sets.
 
-    Keys seen before in the same task are turned into met documents, so a common key leaves a task once; a set seen
-    before in it meets the document that brought it and has no keys of its own."""
+    A set that came before in a task has no keys of its own: it meets the one that stands for it, that of the least number."""
     edges = band_edges(threshold, 1 << 40)
 
     def flush(ids: list[int], keys: list[np.ndarray], equals: list[int]) -> Iterator[pa.RecordBatch]:
         numbers = np.array(ids, dtype=np.int64)
-        flat = np.concatenate(keys)
-        _, first, place = np.unique(flat, return_index=True, return_inverse=True)
-        owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        leads = first[place] == np.arange(len(flat))
         copies = np.array([(row, earlier) for row, earlier in enumerate(equals) if earlier >= 0], dtype=np.int64).reshape(-1, 2).T
-        met = np.unique(np.concatenate([np.stack([owner[~leads], owner[first[place[~leads]]]]), copies], axis=1), axis=1)
+        met = np.unique(numbers[copies], axis=1)
         met = met[:, met[0] != met[1]]
-        places, documents = np.concatenate([flat[leads].view(np.int64), numbers[met[1]]]), np.concatenate([numbers[owner[leads]], numbers[met[0]]])
-        kinds = np.arange(len(places)) >= leads.sum()
+        owners = np.repeat(numbers, [len(x) for x in keys])
+        places, documents = np.concatenate([np.concatenate(keys).view(np.int64), met[1]]), np.concatenate([owners, met[0]])
+        kinds = np.arange(len(places)) >= len(owners)
         for begin in range(0, len(places), ARROW_ROWS):
             part = slice(begin, begin + ARROW_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(places[part]), pa.array(documents[part]), pa.array(kinds[part])], names=["place", "doc_id", "met"])
@@ -161,7 +164,10 @@ def meetings(k: int, threshold: Fraction):
                     before = seen.setdefault(set_hashes(hashes), len(held[0]))
                     fresh = before == len(held[0])
                     keys = part_keys(hashes, edges, threshold) if fresh else hashes[:0]
-                    for column, value in zip(held, (ids[row], keys, -1 if fresh else before), strict=True):
+                    number = ids[row]
+                    if not fresh and number < held[0][before]:
+                        number, held[0][before] = held[0][before], number
+                    for column, value in zip(held, (number, keys, -1 if fresh else before), strict=True):
                         column.append(value)
                     n_keys += len(keys)
                 if n_keys > FLUSH_KEYS:
@@ -224,20 +230,25 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = T
     brief = pinned(given.mapInArrow(sizes(k), SIZES))
     classes = pinned(brief.where("doc_id is not null and n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep")))
 
-    # Families of sets that meet in a key; a key has at most one row per task. Rows of a document travel side by side, so they compress.
+    # Keys that several sets have, with all of these, by one shuffle; rows of a document travel side by side, so they compress.
     rows = given.mapInArrow(meetings(k, threshold), MEETINGS).repartition("place", "met")
-    first = F.first("doc_id").over(Window.partitionBy("place", "met").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    met = rows.withColumn("first", first).where(F.col("met") | (F.col("doc_id") != F.col("first")))
-    met = met.select(F.when(F.col("met"), F.col("place")).otherwise(F.col("first")).alias("a"), F.col("doc_id").alias("b"))
-    families = components(met)
+    of_place = Window.partitionBy("place", "met")
+    rows = rows.withColumns({"first": F.min("doc_id").over(of_place), "last": F.max("doc_id").over(of_place)})
+    met = pinned(rows.where(F.col("met") | (F.col("first") < F.col("last"))).drop("last"))
+    # Families of sets that meet in a key.
+    pairs = met.where(F.col("met") | (F.col("doc_id") != F.col("first")))
+    families = components(pairs.select(F.when(F.col("met"), F.col("place")).otherwise(F.col("first")).alias("a"), F.col("doc_id").alias("b")))
     sets = families.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
     family_sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = sets.join(family_sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "size")
     texts = pinned(given.join(members.hint("merge"), "doc_id"))
 
-    connected = settled(texts, components(_links_in_tiles(texts, k, threshold)), k, threshold)
+    shared = met.where(~F.col("met")).select(F.col("place").alias("key"), "doc_id")
+    in_tiles = components(_links_in_tiles(texts, k, threshold))
+    connected = settled(texts, in_tiles, shared, k, threshold)
 
     by_set = pinned(classes.join(connected.withColumnRenamed("node", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("component")))
+    discard(classes, met, families, texts, in_tiles, *([] if connected is in_tiles else [connected]))  # brief and by_set hold the result
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return brief.select("doc_id", "n", "high", "low").join(by_set, ["high", "low"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")
@@ -254,13 +265,12 @@ def _links_in_tiles(texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     return placed.groupBy("family", "tile").applyInArrow(compare(k, threshold), LINKS)
 
 
-MARKS = "doc_id long, n long, bits binary, keys array<long>"
+MARKS = "doc_id long, n long, bits binary"
 PAIRS = "a long, b long, bound long"
 
 
-def marks(k: int, threshold: Fraction):
-    """Size, bitmap and all keys of every set."""
-    edges = band_edges(threshold, 1 << 40)
+def marks(k: int):
+    """Size and bitmap of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,8 +278,7 @@ def marks(k: int, threshold: Fraction):
                 sets = list(shingle_sets(piece, k))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(piece.rows)), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()),
-                    pa.array([part_keys(x, edges, threshold).view(np.int64) for x in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "n", "bits", "keys"])
+                ], names=["doc_id", "n", "bits"])
 
     return run
 
@@ -337,9 +346,10 @@ def passing(threshold: Fraction):
     return run
 
 
-def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+def settled(texts: DataFrame, connected: DataFrame, shared: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """Components once every pair of sets that shares a key and may link has been compared or connected.
 
+    ``shared`` holds (key, doc_id) for all keys of several sets.
     First every set meets the first and the last set of each of its keys, which is linear and connects most; then
     what shares a key and still lies in different components."""
     large = texts.where(F.col("size") > TILE).select("doc_id", "family").distinct()
@@ -347,20 +357,21 @@ def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction)
     several = placed.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     labels = pinned(placed.join(several.select("family"), "family", "left_semi").select("doc_id", "component"))
     if labels.isEmpty():
+        discard(labels)
         return connected
     own = texts.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    every = pinned(own.mapInArrow(marks(k, threshold), MARKS))
-    marked = every.select("doc_id", "n", "bits")
-    # Keys that several of these sets have, by one shuffle; all later steps read these alone.
-    keyed = every.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = pinned(keyed.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1").drop("sets"))
+    marked = pinned(own.mapInArrow(marks(k), MARKS))
+    # Sets that share a key are of one family, so these rows hold all of a key; repeated rows of a document are one.
+    shared = pinned(shared.join(labels.select("doc_id"), "doc_id", "left_semi").distinct())
+    made = [labels, marked, shared]
     edges = connected.select(F.col("node").alias("a"), F.col("component").alias("b"))
     tested, pairs = None, None
     for step in ("leaders", "best", "rest"):
         if step == "leaders":
-            pairs = _with_leaders(shared, marked, labels, threshold)
+            pairs = _with_leaders(shared, marked, labels, threshold, made)
         elif step == "best":
-            pairs = pinned(_bounded(shared, marked, labels, threshold))
+            pairs = pinned(_bounded(shared, marked, labels, threshold, made))
+            made.append(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         left, right = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
@@ -375,15 +386,20 @@ def settled(texts: DataFrame, connected: DataFrame, k: int, threshold: Fraction)
         connected = components(edges)
         merged = labels.select("doc_id").join(connected.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
         labels = pinned(merged)
+        made += [judged, labels, connected]
+    made.remove(connected)
+    discard(*made)
     return connected
 
 
-def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction, made: list | None = None) -> DataFrame:
     """Distinct pairs of a set and the first or last set of one of its keys, in other components, that pass the bounds.
 
     Sets of many keys mostly have the same leaders under all of them, so components are looked up by pair, not by key."""
     of_key = Window.partitionBy("key")
     ends = pinned(shared.select("doc_id", F.min("doc_id").over(of_key).alias("first"), F.max("doc_id").over(of_key).alias("last")).distinct())
+    if made is not None:
+        made.append(ends)
     led = ends.select("doc_id", F.col("first").alias("lead")).unionByName(ends.select("doc_id", F.col("last").alias("lead"))).where("doc_id != lead")
     pairs = led.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     own = marked.join(labels, "doc_id")
@@ -393,7 +409,7 @@ def _with_leaders(shared: DataFrame, marked: DataFrame, labels: DataFrame, thres
     return both.mapInArrow(passing(threshold), "a long, b long")
 
 
-def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction) -> DataFrame:
+def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold: Fraction, made: list | None = None) -> DataFrame:
     """Pairs by shared key. Of two sets in different components one lies outside the key's largest component: only
     those outside are the left side, so work for a key is linear in its size as long as they are few. Keys of more
     than ``MARK_TILE`` sets are cut into tiles of both sides; others share a cell, where a set is one row for both sides."""
@@ -403,6 +419,8 @@ def _bounded(shared: DataFrame, marked: DataFrame, labels: DataFrame, threshold:
         F.sum("own").alias("sets"), F.max(F.struct("own", "component")).alias("main"), F.count(F.lit(1)).alias("components")
     ).where("components > 1")
     mixed = pinned(mixed.select("key", "sets", (F.col("sets") - F.col("main.own")).alias("outside"), F.col("main.component").alias("main")))
+    if made is not None:
+        made.append(mixed)
     cells = int(mixed.agg(F.sum("sets")).first()[0] or 0) // CELL_ROWS + 1
     left_tiles, tiles = F.ceil(F.col("outside") / MARK_TILE), F.ceil(F.col("sets") / MARK_TILE)
     members = rows.join(mixed, "key")

@@ -86,8 +86,10 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of pinned frames that nothing reads any more."""
+    """Delete the files of pinned frames that nothing reads any more; other frames have none."""
     for frame in frames:
+        if getattr(frame, "pinned_folder", None) is None:
+            continue
         jvm = frame.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(frame.pinned_folder)
         path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
