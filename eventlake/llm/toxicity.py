@@ -38,6 +38,7 @@ STEM_BYTES = range(2, 13)  # lengths of the stems that a word backs off to
 LEAST_TEXTS = 2  # documents that a word or stem needs to be kept
 TOPS = (1, 3, 6)
 FOLDS = 4
+SHARE = 1 << 18  # words whose pairs are counted at a time
 REJECT = 0.3
 MOST_SAID = 1.0  # no word shifts the balance by more than a factor of ten
 NOTHING = 1e-12
@@ -148,15 +149,25 @@ class Lessons:
 
 
 def lessons_of(pieces: Iterator[tokens.Piece]) -> Lessons:
-    hashes, known, stems = [], [], []
+    texts, known, numbers = [], np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    stems = [np.zeros((0, len(STEM_BYTES)), np.uint64)]
     for piece in pieces:
-        hashes += [piece.hashes[a:b] for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
-        distinct, first = np.unique(piece.hashes, return_index=True)
-        known.append(distinct)
-        stems.append(stems_of(piece, first) if len(first) else np.zeros((0, len(STEM_BYTES)), np.uint64))
-    known, first = np.unique(np.concatenate([*known, np.zeros(0, np.uint64)]), return_index=True)
-    stems = np.concatenate([*stems, np.zeros((0, len(STEM_BYTES)), np.uint64)])[first]
-    return Lessons([np.searchsorted(known, own).astype(np.int32) for own in hashes], known, stems)
+        # Words are numbered as they come, so that a piece adds its new ones only.
+        distinct, first, number = np.unique(piece.hashes, return_index=True, return_inverse=True)
+        at = lookup(known, distinct)
+        new = np.flatnonzero(at == len(known))
+        number_of = np.append(numbers, 0)[at]
+        number_of[new] = len(known) + np.arange(len(new))
+        if len(new):
+            stems.append(stems_of(piece, first[new]))
+            known, numbers = np.concatenate([known, distinct[new]]), np.concatenate([numbers, number_of[new]])
+            order = np.argsort(known, kind="stable")
+            known, numbers = known[order], numbers[order]
+        own = number_of[number].astype(np.int32)
+        texts += [own[a:b] for a, b in zip(piece.first[:-1], piece.first[1:], strict=True)]
+    place = np.empty(len(known), np.int32)  # of a word in the order of hashes
+    place[numbers] = np.arange(len(known), dtype=np.int32)
+    return Lessons([place[own] for own in texts], known, np.concatenate(stems)[numbers])
 
 
 def node_tables(texts: list[np.ndarray], toxic: np.ndarray, lessons: Lessons) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,26 +211,47 @@ def tables(texts: list[np.ndarray], toxic: np.ndarray, lessons: Lessons) -> Mode
     firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
     none = len(lessons.known)
     before = befores(flat, firsts, none)
-    pairs, first, pair = np.unique(before.astype(np.int64) * (none + 1) + flat, return_index=True, return_inverse=True)
-    # A pair counts once per word before it: a passage that was copied counts like one.
-    ahead = befores(before, firsts, none).astype(np.int64) * len(pairs) + pair
+    opening = np.zeros(len(flat), dtype=bool)
+    opening[firsts] = True
     kind = np.repeat(np.where(toxic, 0, 1).astype(np.int8), sizes)
-    behind = node_of[before]
-    count, total = np.zeros((len(pairs), 2)), np.zeros((len(nodes) + 1, 2))
-    for c in (0, 1):
-        own = np.flatnonzero(kind == c)
-        own = own[np.unique(ahead[own], return_index=True)[1]]
-        count[:, c] = np.bincount(pair[own], minlength=len(pairs))
-        total[:, c] = np.bincount(behind[own], minlength=len(nodes) + 1)
-    given = np.column_stack([np.bincount(behind[first], weights=discounts(count[:, c], 3), minlength=len(nodes) + 1) for c in (0, 1)])
-    total[-1], given[-1] = 0, 0  # words that are no node tell nothing of what follows
-    kept = count - discounts(count, 3)
-    useful = np.flatnonzero(kept.max(axis=1) > 0)
+    total, given = np.zeros((len(nodes) + 1, 2)), np.zeros((len(nodes) + 1, 2))
+    keys, kept = [np.zeros(0, np.uint64)], [np.zeros((0, 2))]
     hashes = np.append(lessons.known, START)
-    keys = bigrams(hashes[pairs[useful] % (none + 1)], hashes[pairs[useful] // (none + 1)])
+    for own in shares_of(before, none + 1):  # all pairs of a first word lie in one share
+        pairs, first, pair = np.unique(before[own].astype(np.int64) * (none + 1) + flat[own], return_index=True, return_inverse=True)
+        behind = node_of[before[own]]
+        # A pair counts once per word before it: a passage that was copied counts like one.
+        ahead = np.where(opening[own], none, before[own - 1]).astype(np.int64) * len(pairs) + pair
+        count = np.zeros((len(pairs), 2))
+        for c in (0, 1):
+            of_kind = np.flatnonzero(kind[own] == c)
+            of_kind = of_kind[np.unique(ahead[of_kind], return_index=True)[1]]
+            count[:, c] = np.bincount(pair[of_kind], minlength=len(pairs))
+            total[:, c] += np.bincount(behind[of_kind], minlength=len(nodes) + 1)
+            given[:, c] += np.bincount(behind[first], weights=discounts(count[:, c], 3), minlength=len(nodes) + 1)
+        left_over = count - discounts(count, 3)
+        useful = np.flatnonzero(left_over.max(axis=1) > 0)
+        keys.append(bigrams(hashes[pairs[useful] % (none + 1)], hashes[pairs[useful] // (none + 1)]))
+        kept.append(left_over[useful])
+    total[-1], given[-1] = 0, 0  # words that are no node tell nothing of what follows
+    keys, kept = np.concatenate(keys), np.concatenate(kept)
     order = np.argsort(keys)
     opened = np.where(total > 0, given / np.maximum(total, 1), 1.0)
-    return Model(nodes, low, left, total, opened, keys[order], np.vstack([kept[useful[order]], np.zeros((1, 2))]), np.zeros(3 + len(TOPS)))
+    return Model(nodes, low, left, total, opened, keys[order], np.vstack([kept[order], np.zeros((1, 2))]), np.zeros(3 + len(TOPS)))
+
+
+def shares_of(numbers: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Places of ranges of the numbers below ``n``, about ``SHARE`` places at a time; equal numbers stay together."""
+    upto = np.zeros(n, np.int64)
+    for a in range(0, len(numbers), SHARE):
+        upto += np.bincount(numbers[a : a + SHARE], minlength=n)
+    upto = np.cumsum(upto)
+    begin = 0
+    while begin < n:
+        done = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, done + SHARE, "right")))
+        yield np.flatnonzero((numbers >= begin) & (numbers < end))
+        begin = end
 
 
 def logistic(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
