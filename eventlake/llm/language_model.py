@@ -32,6 +32,7 @@ further columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -56,7 +57,8 @@ ROUNDS, BATCH = 500, 64
 BLOCK_IDS = 2048
 NULL_BLOCKS = 1 << 20  # rows without an id are dealt by their texts
 END = np.uint64(0xE17D0E17D0E17D0E)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+SOME_WORDS, SOME_WINDOWS = 4096, 128  # worked on at a time
 
 
 class Subwords:
@@ -93,8 +95,13 @@ class Model:
 
     def classes_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Classes of words, given as subword ids in a row. Vectors and centres are multiples of 2^-12, so this is exact: a word has one class in every pass."""
-        sums = word_sums(self.subword, flat, starts, lengths)
-        return np.argmin((self.centers**2).sum(axis=1) * lengths[:, None] - 2 * sums @ self.centers.T, axis=1).astype(np.int64)
+        out = np.empty(len(starts), np.int64)
+        weights = np.concatenate([-2 * self.centers.T, (self.centers**2).sum(axis=1)[None]])
+        for a in range(0, len(out), SOME_WORDS):
+            own = slice(a, a + SOME_WORDS)
+            sums = word_sums(self.subword, flat, starts[own], lengths[own])
+            out[own] = np.argmin(np.column_stack([sums, lengths[own]]) @ weights, axis=1)
+        return out
 
     def vectors_of(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Input vectors of words."""
@@ -270,68 +277,96 @@ def start_tables(rng) -> dict:
 BACK = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
 
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+class Room:
+    """Arrays of one loop by name, used again at every step: fresh ones of their size cost as much as what is computed in them."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.kept or self.kept[name].size < size:
+            self.kept[name] = np.empty(size, np.float32)
+        return self.kept[name][:size].reshape(shape)
+
+
+def exponentials(x: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp(x - shift), its sums by row, and the shift, which is 0 unless rows would leave the range of numbers."""
     ones = np.ones(x.shape[-1], x.dtype)
     with np.errstate(over="ignore"):
-        out = np.exp(x)
+        np.exp(x, out=out)
         total = out @ ones
     if np.isfinite(total).all() and total.min(initial=1) > 1e-30:
         return out, total, 0.0
     top = x.max(axis=-1)
-    out = np.exp(x - top[..., None])
+    np.exp(x - top[..., None], out=out)
     return out, out @ ones, top
 
 
-def forward(tables: dict, x: np.ndarray, mask: np.ndarray):
-    """Class log-probabilities at every position of windows ``x`` (windows, positions, width), looking at itself and back."""
+def input_weights(tables: dict) -> np.ndarray:
+    """Of query, key and value side by side; queries are scaled."""
+    return np.concatenate([tables["query"] * np.float32(WIDTH**-0.5), tables["key"], tables["value"]], axis=1)
+
+
+def class_values(tables: dict, x: np.ndarray, room: Room, begin: int = 0, mask: np.ndarray | None = None):
+    """Logarithms of the weights of the classes, by rows, at the positions from ``begin`` on of windows ``x`` (windows, positions, width).
+
+    A position looks at itself and back, so what fills a window behind its text changes nothing in the text."""
     windows, n, _ = x.shape
-    flat = np.ascontiguousarray(x).reshape(-1, WIDTH)
-    qkv = (flat @ np.concatenate([tables[name] for name in ("query", "key", "value")], axis=1)).reshape(windows, n, 3 * WIDTH)
-    q, k, v = [np.ascontiguousarray(qkv[..., i : i + WIDTH]) for i in range(0, 3 * WIDTH, WIDTH)]
-    q *= np.float32(WIDTH**-0.5)
-    back = BACK[:n, :n]
-    s = q @ k.transpose(0, 2, 1)
+    qkv = room("qkv", windows, n, 3 * WIDTH)
+    np.matmul(x.reshape(-1, WIDTH), input_weights(tables), out=qkv.reshape(-1, 3 * WIDTH))
+    q, k, v = qkv[:, begin:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    back = BACK[begin:n, :n]
+    s = np.matmul(q, k.transpose(0, 2, 1), out=room("looks", windows, n - begin, n))
     s += np.where(back >= 0, tables["near"][np.clip(back, 0, CONTEXT - 1)], -1e9).astype(np.float32)
-    s += mask[:, None, :]
-    s, total, _ = exponentials(s)
+    if mask is not None:
+        s += mask[:, None, :]
+    s, total, _ = exponentials(s, room("shares", *s.shape))
     s /= total[..., None]
-    h = np.empty((windows, n, 2 * WIDTH), np.float32)
+    h = room("hidden", windows, n - begin, 2 * WIDTH)
     np.matmul(s, v, out=h[..., :WIDTH])
-    h[..., WIDTH:] = x
-    z = h.reshape(-1, 2 * WIDTH) @ tables["out"]
+    h[..., WIDTH:] = x[:, begin:]
+    z = np.matmul(h.reshape(-1, 2 * WIDTH), tables["out"], out=room("values", windows * (n - begin), CLASSES + 1))
     z += tables["bias"]
-    _, total, shift = exponentials(z)
+    return z, (q, k, v, s, h)
+
+
+def forward(tables: dict, x: np.ndarray, mask: np.ndarray):
+    """Class log-probabilities at every position of windows ``x`` (windows, positions, width), looking at itself and back."""
+    room = Room()
+    z, made = class_values(tables, np.ascontiguousarray(x), room, mask=mask)
+    _, total, shift = exponentials(z, room("weights", *z.shape))
     z -= (np.log(total) + shift)[:, None]
-    return z.reshape(windows, n, -1), (q, k, v, s, h)
+    return z.reshape(*x.shape[:2], -1), made
 
 
-def gradients(tables: dict, x: np.ndarray, mask: np.ndarray, goals: np.ndarray, begins: np.ndarray) -> dict:
+def gradients(tables: dict, x: np.ndarray, goals: np.ndarray, begins: np.ndarray, room: Room) -> dict:
     """Of the mean cross-entropy of the goals (-1: none), by table; ``begins`` marks positions that hold the start vector."""
-    z, (q, k, v, s, h) = forward(tables, x, mask)
     windows, n, _ = x.shape
+    z, (q, k, v, s, h) = class_values(tables, x, room)
+    dz, total, _ = exponentials(z, room("weights", *z.shape))
+    goals = goals.ravel()
     valid = goals >= 0
-    dz = np.exp(z, out=z)
-    b, p = np.nonzero(valid)
-    dz[b, p, goals[valid]] -= 1
-    dz[~valid] = 0
-    dz /= np.float32(max(len(b), 1))
-    flat, dz = np.ascontiguousarray(x).reshape(-1, WIDTH), dz.reshape(windows * n, -1)
-    grads = {"out": h.reshape(-1, 2 * WIDTH).T @ dz, "bias": dz.sum(axis=0)}
-    da = (dz @ tables["out"][:WIDTH].T).reshape(windows, n, WIDTH)
-    ds = da @ v.transpose(0, 2, 1)
-    dv = s.transpose(0, 2, 1) @ da
+    share = np.float32(1 / max(np.count_nonzero(valid), 1))
+    dz *= np.where(valid, share / total, 0).astype(np.float32)[:, None]
+    at = np.flatnonzero(valid)
+    dz.ravel()[at * (CLASSES + 1) + goals[at]] -= share
+    grads = {"out": h.reshape(-1, 2 * WIDTH).T @ dz, "bias": np.ones(len(dz), np.float32) @ dz}
+    da = np.matmul(dz, tables["out"][:WIDTH].T, out=room("da", windows * n, WIDTH)).reshape(windows, n, WIDTH)
+    dqkv = room("dqkv", windows, n, 3 * WIDTH)
+    np.matmul(s.transpose(0, 2, 1), da, out=dqkv[..., 2 * WIDTH :])
+    ds = np.matmul(da, v.transpose(0, 2, 1), out=room("ds", windows, n, n))
+    ds -= np.einsum("wnd,wnd->wn", da, h[..., :WIDTH])[..., None]
     ds *= s
-    ds -= s * (ds @ np.ones(n, np.float32))[..., None]
     back = BACK[:n, :n]
-    grads["near"] = np.bincount(np.clip(back, 0, CONTEXT - 1).ravel(), weights=np.where(back >= 0, ds.sum(axis=0), 0).ravel(), minlength=CONTEXT).astype(np.float32)
-    dk = ds.transpose(0, 2, 1) @ q
-    dq = ds @ k
-    dq *= np.float32(WIDTH**-0.5)
-    grads["start"] = (dz[begins.ravel()] @ tables["out"][WIDTH:].T).sum(axis=0)
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        grads[name] = flat.T @ d.reshape(-1, WIDTH)
-        grads["start"] += (d[begins] @ tables[name].T).sum(axis=0)
+    by_place = (np.ones(windows, np.float32) @ ds.reshape(windows, -1)).reshape(n, n)
+    grads["near"] = np.bincount(np.clip(back, 0, CONTEXT - 1).ravel(), weights=np.where(back >= 0, by_place, 0).ravel(), minlength=CONTEXT).astype(np.float32)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    of_inputs = x.reshape(-1, WIDTH).T @ dqkv.reshape(-1, 3 * WIDTH)
+    grads |= {name: of_inputs[:, i * WIDTH : (i + 1) * WIDTH] for i, name in enumerate(("query", "key", "value"))}
+    grads["query"] = grads["query"] * np.float32(WIDTH**-0.5)
+    grads["start"] = dz[begins.ravel()].sum(axis=0) @ tables["out"][WIDTH:].T + dqkv[begins].sum(axis=0) @ input_weights(tables).T
     return grads
 
 
@@ -340,15 +375,19 @@ class Adam:
 
     def __init__(self, tables: dict):
         self.tables, self.step = tables, 0
-        self.moments = {name: [np.zeros_like(value), np.zeros_like(value)] for name, value in tables.items()}
+        size = sum(value.size for value in tables.values())
+        self.first, self.second = np.zeros(size, np.float32), np.zeros(size, np.float32)
 
     def take(self, grads: dict, rate: float) -> None:
         self.step += 1
-        for name, grad in grads.items():
-            first, second = self.moments[name]
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
-            self.tables[name] -= (rate * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        grad = np.concatenate([grads[name].ravel() for name in self.tables])
+        self.first += 0.1 * (grad - self.first)
+        self.second += 0.01 * (grad * grad - self.second)
+        change = (rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        begin = 0
+        for value in self.tables.values():
+            value -= change[begin : begin + value.size].reshape(value.shape)
+            begin += value.size
 
 
 def windows_of(place: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,10 +407,11 @@ def windows_of(place: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[
     return words, goals
 
 
-def window_gradients(tables: dict, inputs: np.ndarray, words: np.ndarray, goals: np.ndarray) -> dict:
+def window_gradients(tables: dict, inputs: np.ndarray, words: np.ndarray, goals: np.ndarray, room: Room) -> dict:
     """``inputs`` are the vectors of the words and two rows behind them, for no word and for the start."""
     inputs[-1] = tables["start"]
-    return gradients(tables, inputs[words], np.where(words == -2, -1e9, 0).astype(np.float32), goals, words == -1)
+    x = np.take(inputs, words, axis=0, out=room("inputs", *words.shape, WIDTH), mode="wrap")
+    return gradients(tables, x, goals, words == -1, room)
 
 
 def train_start(model: Model, docs, ids, rng) -> Model:
@@ -389,10 +429,10 @@ def train_start(model: Model, docs, ids, rng) -> Model:
     first = np.cumsum([0, *map(len, docs)])
     words, goals = windows_of(np.fromiter(chain.from_iterable(docs), np.int64, int(first[-1])), target, first)
     model.tables["bias"][:] = np.log(np.bincount(goals[goals >= 0], minlength=CLASSES + 1) + 1.0)
-    adam = Adam(model.tables)
+    adam, room = Adam(model.tables), Room()
     for step in range(1, ROUNDS + 1):
         pick = rng.integers(0, len(words), BATCH)
-        adam.take(window_gradients(model.tables, inputs, words[pick], goals[pick]), 0.01 * min(1.0, 2 * (1 - step / (ROUNDS + 1))))
+        adam.take(window_gradients(model.tables, inputs, words[pick], goals[pick], room), 0.01 * min(1.0, 2 * (1 - step / (ROUNDS + 1))))
     return model
 
 
@@ -420,9 +460,9 @@ class Words:
             flat, starts, _ = flattened(self.subwords.ids([text_of(i) for i in missing]))
             ends = pa.py_buffer((ID_BYTES * np.append(starts, len(flat))).astype(np.int32))
             ids = pa.Array.from_buffers(pa.binary(), len(missing), [None, ends, pa.py_buffer(flat.astype(np.uint16))])
-            self.keys = np.concatenate([self.keys, hashes[missing]])
-            order = np.argsort(self.keys)
-            self.keys, self.ids = self.keys[order], pa.concat_arrays([self.ids, ids]).take(pa.array(order))
+            at = np.searchsorted(self.keys, hashes[missing])
+            order = np.insert(np.arange(len(self.keys)), at, len(self.keys) + np.arange(len(missing)))
+            self.keys, self.ids = np.insert(self.keys, at, hashes[missing]), pa.concat_arrays([self.ids, ids]).take(pa.array(order))
         out = self.ids.take(pa.array(np.searchsorted(self.keys, hashes)))
         if len(self.keys) > CACHED_WORDS:
             self.keys, self.ids = hashes, out
@@ -447,26 +487,42 @@ def subwords_of(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, ends[:-1] - ends[0], np.diff(ends).astype(np.int64)
 
 
+def places_in(keys: np.ndarray):
+    """A function that gives the places of hashes in sorted keys that hold them all: from where keys of their leading bits begin, key by key."""
+    shift = np.uint64(64 - len(keys).bit_length())
+    begin = np.searchsorted(keys >> shift, np.arange(1 << len(keys).bit_length(), dtype=np.uint64))
+
+    def of(hashes: np.ndarray) -> np.ndarray:
+        at = begin[(hashes >> shift).astype(np.int64)]
+        left = np.flatnonzero(keys[at] != hashes)
+        while len(left):
+            at[left] += 1
+            left = left[keys[at[left]] != hashes[left]]
+        return at
+
+    return of
+
+
 def distinct_words(table: pa.Table) -> Iterator[tuple[tokens.Piece, np.ndarray, np.ndarray, np.ndarray]]:
     """Pieces of lower-cased words with their distinct hashes, an example of each, and the place of each word's hash."""
     for piece in tokens.pieces(table.column("text"), lower=True):
-        yield piece, *np.unique(piece.hashes, return_index=True, return_inverse=True)
-
-
-def lowered(piece: tokens.Piece, i: int) -> bytes:
-    return piece.word(i).lower()  # bytes.lower changes A-Z only
+        key = np.unique(piece.hashes)
+        place = places_in(key)(piece.hashes)
+        example = np.empty(len(key), np.int64)
+        example[place] = np.arange(len(place))
+        yield piece, key, example, place
 
 
 def count_block(path: str, company: Company):
     def run(table: pa.Table) -> pa.Table:
         teaches = ~table.column("held_out").to_numpy()
-        hashes, counts, texts, company_of = [np.array([END])], [np.array([teaches.sum()])], [b""], []
+        hashes, counts, texts, company_of = [np.array([END])], [np.array([teaches.sum()])], [None], []
         for piece, key, example, place in distinct_words(table):
             doc = piece.document_of_word()
             teaching = teaches[piece.rows][doc]
             hashes.append(key)
             counts.append(np.bincount(place[teaching], minlength=len(key)))
-            texts.append((piece, example))
+            texts.append((piece.data.tobytes().lower(), piece.starts[example], piece.ends[example]))  # bytes.lower changes A-Z only
             company_of.append((len(texts) - 1, doc[teaching], place[teaching], int(teaches[piece.rows].sum())))
         begin = np.cumsum([0, *map(len, hashes)])
         key, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
@@ -476,8 +532,9 @@ def count_block(path: str, company: Company):
         def text_of(i: int) -> bytes:
             if not part[i]:
                 return b""  # the end
-            piece, example = texts[part[i]]
-            return lowered(piece, example[first[i] - begin[part[i]]])
+            lowered, starts, ends = texts[part[i]]
+            word = first[i] - begin[part[i]]
+            return lowered[starts[word] : ends[word]]
 
         ids = words_of(path).of(key, text_of)
         flat, starts, lengths = subwords_of(ids)
@@ -581,16 +638,16 @@ def train_block(shared):
         classes = model.classes_of(flat, starts, lengths)
         inputs = np.concatenate([model.vectors_of(flat, starts, lengths), np.zeros((2, WIDTH), np.float32)])
         tables = {name: value.copy() for name, value in model.tables.items()}
-        adam, total = Adam(tables), 0
-        size = max(sum(len(x) for x in docs.column("text").to_pylist()), 1)
-        done = 0
-        for piece, key, _, place in distinct_words(docs):
-            words, goals = windows_of(np.searchsorted(keys, key)[place], classes, piece.first)
+        adam, room, total = Adam(tables), Room(), 0
+        size = max(pc.sum(pc.utf8_length(docs.column("text"))).as_py(), 1)
+        done, places = 0, places_in(keys)
+        for piece in tokens.pieces(docs.column("text"), lower=True):
+            words, goals = windows_of(places(piece.hashes), classes, piece.first)
             order = np.random.default_rng(len(words)).permutation(len(words))
             for begin in range(0, len(order), BATCH):
                 pick = np.sort(order[begin : begin + BATCH])
                 share = len(pick) / BATCH  # the last batch of a piece is smaller
-                adam.take(window_gradients(tables, inputs, words[pick], goals[pick]), RATE * share * max(1 - done / size, 0.05))
+                adam.take(window_gradients(tables, inputs, words[pick], goals[pick], room), RATE * share * max(1 - done / size, 0.05))
                 done += len(piece.data) * len(pick) // max(len(order), 1)
             total += len(words)
         return pa.table({"block": docs.column("block").slice(0, 1), "windows": pa.array([total], pa.int64()), "tables": pa.array([(total * packed(tables)).tobytes()], pa.binary())})
@@ -635,21 +692,18 @@ def score_block(shared, totals: Totals):
         base_of = lambda c: np.log10((c + 0.5) / (totals.tokens + 0.5 * (totals.distinct + 1)))
         of_class = np.maximum(totals.of_class, 1).astype(float)
         unseen = (totals.once + 0.5) / (totals.of_class + 1.0)  # share of each class that is left to unseen words
-        tables = model.tables
-        end_count = seen[np.searchsorted(keys, END)]
+        within = np.where(seen > 0, np.log10(np.maximum(seen, 1) / of_class[class_of] * (1 - unseen[class_of])), np.log10(unseen[class_of]) + spelled)
+        base = base_of(seen)
+        end, places = np.searchsorted(keys, END), places_in(keys)
         out = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for piece, key, _, place in distinct_words(docs):
-            n_docs, words_in = len(piece.rows), piece.counts()
-            at = np.searchsorted(keys, key)  # every word of the block is there
-            c, classes = seen[at], class_of[at]
-            within = np.where(c > 0, np.log10(np.maximum(c, 1) / of_class[classes] * (1 - unseen[classes])), np.log10(unseen[classes]) + spelled[at])
-            base = base_of(c)
+        for piece in tokens.pieces(docs.column("text"), lower=True):
+            n_docs, place = len(piece.rows), places(piece.hashes)  # every word of the block is there
             doc = piece.document_of_word()
             add = lambda values, doc=doc, n_docs=n_docs: np.bincount(doc, weights=values, minlength=n_docs)
-            out["n_tokens"].append(words_in + 1)
-            out["n_known"].append(add((c > 0)[place].astype(float)).astype(np.int64) + int(end_count > 0))
-            out["base_score"].append(add(base[place]) + base_of(end_count))
-            out["score"].append(add(within[place]) + class_scores(tables, vectors[at], place, classes, piece.first))
+            out["n_tokens"].append(piece.counts() + 1)
+            out["n_known"].append(add((seen > 0)[place].astype(float)).astype(np.int64) + int(seen[end] > 0))
+            out["base_score"].append(add(base[place]) + base[end])
+            out["score"].append(add(within[place]) + class_scores(model.tables, vectors, place, class_of, piece.first))
         flat = {name: np.concatenate([*parts, np.zeros(0)]) for name, parts in out.items()}
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(flat["n_tokens"].astype(np.int64)),
@@ -675,15 +729,20 @@ def class_scores(tables: dict, vectors: np.ndarray, place: np.ndarray, goal: np.
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     start = begin[doc] + nth * STRIDE
     result = np.zeros(n_docs)
-    inputs = np.concatenate([vectors, tables["start"][None]])
-    for a in range(0, len(doc), 1024):
-        at = start[a : a + 1024, None] + np.arange(CONTEXT)
-        inside = at < begin[doc[a : a + 1024] + 1][:, None]
-        fresh = inside & ((np.arange(CONTEXT) >= CONTEXT - STRIDE) | (nth[a : a + 1024] == 0)[:, None])
-        at = np.minimum(at, begin[-1] - 1)
-        z, _ = forward(tables, inputs[token[at]], np.where(inside, 0, -1e9).astype(np.float32))
-        picked = np.take_along_axis(z, target[at][..., None], axis=2)[..., 0] / np.log(10)
-        result += np.bincount(doc[a : a + 1024], weights=np.where(fresh, picked, 0).sum(axis=1), minlength=n_docs)
+    room = Room()
+    for skipped, chosen in ((0, np.flatnonzero(nth == 0)), (CONTEXT - STRIDE, np.flatnonzero(nth))):  # positions that an earlier window has scored
+        for a in range(0, len(chosen), SOME_WINDOWS):
+            own = chosen[a : a + SOME_WINDOWS]
+            at = start[own, None] + np.arange(CONTEXT)
+            fresh = (at < begin[doc[own] + 1][:, None])[:, skipped:]
+            at = np.minimum(at, begin[-1] - 1)
+            x = np.take(vectors, token[at], axis=0, out=room("inputs", *at.shape, WIDTH), mode="wrap")
+            x[token[at] == -1] = tables["start"]
+            z, _ = class_values(tables, x, room, skipped)
+            _, total, shift = exponentials(z, room("weights", *z.shape))
+            picked = z.ravel()[np.arange(len(z)) * (CLASSES + 1) + target[at[:, skipped:]].ravel()] - (np.log(total) + shift)
+            picked = (picked / np.log(10)).reshape(fresh.shape)
+            result += np.bincount(doc[own], weights=np.where(fresh, picked, 0).sum(axis=1), minlength=n_docs)
     return result
 
 
@@ -710,8 +769,9 @@ def score_texts(docs: DataFrame, tokenizer_path: str = TOKENIZER, doc_id: str =
 
     # Words by block, with their counts over the corpus; the sums of company ride along.
     counted = given.select("block", "held_out", "text").mapInArrow(count_batches(tokenizer_path, spark.sparkContext.broadcast(basis)), COUNTS)
-    of_word = Window.partitionBy("word", F.col("block").isNull())
-    known = pinned(counted.select("block", "word", "ids", F.when(F.col("block").isNull(), F.col("n")).otherwise(F.sum("n").over(of_word)).alias("n"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first")))
+    of_word = Window.partitionBy("word", F.col("block").isNull()).orderBy("block")
+    all_of_word = of_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = pinned(counted.select("block", "word", "ids", F.when(F.col("block").isNull(), F.col("n")).otherwise(F.sum("n").over(all_of_word)).alias("n"), (F.row_number().over(of_word) == 1).alias("first")))
     by_block = known.where("block is not null").select("block", "word", "n", "ids")
     company = Company(basis)
     for row in known.where("block is null").groupBy(F.pmod("word", F.lit(64)).alias("part")).applyInArrow(added_company, "word long, n long, ids binary").collect():  # one row per subword
